@@ -7,9 +7,10 @@ fixture views, written from the metric definitions, never run by the library.
 from __future__ import annotations
 
 
-def report_sql(aligned: str) -> str:
-    """Classification report over a relation ``aligned`` with columns g, p."""
-    return f"""
+def report_sql(aligned: str, final: str | None = None) -> str:
+    """Classification report over a relation ``aligned`` with columns g, p;
+    ``final`` replaces the closing select over ``report_rows``."""
+    head = f"""
 al AS (select g, p from ({aligned}) a where g is not null and p is not null),
 e AS (select g label, 1 is_gold, 0 is_pred, case when g=p then 1 else 0 end tp from al
       union all select p, 0, 1, 0 from al),
@@ -21,10 +22,11 @@ per AS (select label,
    support, tp from lc),
 tot AS (select sum(support) n, sum(tp) tp, avg("precision") mp, avg(recall) mr, avg(f1) mf,
    sum("precision"*support) wp, sum(recall*support) wr, sum(f1*support) wf from per),
-rep AS (
+report_rows AS (
  select label, "precision", recall, f1, support from per
  union all select 'accuracy', null, null, tp/n, n from tot where n>0
  union all select 'macro avg', mp, mr, mf, n from tot where n>0
  union all select 'weighted avg', wp/n, wr/n, wf/n, n from tot where n>0)
-select label, round("precision",6) "precision", round(recall,6) recall, round(f1,6) f1,
-       cast(support as bigint) support from rep"""
+"""
+    return head + (final or """select label, round("precision",6) "precision", round(recall,6) recall,
+ round(f1,6) f1, cast(support as bigint) support from report_rows""")
