@@ -1 +1,107 @@
-"""Registered queries (filled in below)."""
+"""Registered inference-job queries (K2, G4-G8, B11, U1, U2) on corpus/cast_list."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from charlens.functions.text import py_strip
+from charlens.operators import mentions as MN
+from charlens.operators import retrieval as R
+from charlens.operators.inference import MOCK_VALUES, hashing_embed, mock_model, mock_output
+from charlens.plans.inference_job import run_inference
+from charlens.plans.q_mentions import _BASE, books_and_cast
+from charlens.plans.registry import register
+
+ATTRS = ["age", "gender", "spoken_languages"]
+
+
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _prompt_sql(name: str, exc: str) -> str:
+    """DuckDB twin of ``retrieval.build_prompt`` for ATTRS."""
+    readable = " and ".join(a.replace("_", " ") for a in ATTRS)
+    example = ",\n    ".join(f'"{a}": {R.DEFAULT_FORMATS[a]}' for a in ATTRS)
+    parts = [
+        _sql_lit("You are reading excerpts of a book about the character "), name,
+        _sql_lit(f". Infer the {readable} of the character named '"), name,
+        _sql_lit("' using only the excerpts below, separated by blank lines:\n\n"), exc,
+        _sql_lit(f"\n\nGive the {readable} of '"), name,
+        _sql_lit("' in exactly this format and nothing else. Use null for any value the excerpts do not "
+                 "support.\n\nFormat:\n```json\n{\n    " + example + "\n}\n```\n"),
+    ]
+    return " || ".join(parts)
+
+
+_EXC_SQL = _BASE + """,
+ex AS (select url, character, string_agg(passage, chr(10) || chr(10) || ' ' order by pos) exc, count(*) n
+       from pass group by url, character),
+cc AS (select c.url, c.character, coalesce(ex.n, 0) mentions_counter, coalesce(ex.exc, '') exc
+       from (select distinct url, character from ch where url in (select url from corpus)) c
+       left join ex on c.url=ex.url and c.character=ex.character)
+"""
+
+
+def _rows(spark, sf):
+    books, chars = books_and_cast(spark, sf)
+    m = MN.extract_mentions(books, chars)
+    counts = MN.mention_counts(chars.join(books.select("url"), "url", "left_semi"), m)
+    sel = R.all_passages(m)
+    rows = counts.join(sel, ["url", "character"], "left").withColumn(
+        "passages", F.coalesce("passages", F.array().cast("array<string>")))
+    exc = R.excerpts(F.col("passages"))
+    return rows.withColumn("prompt", F.when(py_strip(exc) != "", R.build_prompt(F.col("character"), exc, ATTRS)))
+
+
+@register(
+    "prompts",
+    _EXC_SQL + f"""select url, character, mentions_counter,
+  case when trim(exc) <> '' then md5({_prompt_sql('character', 'exc')}) end prompt_md5 from cc""",
+)
+def q_prompts(spark, sf):
+    """G5 + B11: the prompt per character; no excerpts -> no prompt."""
+    r = _rows(spark, sf)
+    return r.select("url", "character", "mentions_counter", F.md5("prompt").alias("prompt_md5"))
+
+
+_MOCK_SQL = _sql_lit(json.dumps({a: MOCK_VALUES.get(a) for a in ATTRS}, ensure_ascii=False))
+
+
+@register(
+    "mock_outputs",
+    _EXC_SQL + f"""select url, character, mentions_counter,
+  case when trim(exc) <> '' then {_MOCK_SQL} end output from cc""",
+)
+def q_mock_outputs(spark, sf):
+    """Native mock answer column where a prompt exists."""
+    r = _rows(spark, sf)
+    return r.select("url", "character", "mentions_counter",
+                    F.when(F.col("prompt").isNotNull(), mock_output(ATTRS)).alias("output"))
+
+
+@register(
+    "model_outputs",
+    _EXC_SQL + f"""select url book, character, mentions_counter,
+  case when trim(exc) <> '' then {_MOCK_SQL} end output,
+  case when trim(exc) <> '' then 'ok' else 'skipped' end status,
+  md5(exc) excerpts_md5 from cc""",
+)
+def q_model_outputs(spark, sf):
+    """K2 with the all-mentions strategy; the model plug-in (G6/U2) is the mock."""
+    books, chars = books_and_cast(spark, sf)
+    out = run_inference(spark, books, chars, ATTRS, "all_mentions", mock_model(ATTRS))
+    return out.select("book", "character", "mentions_counter", "output", "status",
+                      F.md5(R.excerpts(F.col("selected_passages"))).alias("excerpts_md5"))
+
+
+@register("embedding_strategy_outputs")
+def q_embedding_strategy(spark, sf):
+    """K2 with the embedding strategy (U1 plug-in = hashing stand-in); the
+    selection itself is oracle-checked by ``top_passages``/``selected_passages``."""
+    books, chars = books_and_cast(spark, sf)
+    out = run_inference(spark, books, chars, ATTRS, "embedding", mock_model(ATTRS), embed=hashing_embed(64))
+    return out.select("book", "character", "mentions_counter", "status",
+                      F.size("selected_passages").cast("bigint").alias("n_selected"))

@@ -40,6 +40,12 @@ union all select p, concat(p,' label'), 'en' from (select distinct p from (
         "select distinct concat('The ',upper(p_name),' Stories') title, "
         "concat(p_brand,', someone') author from part where p_partkey%2=0"
     ),
+    # catalogue entries for the dataset build: titles that contain some book labels
+    "book_catalog": (
+        "select distinct concat('The Complete Title ',cast(o_orderkey as varchar(30))) title, "
+        "concat('Edited by ',c_name) author from orders join customer on o_custkey=c_custkey "
+        "where o_orderkey%3=0"
+    ),
     "corpus": "select concat('doc/',doc_id) url, text, lang from documents",
     "cast_list": """
 select concat('doc/',doc_id) url, case lang when 'en' then 'the' when 'fr' then 'eque' when 'de' then 'fur' else 'cion' end name,
