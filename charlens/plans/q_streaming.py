@@ -1 +1,86 @@
-"""Registered queries (filled in below)."""
+"""Registered streaming queries (I1, I2) and a CSV round trip.
+
+Each query runs its stream to completion (``availableNow``) into a fresh
+folder under the shared checkpoint directory and returns the sink as a batch
+DataFrame, so the check compares the streamed result with the batch oracle.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from charlens.plans.q_repair import _REPAIR_SQL, ATTRS
+from charlens.plans.registry import register
+from charlens.session import scratch_path
+from charlens.sources.fixtures import VIEWS, table, with_clause
+from charlens.sources.io import read_predictions, write_csv
+from charlens.streaming.jobs import stream_dedup, stream_repair
+
+
+def _raw_from_documents(spark):
+    sql = VIEWS["raw_outputs"].replace("from documents", "from documents_stream")
+
+    def to_raw(stream_df):
+        stream_df.createOrReplaceTempView("documents_stream")
+        return spark.sql(sql).withColumnRenamed("raw", "output")
+
+    return to_raw
+
+
+@register(
+    "stream_repair",
+    _REPAIR_SQL + "select doc_id, status, lang, tags, is_human, character_type from rep",
+)
+def q_stream_repair(spark, sf):
+    """Documents arrive as a file stream; each micro-batch derives the raw
+    outputs and repairs them; the appended sink equals the batch repair."""
+    schema = table(spark, sf, "documents").schema
+    base = scratch_path(spark, "stream-repair")
+    out, ckpt = os.path.join(base, "out"), os.path.join(base, "ckpt")
+    stream_repair(spark, sf, out, ckpt, schema, ATTRS, to_raw=_raw_from_documents(spark),
+                  glob="documents.parquet")
+    r = spark.read.parquet(out)
+    return r.select("doc_id", "status", "lang", F.array_join("tags", "|").alias("tags"),
+                    F.col("type.is_human").alias("is_human"),
+                    F.col("type.character_type").alias("character_type"))
+
+
+@register(
+    "stream_dedup",
+    "select distinct user_id, event_type from events",
+)
+def q_stream_dedup(spark, sf):
+    """Re-sent events with the same (user, type) inside the watermark are
+    dropped; one micro-batch keeps exactly one row per key."""
+    schema = table(spark, sf, "events").schema
+    base = scratch_path(spark, "stream-dedup")
+    out, ckpt = os.path.join(base, "out"), os.path.join(base, "ckpt")
+    stream_dedup(spark, sf, out, ckpt, schema, ["user_id", "event_type"], "ts", "1 hour",
+                 glob="events.parquet")
+    return spark.read.parquet(out).select("user_id", "event_type")
+
+
+@register(
+    "predictions_csv_roundtrip",
+    with_clause("raw_outputs") + """select concat('doc/', cast(doc_id as varchar)) book, 'c' || cast(doc_id as varchar) character,
+  raw output, cast(doc_id % 7 as bigint) mentions_counter from raw_outputs""",
+)
+def q_predictions_csv(spark, sf):
+    """A7 + A2: predictions with newlines, quotes and ';' in the output are
+    written as ';' CSV and read back unchanged (one row per prediction)."""
+    from charlens.sources.fixtures import view
+
+    raw = view(spark, sf, "raw_outputs")
+    pred = raw.select(
+        F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("Book"),
+        F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("Character"),
+        F.col("raw").alias("Output"),
+        (F.col("doc_id") % 7).cast("bigint").alias("Mentions_counter"),
+        F.array(F.lit("p1"), F.lit("p;2")).alias("Selected_passages"),
+    )
+    path = scratch_path(spark, "pred-csv")
+    write_csv(pred, path, sep=";")
+    back = read_predictions(spark, path)
+    return back.select("book", "character", "output", "mentions_counter")
