@@ -39,11 +39,10 @@ def py_strip(x) -> Column:
 
 
 def tokens(x) -> Column:
-    """Python ``str.split()`` as a column: whitespace runs, no empty tokens."""
-    s = py_strip(x)
-    return F.when(s.isNull(), F.lit(None)).when(s == "", F.array().cast("array<string>")).otherwise(
-        F.split(s, WS_RUN)
-    )
+    """Python ``str.split()`` as a column: split on whitespace runs; only
+    a leading or trailing run can leave an empty piece, and those are removed
+    (one regex pass, no trim pass)."""
+    return F.array_remove(F.split(_c(x), WS_RUN, -1), "")
 
 
 # ---- S1 accent folding -------------------------------------------------------
@@ -72,7 +71,14 @@ def _fold_joined_batch(text: pd.Series) -> pd.Series:
     # tokens joined by one blank, then folded as a whole string: whitespace is
     # untouched by lower/NFD/mark removal, so split(' ') keeps token positions
     # (a token made only of marks becomes '' and still holds its place).
-    return text.map(lambda t: None if t is None else fold_str(" ".join(t.split())))
+    # A text without tokens gives null (told apart from one empty token).
+    def one(t):
+        if t is None:
+            return None
+        toks = t.split()
+        return fold_str(" ".join(toks)) if toks else None
+
+    return text.map(one)
 
 
 def _fold_plain_batch(text: pd.Series) -> pd.Series:
@@ -83,9 +89,12 @@ _UDFS: dict = {}
 
 
 def _udf(fn, rtype=T.StringType()):
-    """Arrow pandas UDFs are built on first use (no session needed at import)."""
+    """Arrow pandas UDFs are built on first use (no session needed at import).
+
+    They are pure, but flagged non-deterministic so the optimizer never
+    copies the Python call into an inferred filter (it would run twice)."""
     if fn not in _UDFS:
-        _UDFS[fn] = F.pandas_udf(fn, rtype)
+        _UDFS[fn] = F.pandas_udf(fn, rtype).asNondeterministic()
     return _UDFS[fn]
 
 
@@ -99,8 +108,10 @@ def _fold_plain(c: Column) -> Column:
 
 def folded_tokens(text) -> Column:
     """S1+S2+S3 on a book: folded token i corresponds to original token i."""
-    toks = tokens(text)
-    return F.when(F.size(toks) == 0, toks).otherwise(F.split(_fold_joined(_c(text)), " ", -1))
+    folded = _fold_joined(_c(text))
+    return (F.when(_c(text).isNull(), F.lit(None).cast("array<string>"))
+            .when(folded.isNull(), F.array().cast("array<string>"))
+            .otherwise(F.split(folded, " ", -1)))
 
 
 def fold(x) -> Column:

@@ -47,10 +47,12 @@ def alias_table(characters: DataFrame, url="url", name="name", aliases="aliases"
         F.col(url).alias("url"), F.col(name).alias("character"), F.posexplode(names).alias("alias_no", "alias")
     ).where(F.col("alias").isNotNull() & (py_strip("alias") != ""))
     toks = ex.withColumn("toks", tokens(fold(F.col("alias"))))
+    # small (characters x aliases) and read by several branches of the plan:
+    # persisted so the Python fold runs once
     return toks.where(F.size("toks") > 0).select(
         "url", "character", "alias_no", "toks",
         F.size("toks").alias("alias_len"), F.col("toks")[0].alias("first_tok"),
-    )
+    ).persist()
 
 
 def candidates(books: DataFrame, aliases: DataFrame, max_len: int | None = None) -> DataFrame:
@@ -85,8 +87,12 @@ def _greedy_fold(items: Column) -> Column:
 
 
 def select_mentions(cands: DataFrame) -> DataFrame:
-    """Steps 4-5: first listed alias per position, then greedy non-overlap."""
-    best = cands.groupBy("url", "character", "pos").agg(
+    """Steps 4-5: first listed alias per position, then greedy non-overlap.
+
+    Candidates are hash-partitioned by ``url`` once; every later grouping,
+    window and the join back to the book are keyed by (url, ...), so they
+    reuse that partitioning without another shuffle of the candidates."""
+    best = cands.repartition("url").groupBy("url", "character", "pos").agg(
         F.min_by("alias_len", "alias_no").cast("int").alias("len")
     ).withColumn("pos", F.col("pos").cast("int"))
     w = Window.partitionBy("url", "character").orderBy("pos")
@@ -107,9 +113,7 @@ def cut_passages(books: DataFrame, mentions: DataFrame, window: int = 200) -> Da
     """passage = original tokens [pos-half, pos+len+half) clipped to the
     book, joined by one blank; half = max(1, window // 2)."""
     half = max(1, window // 2)
-    toks = books.join(mentions.select("url").distinct(), "url", "left_semi").select(
-        "url", tokens(F.col("text")).alias("tokens")
-    )
+    toks = books.select("url", tokens(F.col("text")).alias("tokens"))
     j = mentions.join(toks, "url")
     start = F.greatest(F.col("pos") - half, F.lit(0))
     end = F.least(F.size("tokens"), F.col("pos") + F.col("len") + half)

@@ -96,13 +96,26 @@ select doc_id, lang, source, case when doc_id%5=0 then lang else 'human' end typ
     ),
 }
 
-# views that read other views (dependency order for DuckDB WITH clauses)
-_VIEW_DEPS: dict[str, list[str]] = {}
+# base tables read once per (session, folder); the views are resolved eagerly,
+# so re-pointing the base names at another folder never changes a built view
+_TABLES: dict[tuple[int, str, str], DataFrame] = {}
+_REGISTERED: dict[int, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = (id(spark), sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _TABLES[key]
 
 
 def register_base(spark: SparkSession, sf_dir: str, names=None) -> None:
+    if names is None and _REGISTERED.get(id(spark)) == sf_dir:
+        return
     for t in names or BASE_TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
+    if names is None:
+        _REGISTERED[id(spark)] = sf_dir
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,10 +125,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name])
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def with_clause(*names: str) -> str:
     """DuckDB WITH clause defining the named views over the registered tables."""
     parts = [f"{n} AS ({VIEWS[n]})" for n in names]
