@@ -67,8 +67,8 @@ def _empty_title_hits(empty: DataFrame, authors: DataFrame) -> DataFrame:
     """Empty wanted title: found iff some catalogue author contains the last
     name; blocked on the last name's rarest n-gram like titles."""
     # last name '' is contained in any author: found iff any author exists
-    has_any = authors.select(F.lit("").alias("ln")).limit(1)
-    e_blank = empty.join(has_any, "ln", "left_semi")
+    # (an uncorrelated EXISTS subquery, planned as a filter, not a join)
+    e_blank = empty.where((F.col("ln") == "") & authors.exists())
     # otherwise block on every gram length a last name may use
     ag = authors.select("a", F.explode(F.array(*[
         F.struct(F.lit(k).alias("k"), _grams(F.col("a"), k).alias("gs")) for k in range(1, N + 1)
