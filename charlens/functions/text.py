@@ -107,13 +107,25 @@ def _fold_plain(c: Column) -> Column:
 
 
 def folded_tokens(text) -> Column:
-    """S1+S2+S3 on a book: folded token i corresponds to original token i."""
-    folded = _fold_joined(_c(text))
-    return (F.when(_c(text).isNull(), F.lit(None).cast("array<string>"))
+    """S1+S2+S3 on a book: folded token i corresponds to original token i.
+    (Column form; ``with_folded_tokens`` keeps the Python call to one per row.)"""
+    return _split_folded(_fold_joined(_c(text)), _c(text))
+
+
+def _split_folded(folded: Column, text: Column) -> Column:
+    return (F.when(text.isNull(), F.lit(None).cast("array<string>"))
             .when(folded.isNull(), F.array().cast("array<string>"))
             .otherwise(F.split(folded, " ", -1)))
 
 
+def with_folded_tokens(df, text_col: str, out_col: str):
+    """DataFrame form of ``folded_tokens``: the fold runs in its own
+    projection, so it is evaluated exactly once per row."""
+    tmp = f"_{out_col}_folded"
+    return df.withColumn(tmp, _fold_joined(F.col(text_col))).withColumn(
+        out_col, _split_folded(F.col(tmp), F.col(text_col))).drop(tmp)
+
+
 def fold(x) -> Column:
     """S1+S3 on short strings (names, aliases): fold first, tokenise after."""
     return _fold_plain(_c(x))

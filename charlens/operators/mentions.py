@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from charlens.functions.text import fold, folded_tokens, py_strip, tokens
+from charlens.functions.text import fold, py_strip, tokens, with_folded_tokens
 from charlens.operators.relational import broadcast_if_small
 
 
@@ -62,7 +62,7 @@ def candidates(books: DataFrame, aliases: DataFrame, max_len: int | None = None)
         max_len = int(aliases.agg(F.max("alias_len")).first()[0] or 1)
     books = books.join(aliases.select("url").distinct(), "url", "left_semi")
     firsts = aliases.select(F.col("first_tok").alias("tok")).distinct()
-    norm = books.select("url", folded_tokens(F.col("text")).alias("norm"))
+    norm = with_folded_tokens(books.select("url", "text"), "text", "norm").select("url", "norm")
     pos = norm.select("url", "norm", F.posexplode("norm").alias("pos", "tok"))
     pos = pos.join(broadcast_if_small(firsts), "tok", "left_semi")
     pos = pos.select("url", "pos", "tok", F.slice("norm", F.col("pos") + 1, max_len).alias("win"))
@@ -130,6 +130,10 @@ def extract_mentions(books: DataFrame, characters: DataFrame, window: int = 200,
     around each.  ``books(url, text)``, ``characters(url, name, aliases)``;
     a character whose book is missing gets no rows (inner join)."""
     al = alias_table(characters, url, name, aliases)
+    # one shuffle of the books by url: spreads the per-book work (tokenise,
+    # fold, explode) over all tasks and is the partitioning of every later
+    # url-keyed step; both branches reuse this exchange
+    books = books.select("url", "text").repartition("url")
     return cut_passages(books, select_mentions(candidates(books, al)), window)
 
 

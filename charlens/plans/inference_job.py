@@ -59,7 +59,10 @@ def run_inference(spark: SparkSession, books: DataFrame, characters: DataFrame,
                   k: int = 10) -> DataFrame:
     """Predictions ``(book, character, output, status, mentions_counter,
     selected_passages)``; ``characters(url, name, aliases array)``."""
-    mentions = MN.extract_mentions(books, characters, window)
+    # mentions feed several branches (counts, selection, excerpts): written
+    # once to the shared checkpoint folder instead of being recomputed, and a
+    # lost executor does not send the job back to the books
+    mentions = MN.extract_mentions(books, characters, window).checkpoint()
     counts = MN.mention_counts(characters.join(books.select("url"), "url", "left_semi"), mentions)
     sel = select_passages(spark, mentions, characters, attrs, strategy, embed, k)
     rows = counts.join(sel, ["url", "character"], "left").withColumn(
@@ -67,7 +70,8 @@ def run_inference(spark: SparkSession, books: DataFrame, characters: DataFrame,
     exc = R.excerpts(F.col("passages"))
     rows = rows.withColumn(
         "prompt", F.when(py_strip(exc) != "", R.build_prompt(F.col("character"), exc, attrs)))
-    out = infer(rows, model_fn)
+    # prompts are checkpointed before the (expensive, retried) model calls
+    out = infer(rows.checkpoint(), model_fn)
     return out.select(
         F.col("url").alias("book"), "character", "output", "status",
         "mentions_counter", F.col("passages").alias("selected_passages"),
