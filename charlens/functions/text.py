@@ -135,7 +135,7 @@ def fold(x) -> Column:
 def last_token_lower(x) -> Column:
     """Last whitespace token, lower case; blank or null -> ''."""
     t = tokens(x)
-    return F.coalesce(F.lower(F.element_at(t, -1)), F.lit(""))
+    return F.coalesce(F.lower(F.try_element_at(t, F.lit(-1))), F.lit(""))
 
 
 def uri_tail(x) -> Column:

@@ -15,13 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from charlens.functions.text import last_token_lower, py_strip
+from charlens.operators.relational import broadcast_if_small
 
 N = 3
 
 
 def _grams(text: Column, n: Column | int) -> Column:
-    """Distinct substrings of length n (all of text when shorter)."""
-    n = F.lit(n) if isinstance(n, int) else n
+    """Distinct substrings of length n (all of text when shorter).  A fixed n
+    uses one native regex pass (overlapping matches through a lookahead)."""
+    if isinstance(n, int):
+        allg = F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1))
+        return F.when(F.length(text) <= n, F.array(text)).otherwise(F.array_distinct(allg))
     ln = F.length(text)
     return F.when(ln <= n, F.array(text)).otherwise(
         F.array_distinct(F.transform(F.sequence(F.lit(1), ln - n + 1), lambda i: F.substring(text, i, n)))
@@ -39,12 +43,19 @@ def flag_in_catalog(books: DataFrame, catalog: DataFrame, title: str = "title",
         F.lower(py_strip(F.coalesce(F.col(cat_title), F.lit("")))).alias("ct"),
         F.transform(F.coalesce(F.col(cat_authors), F.array().cast("array<string>")), lambda a: F.lower(a))
         .alias("ca"),
-    ).withColumn("cid", F.xxhash64("ct", "ca"))
-    # gram index of the catalogue, for every gram length a wanted title may use
-    lens = [n] + list(range(1, n))
-    cg = cat.select("cid", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), _grams(F.col("ct"), k).alias("gs")) for k in lens
-    ])).alias("x")).select("cid", F.col("x.k").alias("k"), F.explode("x.gs").alias("g")).distinct()
+    ).withColumn("cid", F.xxhash64("ct", "ca")).repartition("cid")
+    # gram index of the catalogue: all n-grams, plus the shorter grams equal
+    # to some wanted title shorter than n (a set bounded by construction --
+    # strings of fewer than n characters -- so it is broadcast and filters
+    # the short grams in the same stage, before any shuffle)
+    cg = cat.select("cid", F.explode(_grams(F.col("ct"), n)).alias("g")).withColumn("k", F.lit(n))
+    if n > 1:
+        short = want.where((F.length("t") > 0) & (F.length("t") < n)).select(
+            F.length("t").alias("k"), F.col("t").alias("g")).distinct()
+        cs = cat.select("cid", F.explode(F.array(*[
+            F.struct(F.lit(k).alias("k"), _grams(F.col("ct"), k).alias("gs")) for k in range(1, n)
+        ])).alias("x")).select("cid", F.col("x.k").alias("k"), F.explode("x.gs").alias("g"))
+        cg = cg.unionByName(cs.join(broadcast_if_small(short), ["k", "g"], "left_semi"))
     freq = cg.groupBy("k", "g").agg(F.count("*").alias("cnt"))
     wk = F.least(F.length("t"), F.lit(n))
     wg = want.where(F.length("t") > 0).select("t", "ln", wk.alias("k"), F.explode(_grams(F.col("t"), wk)).alias("g"))

@@ -7,6 +7,8 @@ driver tables; every one grows with the scale factor.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = (
@@ -103,12 +105,32 @@ _REGISTERED: dict[int, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table.  The driver files are single row groups, which Spark
+    cannot split; such a scan is spread over the default parallelism once, so
+    per-row work downstream does not run in one task.  A large, many-file
+    dump already has enough splits and is left as read."""
     key = (id(spark), sf_dir, name)
     if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        path = f"{sf_dir}/{name}.parquet"
+        df = spark.read.parquet(path)
+        par = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < par and _size(path) > SPREAD_MIN_BYTES:
+            df = df.repartition(par)
+        _TABLES[key] = df
     return _TABLES[key]
 
 
+SPREAD_MIN_BYTES = 4 << 20
+
+
+def _size(path: str) -> int:
+    try:
+        return os.path.getsize(path) if os.path.isfile(path) else sum(
+            os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs)
+    except OSError:
+        return SPREAD_MIN_BYTES + 1
+
+
 def register_base(spark: SparkSession, sf_dir: str, names=None) -> None:
     if names is None and _REGISTERED.get(id(spark)) == sf_dir:
         return
