@@ -100,11 +100,12 @@ def fold_attributes(st: DataFrame, labels: DataFrame, subjects: DataFrame | None
     s = with_label(s, "o", lt, "_olab", fallback=False)
     value = F.when(is_ent, F.coalesce("_olab", uri_tail(F.col("o")))).otherwise(F.col("o"))
     s = s.select("s", "prop", "_ord", F.struct(value.alias("text"), F.col("_lang").alias("lang")).alias("v"))
-    # both aggregations group on the subject first: one shuffle on s
+    # all aggregations group on the subject first: one shuffle on s; repeated
+    # values are merged (first-seen order kept) before anything is collected
     s = s.repartition("s")
+    s = s.groupBy("s", "prop", "v").agg(F.min("_ord").alias("_ord"))
     per = s.groupBy("s", "prop").agg(
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "v"))), lambda x: x["v"]))
-        .alias("values"),
+        F.transform(F.array_sort(F.collect_list(F.struct("_ord", "v"))), lambda x: x["v"]).alias("values"),
         F.min("_ord").alias("_first"),
     )
     return per.groupBy("s").agg(

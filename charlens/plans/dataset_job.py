@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from charlens.operators import graph as G
 from charlens.operators.catalog import flag_in_catalog
 from charlens.operators.relational import dedup_first
+from charlens.session import checkpoint_root
 
 
 def build_dataset(st: DataFrame, labels: DataFrame, catalog: DataFrame, cutoff: str, genre: str,
@@ -35,6 +36,11 @@ def build_dataset(st: DataFrame, labels: DataFrame, catalog: DataFrame, cutoff:
                         ["_br", "book_title", "book_author"]).drop("_br")
     if wide_columns is None:
         return chars, None
+    # the character table feeds three branches (fold, basic info, final join):
+    # written once to the shared checkpoint folder instead of re-running both
+    # book branches and the catalogue match for each
+    checkpoint_root(chars.sparkSession)
+    chars = chars.checkpoint()
     docs = G.fold_attributes(st, labels, chars, entity_prefixes=entity_prefixes)
     info = G.basic_info(st.join(chars.select(F.col("character_uri").alias("s")), "s", "left_semi"),
                         alias_p=alias_p, desc_p=desc_p)

@@ -110,6 +110,18 @@ def evaluate(
     return report, scores
 
 
+def load_and_clean(pred: DataFrame, datatype: str, attrs: Mapping[str, str],
+                   output_col: str = "output") -> DataFrame:
+    """Baseline predictions already hold attribute columns and are used
+    as they are; raw and cleaned outputs go through the repair job (cleaned
+    ones are repaired again, which is a no-op on valid JSON)."""
+    if datatype == "baseline":
+        return pred
+    from charlens.operators.repair import repair_outputs
+
+    return repair_outputs(pred, attrs, output_col=output_col)
+
+
 def report_with_run(report: DataFrame, run_id: str, source_path: str) -> DataFrame:
     """Stamp a report with the run identity before appending it."""
     return report.select(

@@ -19,6 +19,7 @@ from charlens.functions.text import py_strip
 from charlens.operators import mentions as MN
 from charlens.operators import retrieval as R
 from charlens.operators.inference import embed_texts, infer
+from charlens.session import checkpoint_root
 
 STRATEGIES = ("all_mentions", "embedding")
 
@@ -62,6 +63,7 @@ def run_inference(spark: SparkSession, books: DataFrame, characters: DataFrame,
     # mentions feed several branches (counts, selection, excerpts): written
     # once to the shared checkpoint folder instead of being recomputed, and a
     # lost executor does not send the job back to the books
+    checkpoint_root(spark)  # the session's shared folder (set only when unset)
     mentions = MN.extract_mentions(books, characters, window).checkpoint()
     counts = MN.mention_counts(characters.join(books.select("url"), "url", "left_semi"), mentions)
     sel = select_passages(spark, mentions, characters, attrs, strategy, embed, k)

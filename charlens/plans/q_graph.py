@@ -213,3 +213,35 @@ def dataset_found_books(spark, sf):
 
 
 
+
+
+@register(
+    "dataset_wide",
+    _K1 + f""",
+subj AS (select distinct character_uri s from dc),
+vals AS (select t.s, coalesce(lp.label, {_TAIL.format(x='t.p')}) prop,
+   case when t.o like 'char/%' or t.o like 'person/%' or t.o like 'book/%'
+        then coalesce(lo.label, {_TAIL.format(x='t.o')}) else t.o end v, t.o ord
+   from triples t join subj on t.s=subj.s left join lt lp on lp.id=t.p left join lt lo on lo.id=t.o),
+fv AS (select s, prop, list(v order by ord) vs from (select s, prop, v, min(ord) ord from vals group by s, prop, v) x
+       group by s, prop),
+wide AS (select s,
+  max(case when prop='brand label' then array_to_string(vs, ', ') end) attr_brand_label,
+  max(case when prop='kind label' then array_to_string(vs, ', ') end) attr_kind_label,
+  max(case when prop='alias' then array_to_string(vs, ', ') end) attr_alias
+  from fv group by s)
+select dc.character_name, dc.character_uri, dc.book_title, dc.book_author,
+  array_to_string(coalesce(a.al, []::varchar[]), ', ') also_known_as, d.description,
+  w.attr_brand_label, w.attr_kind_label, w.attr_alias
+from dc left join (select s, list_sort(list(distinct o)) al from triples where p='alias' group by s) a on a.s=dc.character_uri
+left join (select s, min(o) description from triples where p='kind' group by s) d on d.s=dc.character_uri
+left join wide w on w.s=dc.character_uri""",
+)
+def dataset_wide(spark, sf):
+    """K1 end to end: characters -> D3 fold + D4 basic info -> D5 wide table."""
+    st, lb = _st(spark, sf)
+    cat = view(spark, sf, "book_catalog").select("title", F.array("author").alias("authors"))
+    _, wide = build_dataset(st, lb, cat, CUTOFF, GENRE, wide_columns=WIDE_COLUMNS, desc_p="kind")
+    return wide.select(
+        "character_name", "character_uri", "book_title", "book_author", "also_known_as", "description",
+        *[F.col(f"`attr_{c}`").alias("attr_" + c.replace(" ", "_")) for c in WIDE_COLUMNS])

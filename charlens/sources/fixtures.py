@@ -120,7 +120,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _TABLES[key]
 
 
-SPREAD_MIN_BYTES = 4 << 20
+SPREAD_MIN_BYTES = 1 << 20
 
 
 def _size(path: str) -> int:
