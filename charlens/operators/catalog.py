@@ -43,7 +43,10 @@ def flag_in_catalog(books: DataFrame, catalog: DataFrame, title: str = "title",
         F.lower(py_strip(F.coalesce(F.col(cat_title), F.lit("")))).alias("ct"),
         F.transform(F.coalesce(F.col(cat_authors), F.array().cast("array<string>")), lambda a: F.lower(a))
         .alias("ca"),
-    ).withColumn("cid", F.xxhash64("ct", "ca")).repartition("cid")
+    ).withColumn("cid", F.xxhash64("ct", "ca")).withColumn(
+        # authors joined by a line feed: a last name has no whitespace, so it
+        # is contained in the joined text iff it is contained in one author
+        "ca_text", F.array_join("ca", "\n")).repartition("cid")
     # gram index of the catalogue: all n-grams, plus the shorter grams equal
     # to some wanted title shorter than n (a set bounded by construction --
     # strings of fewer than n characters -- so it is broadcast and filters
@@ -58,11 +61,11 @@ def flag_in_catalog(books: DataFrame, catalog: DataFrame, title: str = "title",
         cg = cg.unionByName(cs.join(broadcast_if_small(short), ["k", "g"], "left_semi"))
     freq = cg.groupBy("k", "g").agg(F.count("*").alias("cnt"))
     wk = F.least(F.length("t"), F.lit(n))
-    wg = want.where(F.length("t") > 0).select("t", "ln", wk.alias("k"), F.explode(_grams(F.col("t"), wk)).alias("g"))
+    wg = want.where(F.length("t") > 0).select("t", "ln", wk.alias("k"), F.explode(_grams(F.col("t"), n)).alias("g"))
     rare = wg.join(freq, ["k", "g"]).groupBy("t", "ln").agg(F.min_by(F.struct("k", "g"), "cnt").alias("r"))
     cand = rare.select("t", "ln", F.col("r.k").alias("k"), F.col("r.g").alias("g")).join(cg, ["k", "g"])
     cand = cand.join(cat, "cid")
-    hit_author = F.exists(F.col("ca"), lambda a: F.contains(a, F.col("ln")))
+    hit_author = (F.size("ca") > 0) & F.contains(F.col("ca_text"), F.col("ln"))
     hits = cand.where(F.contains(F.col("ct"), F.col("t")) & hit_author).select("t", "ln").distinct()
     # empty title: contained in every catalogue title, so only authors decide
     any_author = cat.select(F.explode("ca").alias("a"))
