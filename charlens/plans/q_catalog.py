@@ -29,7 +29,7 @@ def catalog_flags(spark, sf):
     return _flags(spark, sf)
 
 
-@register("catalog_found_share", _SQL + "select count_if(found) found, count(*) total from f")
+@register("catalog_found_share", _SQL + "select cast(count_if(found) as bigint) found, count(*) total from f")
 def catalog_found_share(spark, sf):
     """Found / total."""
     return found_share(_flags(spark, sf))

@@ -46,9 +46,9 @@ a AS (select d.doc_id, d.lang lg, r.lang lp, [d.source] tg,
         d.type_gold, r.is_human
       from doc_gold d join rep r on d.doc_id=r.doc_id),
 s AS (select doc_id,
-  case when lg is not null and lp is not null then case when lower(lg)=lower(lp) then 1.0 else 0.0 end end score_lang,
+  case when lg is not null and lp is not null then case when lower(lg)=lower(lp) then 1.0::double else 0.0::double end end score_lang,
   round(2.0*len(list_filter(list_distinct(tg), lambda x: list_contains(tp, x)))/(len(list_distinct(tg))+len(list_distinct(tp))), 6) score_tags,
-  case when is_human is not null then case when coalesce(lower(type_gold)='human', false)=is_human then 1.0 else 0.0 end end score_is_human
+  case when is_human is not null then case when coalesce(lower(type_gold)='human', false)=is_human then 1.0::double else 0.0::double end end score_is_human
  from a)
 """
 

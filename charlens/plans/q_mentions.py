@@ -135,5 +135,6 @@ def q_token_stats(spark, sf):
     changed = F.aggregate(
         F.zip_with("t", "f", lambda a, b: F.when(F.lower(a) != b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x
     )
-    return b.select("url", F.size("t").alias("n_tokens"), changed.alias("n_accented"))
+    return b.select("url", F.size("t").cast("bigint").alias("n_tokens"),
+                    changed.cast("bigint").alias("n_accented"))
 

@@ -39,7 +39,7 @@ def closed_report(spark, sf):
     "closed_row_scores",
     with_clause("closed")
     + """select doc_id, gold, pred,
-  case when gold is not null and pred is not null then case when lower(gold)=lower(pred) then 1.0 else 0.0 end end score,
+  case when gold is not null and pred is not null then case when lower(gold)=lower(pred) then 1.0::double else 0.0::double end end score,
   case when gold is not null then case when coalesce(lower(gold)='en', false) = coalesce(lower(pred)='en', false) then 1 else 0 end end agree_en
 from closed""",
 )
@@ -88,11 +88,12 @@ def ordinal_report(spark, sf):
     return M.classification_report(_ordinal_aligned(spark, sf))
 
 
-_W_SQL = """w AS (select * from (values
+_W_SQL = """w0t AS (select * from (values
  ('child','child',1.0),('child','teenager',0.8),('child','adult',0.0),('child','senior',0.0),
  ('teenager','child',0.8),('teenager','teenager',1.0),('teenager','adult',0.8),('teenager','senior',0.0),
  ('adult','teenager',0.8),('adult','adult',1.0),('adult','senior',0.8),('adult','child',0.0),
- ('senior','adult',0.8),('senior','senior',1.0),('senior','teenager',0.0),('senior','child',0.0)) t(wg,wp,w))"""
+ ('senior','adult',0.8),('senior','senior',1.0),('senior','teenager',0.0),('senior','child',0.0)) t(wg,wp,w0)),
+w AS (select wg, wp, cast(w0 as double) w from w0t)"""
 
 def _soft_sql(*extra: str) -> str:
     return (
@@ -101,7 +102,7 @@ def _soft_sql(*extra: str) -> str:
     + _W_SQL
     + """,
 soft AS (select o.doc_id, o.gold, o.pred,
-  case when o.gold is not null and o.pred is not null then coalesce(w.w, 0.0) end soft_score
+  case when o.gold is not null and o.pred is not null then coalesce(w.w, 0.0::double) end soft_score
  from ordinal o left join w on lower(trim(o.gold))=w.wg and lower(trim(o.pred))=w.wp)
 """
     )
@@ -130,7 +131,7 @@ def ordinal_soft_f1(spark, sf):
     "ordinal_merged_scores",
     _SOFT_ROWS_SQL
     + """, hard AS (select doc_id, case when gold is not null and pred is not null then
-     case when lower(gold)=lower(pred) then 1.0 else 0.0 end end score from ordinal)
+     case when lower(gold)=lower(pred) then 1.0::double else 0.0::double end end score from ordinal)
 select coalesce(h.doc_id, s.doc_id) doc_id, h.score, s.soft_score,
   coalesce(s.soft_score, h.score) best_score
 from hard h full outer join soft s on h.doc_id=s.doc_id""",
@@ -186,9 +187,9 @@ def sets_row_f1(spark, sf):
     alg = set_algebra(F.col("gold"), F.col("pred"))
     return s.select(
         "user_id",
-        c["n_gold"].alias("n_gold"),
-        c["n_pred"].alias("n_pred"),
-        c["tp"].alias("tp"),
+        c["n_gold"].cast("bigint").alias("n_gold"),
+        c["n_pred"].cast("bigint").alias("n_pred"),
+        c["tp"].cast("bigint").alias("tp"),
         M.set_f1().alias("f1"),
         F.array_join(alg["union"], "|").alias("union_labels"),
         F.array_join(alg["intersection"], "|").alias("common_labels"),
@@ -211,10 +212,10 @@ def sets_micro_f1(spark, sf):
 @register(
     "consolidated_scores",
     _soft_sql("closed")
-    + """, t1 AS (select doc_id, case when gold is not null and pred is not null then case when lower(gold)=lower(pred) then 1.0 else 0.0 end end x,
-        case when gold is not null then case when coalesce(lower(gold)='en', false) = coalesce(lower(pred)='en', false) then 1.0 else 0.0 end end y
+    + """, t1 AS (select doc_id, case when gold is not null and pred is not null then case when lower(gold)=lower(pred) then 1.0::double else 0.0::double end end x,
+        case when gold is not null then case when coalesce(lower(gold)='en', false) = coalesce(lower(pred)='en', false) then 1.0::double else 0.0::double end end y
        from closed),
-t2 AS (select doc_id, soft_score x, case when gold is not null and pred is not null then case when lower(gold)=lower(pred) then 1.0 else 0.0 end end z from soft),
+t2 AS (select doc_id, soft_score x, case when gold is not null and pred is not null then case when lower(gold)=lower(pred) then 1.0::double else 0.0::double end end z from soft),
 u AS (select doc_id, x, y, null::double z, 0 k from t1 union all select doc_id, x, null, z, 1 from t2)
 select doc_id, arg_min(x, k) filter (where x is not null) x, arg_min(y, k) filter (where y is not null) y,
        arg_min(z, k) filter (where z is not null) z
