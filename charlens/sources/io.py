@@ -91,7 +91,7 @@ def read_books(spark: SparkSession, path: str, url_prefix: str | None = None) ->
     """One book per file (``wholetext``) -> ``(url, text)``; the url is the
     file path (or ``url_prefix`` + file name).  A book that cannot be read
     simply has no row, so its characters drop out of the inner join."""
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     src = F.input_file_name()
     url = F.concat(F.lit(url_prefix), F.substring_index(src, "/", -1)) if url_prefix else src
     return df.select(url.alias("url"), F.col("value").alias("text"))

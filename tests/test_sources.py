@@ -56,3 +56,28 @@ def test_require_columns(spark):
         pass
     assert io.lower_columns(df).columns == ["age"]
 
+
+
+def test_read_books_whole_files(spark, tmp_path):
+    d = tmp_path / "books"
+    d.mkdir()
+    (d / "1.txt").write_text("Call me Ishmael.\nSome years ago")
+    (d / "2.txt").write_text("It was the best of times")
+    b = io.read_books(spark, str(d), url_prefix="book/")
+    rows = {r["url"]: r["text"] for r in b.collect()}
+    assert rows == {"book/1.txt": "Call me Ishmael.\nSome years ago", "book/2.txt": "It was the best of times"}
+
+
+def test_csv_json_readers_and_json_sink(spark, tmp_path):
+    c = tmp_path / "books.csv"
+    c.write_text('title,author,exists_on_gutenberg\n"Emma, a novel",Jane Austen,true\nLost,X,false\n')
+    df = io.read_csv(spark, str(c), "title string, author string, exists_on_gutenberg boolean")
+    assert df.where("exists_on_gutenberg").select("title").first()[0] == "Emma, a novel"
+    j = tmp_path / "chars.json"
+    j.write_text('[{"character_name": "Élise", "attributes": {"sex": "female"}}, {"character_name": "B"}]')
+    docs = io.read_json_documents(spark, str(j), "character_name string, attributes map<string,string>")
+    assert docs.count() == 2
+    out = scratch_path(spark, "json-sink")
+    io.write_json(docs, out)
+    back = spark.read.json(out).select("character_name").collect()
+    assert sorted(r[0] for r in back) == ["B", "Élise"]
