@@ -13,6 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# --- fixed values -----------------------------------------------------------
+# Field names of the gold JSON Lines file and of the ';' predictions CSV, as
+# the input formats define them: name, aliases, book.gutenberg_url,
+# book.book_title, attributes; Book, Character, Output, Mentions_counter,
+# Selected_passages.
 GOLD_SCHEMA = (
     "name STRING, aliases VARIANT, "
     "book STRUCT<gutenberg_url: STRING, book_title: STRING>, attributes VARIANT"
@@ -25,6 +30,7 @@ PRED_SCHEMA = T.StructType([
     T.StructField("Mentions_counter", T.LongType()),
     T.StructField("Selected_passages", T.StringType()),
 ])
+# ---------------------------------------------------------------------------
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:

@@ -70,9 +70,9 @@ def test_read_books_whole_files(spark, tmp_path):
 
 def test_csv_json_readers_and_json_sink(spark, tmp_path):
     c = tmp_path / "books.csv"
-    c.write_text('title,author,exists_on_gutenberg\n"Emma, a novel",Jane Austen,true\nLost,X,false\n')
-    df = io.read_csv(spark, str(c), "title string, author string, exists_on_gutenberg boolean")
-    assert df.where("exists_on_gutenberg").select("title").first()[0] == "Emma, a novel"
+    c.write_text('title,author,in_catalog\n"Emma, a novel",Jane Austen,true\nLost,X,false\n')
+    df = io.read_csv(spark, str(c), "title string, author string, in_catalog boolean")
+    assert df.where("in_catalog").select("title").first()[0] == "Emma, a novel"
     j = tmp_path / "chars.json"
     j.write_text('[{"character_name": "Élise", "attributes": {"sex": "female"}}, {"character_name": "B"}]')
     docs = io.read_json_documents(spark, str(j), "character_name string, attributes map<string,string>")
