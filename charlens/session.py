@@ -9,6 +9,15 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def _driver_memory() -> str:
+    """60% of physical memory, at most 16g (local mode: the driver is the executor)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        return f"{max(1, min(16, int(total * 0.6) >> 30))}g"
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+
+
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Session used by tests and ``bench.py``; AQE on, UI off, UTC."""
     spark = (
@@ -24,7 +33,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("BENCH_MEM", _driver_memory()))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
