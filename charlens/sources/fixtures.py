@@ -100,8 +100,14 @@ select doc_id, lang, source, case when doc_id%5=0 then lang else 'human' end typ
 
 # base tables read once per (session, folder); the views are resolved eagerly,
 # so re-pointing the base names at another folder never changes a built view
-_TABLES: dict[tuple[int, str, str], DataFrame] = {}
-_REGISTERED: dict[int, str] = {}
+_TABLES: dict[tuple[str, int, str, str], DataFrame] = {}
+_REGISTERED: dict[tuple[str, int], str] = {}
+
+
+def _session_key(spark: SparkSession) -> tuple[str, int]:
+    # the application id changes with every new context, so a stopped and
+    # recreated session never sees cached plans of the old one
+    return spark.sparkContext.applicationId, id(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,8 +115,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     cannot split; such a scan is spread over the default parallelism once, so
     per-row work downstream does not run in one task.  A large, many-file
     dump already has enough splits and is left as read."""
-    key = (id(spark), sf_dir, name)
-    if key not in _TABLES:
+    key = (*_session_key(spark), sf_dir, name)
+    if key not in _TABLES or _TABLES[key].sparkSession is not spark:
         path = f"{sf_dir}/{name}.parquet"
         df = spark.read.parquet(path)
         par = spark.sparkContext.defaultParallelism
@@ -132,12 +138,13 @@ def _size(path: str) -> int:
 
 
 def register_base(spark: SparkSession, sf_dir: str, names=None) -> None:
-    if names is None and _REGISTERED.get(id(spark)) == sf_dir:
+    sk = _session_key(spark)
+    if names is None and _REGISTERED.get(sk) == sf_dir and spark.catalog.tableExists(BASE_TABLES[0]):
         return
     for t in names or BASE_TABLES:
         table(spark, sf_dir, t).createOrReplaceTempView(t)
     if names is None:
-        _REGISTERED[id(spark)] = sf_dir
+        _REGISTERED[sk] = sf_dir
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
