@@ -107,7 +107,10 @@ _REGISTERED: dict[tuple[str, int], str] = {}
 def _session_key(spark: SparkSession) -> tuple[str, int]:
     # the application id changes with every new context, so a stopped and
     # recreated session never sees cached plans of the old one
-    return spark.sparkContext.applicationId, id(spark)
+    try:
+        return spark.sparkContext.applicationId, id(spark)
+    except Exception:  # no SparkContext handle (e.g. a Connect session)
+        return "", id(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,8 +122,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if key not in _TABLES or _TABLES[key].sparkSession is not spark:
         path = f"{sf_dir}/{name}.parquet"
         df = spark.read.parquet(path)
-        par = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < par and _size(path) > SPREAD_MIN_BYTES:
+        try:
+            par = spark.sparkContext.defaultParallelism
+            few = df.rdd.getNumPartitions() < par
+        except Exception:  # no RDD access: leave the scan as read
+            par, few = 0, False
+        if few and _size(path) > SPREAD_MIN_BYTES:
             df = df.repartition(par)
         _TABLES[key] = df
     return _TABLES[key]
