@@ -17,10 +17,11 @@ Plan, per book:
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from charlens.functions.text import fold, py_strip, tokens, with_folded_tokens
+from charlens.functions.text import _udf, fold, py_strip, tokens, with_folded_tokens
 from charlens.operators.relational import broadcast_if_small
 
 
@@ -86,6 +87,25 @@ def _greedy_fold(items: Column) -> Column:
     return res["kept"]
 
 
+# runs of mutually overlapping candidates longer than this are resolved by a
+# linear pass in an Arrow UDF; shorter ones by the native fold, whose state
+# copy makes it quadratic in the run length
+NATIVE_FOLD_MAX = 64
+
+
+def _greedy_batch(items: pd.Series) -> pd.Series:
+    out = []
+    for arr in items:
+        end, kept = -1, []
+        for it in arr:
+            p, n = int(it["pos"]), int(it["len"])
+            if p >= end:
+                kept.append({"pos": p, "len": n})
+                end = p + n
+        out.append(kept)
+    return pd.Series(out)
+
+
 def select_mentions(cands: DataFrame) -> DataFrame:
     """Steps 4-5: first listed alias per position, then greedy non-overlap.
 
@@ -102,10 +122,14 @@ def select_mentions(cands: DataFrame) -> DataFrame:
     clusters = flagged.groupBy("url", "character", "_cid").agg(
         F.array_sort(F.collect_list(F.struct("pos", "len"))).alias("items")
     )
-    kept = clusters.select(
+    small = clusters.where(F.size("items") <= NATIVE_FOLD_MAX).select(
         "url", "character",
         F.explode(F.when(F.size("items") == 1, F.col("items")).otherwise(_greedy_fold(F.col("items")))).alias("m"),
     )
+    long_fold = _udf(_greedy_batch, "array<struct<pos:int,len:int>>")
+    big = clusters.where(F.size("items") > NATIVE_FOLD_MAX).select(
+        "url", "character", F.explode(long_fold(F.col("items"))).alias("m"))
+    kept = small.unionByName(big)
     return kept.select("url", "character", F.col("m.pos").alias("pos"), F.col("m.len").alias("len"))
 
 

@@ -56,3 +56,10 @@ def test_book_missing_drops_character(spark):
     m = extract_mentions(books, chars, 4)
     assert [r["url"] for r in m.select("url").collect()] == ["b"]
     assert m.where(F.col("url") == "z").count() == 0
+
+
+def test_long_overlap_run_uses_linear_pass(spark):
+    # 200 tokens "x": every position starts "x x"; one run of 199 candidates
+    text = " ".join(["x"] * 200) + " end"
+    got_pos, _ = run(spark, text, "x x", [], 2)
+    assert got_pos == [(p, 2) for p in range(0, 200, 2)]
