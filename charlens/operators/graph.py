@@ -48,8 +48,10 @@ def match_books(st: DataFrame, labels: DataFrame, cutoff: str, genre: str, has_c
     books = st.where((F.col("p") == genre_p) & (F.col("o") == genre)).select(F.col("s").alias("book"))
     dates = _prop(st, date_p, "book", "date").where(F.to_date("date") < F.to_date(F.lit(cutoff)))
     authors = _prop(st, author_p, "book", "author")
-    chars = _prop(st, char_p, "book")
-    ids = _prop(st, catalog_p, "book")
+    # existence sides are made distinct first: partial aggregation collapses a
+    # book with very many statements before the shuffle
+    chars = _prop(st, char_p, "book").distinct()
+    ids = _prop(st, catalog_p, "book").distinct()
     b = books.join(dates, "book").join(authors, "book").join(chars, "book", "left_semi")
     b = b.join(ids, "book", "left_semi" if has_catalog_id else "left_anti")
     b = with_label(b, "book", lt, "title")
@@ -73,8 +75,12 @@ def property_frequency(characters: DataFrame, st: DataFrame, labels: DataFrame,
     statements -- a property with two values counts twice, a repeated
     character row counts again.  Sorted by count desc, then id."""
     s = st if prefix is None else st.where(F.col("p").startswith(prefix))
-    j = characters.select(F.col("character_uri").alias("s")).join(s.select("s", "p"), "s")
-    cnt = j.groupBy(uri_tail(F.col("p")).alias("property_id")).agg(F.count("*").alias("count"))
+    # statements are counted per (subject, property) before the join, so a
+    # subject with a huge number of statements ships one row per property;
+    # each character row then contributes its subject's counts (repeats count)
+    per_sp = s.groupBy("s", "p").agg(F.count("*").alias("n"))
+    j = characters.select(F.col("character_uri").alias("s")).join(per_sp, "s")
+    cnt = j.groupBy(uri_tail(F.col("p")).alias("property_id")).agg(F.sum("n").alias("count"))
     lt = broadcast_if_small(label_table(labels))
     out = cnt.join(lt, cnt["property_id"] == lt["id"], "left").select("property_id", "count", "label")
     return out
