@@ -88,7 +88,7 @@ def _fold_plain_batch(text: pd.Series) -> pd.Series:
 _UDFS: dict = {}
 
 
-def _udf(fn, rtype=T.StringType()):
+def arrow_udf(fn, rtype=T.StringType()):
     """Arrow pandas UDFs are built on first use (no session needed at import).
 
     They are pure, but flagged non-deterministic so the optimizer never
@@ -99,11 +99,11 @@ def _udf(fn, rtype=T.StringType()):
 
 
 def _fold_joined(c: Column) -> Column:
-    return _udf(_fold_joined_batch)(c)
+    return arrow_udf(_fold_joined_batch)(c)
 
 
 def _fold_plain(c: Column) -> Column:
-    return _udf(_fold_plain_batch)(c)
+    return arrow_udf(_fold_plain_batch)(c)
 
 
 def folded_tokens(text) -> Column:

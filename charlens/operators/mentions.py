@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from charlens.functions.text import _udf, fold, py_strip, tokens, with_folded_tokens
+from charlens.functions.text import arrow_udf, fold, py_strip, tokens, with_folded_tokens
 from charlens.operators.relational import broadcast_if_small
 
 
@@ -126,7 +126,7 @@ def select_mentions(cands: DataFrame) -> DataFrame:
         "url", "character",
         F.explode(F.when(F.size("items") == 1, F.col("items")).otherwise(_greedy_fold(F.col("items")))).alias("m"),
     )
-    long_fold = _udf(_greedy_batch, "array<struct<pos:int,len:int>>")
+    long_fold = arrow_udf(_greedy_batch, "array<struct<pos:int,len:int>>")
     big = clusters.where(F.size("items") > NATIVE_FOLD_MAX).select(
         "url", "character", F.explode(long_fold(F.col("items"))).alias("m"))
     kept = small.unionByName(big)

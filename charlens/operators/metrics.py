@@ -344,6 +344,6 @@ def _greedy_match_batch(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
 def alignment_f1(gold_tokens: Column, pred_tokens: Column) -> Column:
     """Greedy best-match F1 over token vectors (published BERTScore
     definition, no idf, no rescaling); one matrix product per text pair."""
-    from charlens.functions.text import _udf
+    from charlens.functions.text import arrow_udf
 
-    return _udf(_greedy_match_batch, "struct<p:double,r:double,f:double>")(gold_tokens, pred_tokens)
+    return arrow_udf(_greedy_match_batch, "struct<p:double,r:double,f:double>")(gold_tokens, pred_tokens)
