@@ -52,11 +52,13 @@ DEFAULT_FORMATS: dict[str, str] = {
 
 
 def all_passages(mentions: DataFrame, keys: Sequence[str] = ("url", "character")) -> DataFrame:
-    """Every passage of an entity in text order."""
+    """G3 (+ G8 in the same aggregation): every passage of an entity in text
+    order and the number of mentions."""
     return mentions.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "passage"))), lambda s: s["passage"]).alias(
             "passages"
-        )
+        ),
+        F.count("*").alias("mentions_counter"),
     )
 
 

@@ -66,7 +66,8 @@ def run_inference(spark: SparkSession, books: DataFrame, characters: DataFrame,
     checkpoint_root(spark)  # the session's shared folder (set only when unset)
     mentions = MN.extract_mentions(books, characters, window).checkpoint()
     counts = MN.mention_counts(characters.join(books.select("url"), "url", "left_semi"), mentions)
-    sel = select_passages(spark, mentions, characters, attrs, strategy, embed, k)
+    sel = select_passages(spark, mentions, characters, attrs, strategy, embed, k).select(
+        "url", "character", "passages")
     rows = counts.join(sel, ["url", "character"], "left").withColumn(
         "passages", F.coalesce("passages", F.array().cast("array<string>")))
     exc = R.excerpts(F.col("passages"))

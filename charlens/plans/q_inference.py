@@ -48,10 +48,14 @@ cc AS (select c.url, c.character, coalesce(ex.n, 0) mentions_counter, coalesce(e
 def _rows(spark, sf):
     books, chars = books_and_cast(spark, sf)
     m = MN.extract_mentions(books, chars)
-    counts = MN.mention_counts(chars.join(books.select("url"), "url", "left_semi"), m)
+    # passages and mention counts come from one aggregation over the mentions
     sel = R.all_passages(m)
-    rows = counts.join(sel, ["url", "character"], "left").withColumn(
-        "passages", F.coalesce("passages", F.array().cast("array<string>")))
+    ch = chars.join(books.select("url"), "url", "left_semi").select(
+        "url", F.col("name").alias("character")).distinct()
+    rows = ch.join(sel, ["url", "character"], "left").select(
+        "url", "character",
+        F.coalesce("mentions_counter", F.lit(0)).cast("bigint").alias("mentions_counter"),
+        F.coalesce("passages", F.array().cast("array<string>")).alias("passages"))
     exc = R.excerpts(F.col("passages"))
     return rows.withColumn("prompt", F.when(py_strip(exc) != "", R.build_prompt(F.col("character"), exc, ATTRS)))
 
