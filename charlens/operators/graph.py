@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from charlens.functions.text import uri_tail
-from charlens.operators.relational import broadcast_if_small
 
 
 def _prop(st: DataFrame, p: str, s_as: str, o_as: str | None = None) -> DataFrame:
@@ -81,7 +80,9 @@ def property_frequency(characters: DataFrame, st: DataFrame, labels: DataFrame,
     per_sp = s.groupBy("s", "p").agg(F.count("*").alias("n"))
     j = characters.select(F.col("character_uri").alias("s")).join(per_sp, "s")
     cnt = j.groupBy(uri_tail(F.col("p")).alias("property_id")).agg(F.sum("n").alias("count"))
-    lt = broadcast_if_small(label_table(labels))
+    # no hint: the label table is data-sized; AQE broadcasts it only on its
+    # measured shuffle size
+    lt = label_table(labels)
     out = cnt.join(lt, cnt["property_id"] == lt["id"], "left").select("property_id", "count", "label")
     return out
 

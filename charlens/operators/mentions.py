@@ -60,6 +60,8 @@ def candidates(books: DataFrame, aliases: DataFrame, max_len: int | None = None)
     """Every (url, character, pos, alias_no, alias_len) where an alias's
     folded token sequence occurs exactly."""
     if max_len is None:
+        # this small action also materialises the persisted alias table, so
+        # the broadcast checks below see its measured size, not an estimate
         max_len = int(aliases.agg(F.max("alias_len")).first()[0] or 1)
     books = books.join(aliases.select("url").distinct(), "url", "left_semi")
     firsts = aliases.select(F.col("first_tok").alias("tok")).distinct()
