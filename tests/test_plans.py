@@ -28,3 +28,9 @@ def test_scan_prunes_columns(spark):
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in p or "doc_id" in p
     assert "text:string" not in p
+
+
+def test_pattern_filter_pushed_to_scan(spark):
+    p = plan(E.queries()["books_with_id"](spark, SF))
+    assert "EqualTo(o_orderpriority,1-URGENT)" in p
+    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
