@@ -12,6 +12,10 @@ from charlens.sources.fixtures import BASE_TABLES
 
 SF = "/root/testdata/sf0.001"
 
+# Spark result type -> DuckDB result type
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+          "boolean": "BOOLEAN", "float": "FLOAT"}
+
 
 def _norm(v):
     if v is None:
@@ -45,10 +49,13 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
-    res = con.execute(E.oracle_sql()[name])
-    ocols = [d[0] for d in res.description]
-    orows = res.fetchall()
+    rel = con.sql(E.oracle_sql()[name])
+    ocols = list(rel.columns)
+    otypes = dict(zip(ocols, [str(t) for t in rel.types]))
+    orows = rel.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    for c, t in df.dtypes:
+        assert _TYPES.get(t, t) == otypes[c], (c, t, otypes[c])
     assert len(rows) == len(orows)
     assert _digest(df.columns, rows) == _digest(ocols, orows)
 
