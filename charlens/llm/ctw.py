@@ -322,8 +322,7 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     text under the trees; ``bits_per_byte``: its code length over its bytes and end.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    chunks = max(X.shuffle_partitions(spark), -(-int(size) // chunk_bytes))
+    chunks = X.chunk_count(docs, text_col, chunk_bytes, per_partition=1)
     bits = X.bucket_bits(chunks)
     chunk = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(chunks)).cast("int")
     texts = docs.select(chunk.alias("chunk"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"),

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: bytes of text per chunk
-CHUNK_BYTES = 16 << 20
+#: bytes of text per chunk, at most and at least
+CHUNK_BYTES, LEAST_BYTES = 16 << 20, 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,10 +48,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def chunk_count(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> int:
-    """Chunks for a corpus: by its bytes, twice the shuffle partitions at least."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(2 * shuffle_partitions(docs.sparkSession), -(-int(total) // chunk_bytes))
+def chunk_count(docs: DataFrame, text: str = "text", chunk_bytes: int = CHUNK_BYTES, per_partition: int = 2) -> int:
+    """Chunks for a corpus by its bytes; down to ``LEAST_BYTES`` each to occupy the shuffle partitions."""
+    total = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    wide = min(per_partition * shuffle_partitions(docs.sparkSession), -(-total // LEAST_BYTES))
+    return max(1, wide, -(-total // chunk_bytes))
 
 
 def chunked(docs: DataFrame, chunks: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -19,12 +19,16 @@ Y lacks breaks two neighbouring pairs of X, each extra token of Y one, so
 The argument holds for the document whose prefix ends first, and all the other's
 tokens up to there are in its own prefix.
 
-Verification and components.  A signature's members form a group.  A group's members
-are first compared with its least member only; links become components; members of
-one component need no further comparison.  What is left is compared in rounds: in
-each, up to ``leaders`` members of every unfinished group meet the members of other
-components, then leave the group.  Rounds end when no group spans two components, so
-every pair that could link is verified or already connected, and no group is squared.
+Verification and components.  A signature's members form a group; groups with the
+same members are one.  A group's members are first compared with its least and its
+greatest member only; links become components, and members of one component need no
+further comparison.  In groups of up to ``SMALL`` members that still span components,
+members of different components are then compared pair by pair: a bitmap of the tokens
+bounds the similarity from above inside the join, what passes is verified on the sets.
+Larger groups go in rounds: up to ``LEADERS`` members, those outside the group's largest
+component first, meet the members of other components and leave the group, until
+none spans two components.  So every pair that could link is verified, bounded away or
+already connected, and no group beyond ``SMALL`` is squared.
 """
 
 from __future__ import annotations
@@ -46,8 +50,10 @@ U = np.uint64
 SHINGLE, SIMILARITY = 5, 75
 #: a token in more classes than this is frequent
 RARE = 16
-#: members of an unfinished group compared with all others in one round
-LEADERS = 16
+#: members of a group up to which they are compared pair by pair; members that meet all others in one round beyond that
+SMALL, LEADERS = 2048, 64
+#: 64-bit words of a token bitmap
+BITMAP = 16
 
 
 def token_sets(data: np.ndarray, off: np.ndarray, words: int):
@@ -163,16 +169,24 @@ def _index_pass(words: int, similarity: int, bits: int, rare: int):
                     signs.append(T.mix(T.mix(two[:-1]) + two[1:] * U(0x9E3779B97F4A7C15)))
                 signs = np.concatenate(signs)
                 if len(signs):
-                    out.append((ids[doc[f]], n, signs.view(np.int64), np.sort(t).view(np.int64)))
+                    out.append((ids[doc[f]], n, signs.view(np.int64), np.sort(t).view(np.int64), bitmap(t).view(np.int64)))
         lists = lambda k: pa.ListArray.from_arrays(
             np.concatenate(([0], np.cumsum([len(x[k]) for x in out]))).astype(np.int32),
             pa.array(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64)))
         return pa.table({"cls": pa.array([x[0] for x in out], pa.int64()), "n": pa.array([x[1] for x in out], pa.int64()),
-                         "signs": lists(2), "tokens": lists(3)})
+                         "signs": lists(2), "tokens": lists(3), "bits": lists(4)})
 
     return run
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A bit per token; maps differ in no more bits than sets do in tokens."""
+    spot = (T.mix(tokens) % U(64 * BITMAP)).astype(np.int64)
+    out = np.zeros(64 * BITMAP, np.uint8)
+    out[spot] = 1
+    return np.packbits(out).view(np.uint64)
+
+
 def classes(docs: DataFrame, words: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, cls): ``cls`` is the least id with an equal token set, null without tokens."""
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -184,7 +198,7 @@ def classes(docs: DataFrame, words: int = SHINGLE, id_col: str = "doc_id", text_
 
 def candidates(docs: DataFrame, members: DataFrame, words: int = SHINGLE, similarity: int = SIMILARITY, rare: int = RARE,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(cls, n, signs, tokens) of the class representatives that could have a partner."""
+    """(cls, n, signs, tokens, bits) of the class representatives that could have a partner."""
     reps = members.where("doc_id = cls").select(F.col("cls").alias("rep")).distinct()
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     source = source.join(reps, source["doc_id"] == reps["rep"], "left_semi")
@@ -195,7 +209,7 @@ def candidates(docs: DataFrame, members: DataFrame, words: int = SHINGLE, simila
     counts = (texts.groupBy("chunk").applyInArrow(_count_pass(words, bits), "bucket int, chunk int, keys binary, many binary")
               .groupBy("bucket").applyInArrow(_total(kind), "chunk int, bucket int, keys binary, many binary"))
     return texts.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(
-        _index_pass(words, similarity, bits, rare), "cls bigint, n bigint, signs array<bigint>, tokens array<bigint>")
+        _index_pass(words, similarity, bits, rare), "cls bigint, n bigint, signs array<bigint>, tokens array<bigint>, bits array<bigint>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -207,42 +221,81 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) ->
             .where(100 * both >= similarity * (F.size("ta") + F.size("tb") - both)).select("a", "b"))
 
 
-def link_components(found: DataFrame, similarity: int = SIMILARITY, leaders: int = LEADERS) -> DataFrame:
+def fits(na, nb, similarity: int):
+    """Sizes that allow the similarity."""
+    return 100 * F.least(na, nb) >= similarity * F.greatest(na, nb)
+
+
+def near(a, b, na, nb, similarity: int):
+    """Bitmaps whose difference allows the similarity."""
+    apart = F.lit(0)
+    for i in range(BITMAP):
+        apart = apart + F.bit_count(a[i].bitwiseXOR(b[i]))
+    return (100 + similarity) * apart <= (100 - similarity) * (na + nb)
+
+
+def grouped(found: DataFrame) -> DataFrame:
+    """(sign, cls, n): members of the signatures held by several, one signature for each member set."""
+    posts = found.select("cls", "n", F.explode("signs").alias("sign"))
+    h = F.xxhash64("cls")
+    marks = posts.groupBy("sign").agg(F.count("*").alias("c"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h)).alias("y")).where("c > 1")
+    kept = marks.groupBy("c", "x", "y").agg(F.min("sign").alias("sign")).select("sign")
+    return posts.join(kept, "sign")
+
+
+def link_components(found: DataFrame, similarity: int = SIMILARITY, small: int = SMALL, leaders: int = LEADERS) -> DataFrame:
     """(node, component) over the candidates that link with any other."""
     sets = found.select("cls", "n", "tokens")
-    posts = found.select("cls", "n", F.explode("signs").alias("sign"))
-    least = posts.groupBy("sign").agg(F.min_by("cls", "cls").alias("a"), F.min_by("n", "cls").alias("na"), F.count("*").alias("c")).where("c > 1")
-    fits = lambda x, y: 100 * F.least(x, y) >= similarity * F.greatest(x, y)
-    star = (posts.join(least, "sign").where(F.col("cls") != F.col("a")).where(fits(F.col("n"), F.col("na")))
-            .select("a", F.col("cls").alias("b")).distinct())
+    posts = X.cut(grouped(found))
+    ends = posts.groupBy("sign").agg(F.min(F.struct("cls", "n")).alias("lo"), F.max(F.struct("cls", "n")).alias("hi"))
+    ends = ends.select("sign", F.explode(F.array("lo", "hi")).alias("e")).select("sign", F.col("e.cls").alias("a"), F.col("e.n").alias("na"))
+    star = (posts.join(ends, "sign").where((F.col("cls") != F.col("a")) & fits(F.col("n"), F.col("na"), similarity))
+            .select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct())
     links = X.cut(verified(star, sets, similarity))
     parts = X.cut(components(links))
     groups = X.cut(_unfinished(posts, parts))
+    bits = found.select("cls", "bits")
     while not groups.isEmpty():
-        rank = F.row_number().over(Window.partitionBy("sign").orderBy("cls"))
-        lead = X.cut(groups.withColumn("rank", rank).where(F.col("rank") <= leaders).drop("rank"))
-        one = lead.select("sign", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        met = (groups.join(one, "sign").where((F.col("component") != F.col("ca")) & fits(F.col("n"), F.col("na")))
-               .select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct())
-        fresh = X.cut(verified(met, sets, similarity))
+        one = groups.where(F.col("c") <= small).withColumn("whole", F.lit(True)).drop("c")
+        large = groups.where(F.col("c") > small)
+        lead = None if large.isEmpty() else X.cut(_leading(large, leaders))
+        if lead is not None:
+            one = one.unionByName(lead.withColumn("whole", F.lit(False)))
+        one = one.join(bits, "cls").select("sign", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"),
+                                           F.col("bits").alias("ba"), "whole")
+        far = groups.join(bits, "cls")
+        met = one.join(far, (one["sign"] == far["sign"]) & (one["ca"] != far["component"]) & (~one["whole"] | (one["a"] < far["cls"]))
+                       & fits(one["na"], far["n"], similarity) & near(one["ba"], far["bits"], one["na"], far["n"], similarity))
+        pairs = met.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+        fresh = X.cut(verified(pairs, sets, similarity))
         if not fresh.isEmpty():
             links = X.cut(links.unionByName(fresh))
             parts = X.cut(components(links))
-        left = groups.join(lead.select("sign", "cls"), ["sign", "cls"], "left_anti").select("cls", "n", "sign")
+        if lead is None:
+            break
+        left = large.join(lead.select("sign", "cls"), ["sign", "cls"], "left_anti").select("cls", "n", "sign")
         groups = X.cut(_unfinished(left, parts))
     return parts
 
 
+def _leading(large: DataFrame, leaders: int) -> DataFrame:
+    """(sign, cls, n, component): the first members of each group, those outside its largest component in front."""
+    most = large.groupBy("sign", "component").count().groupBy("sign").agg(F.max_by("component", F.struct("count", "component")).alias("most"))
+    rank = F.row_number().over(Window.partitionBy("sign").orderBy(F.col("component") == F.col("most"), "cls"))
+    return large.join(most, "sign").withColumn("rank", rank).where(F.col("rank") <= leaders).select("sign", "cls", "n", "component")
+
+
 def _unfinished(posts: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members of the groups that span two components."""
+    """(sign, cls, n, component, c): members of the groups that span two components, c in number."""
     named = posts.join(parts.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn(
         "component", F.coalesce("component", "cls"))
-    split = named.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("sign")
-    return named.join(split, "sign", "left_semi").select("sign", "cls", "n", "component")
+    split = (named.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"))
+             .where("lo != hi").select("sign", "c"))
+    return named.join(split, "sign").select("sign", "cls", "n", "component", "c")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: int = SIMILARITY, rare: int = RARE,
-                    leaders: int = LEADERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    small: int = SMALL, leaders: int = LEADERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, cls, component_id) of each row with an id.
 
     ``cls``: least id with the same token set; ``component_id``: least id reachable by
@@ -256,7 +309,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: int = SIM
         raise ValueError("similarity must lie between 50 and 100 hundredths")
     members = X.cut(classes(docs, words, id_col, text_col))
     found = X.cut(candidates(docs, members, words, similarity, rare, id_col, text_col))
-    parts = link_components(found, similarity, leaders)
+    parts = link_components(found, similarity, small, leaders)
     top = parts.select(F.col("node").alias("cls"), "component")
     return members.join(top, "cls", "left").select(
         "doc_id", "n_shingles", "cls", F.coalesce("component", "cls", "doc_id").alias("component_id"))
