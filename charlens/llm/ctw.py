@@ -190,7 +190,8 @@ def _up_pass(bits: int):
             parts = [(0, top.node.view(np.int64), top.n0, top.n1, top.log_w), (1, need, zero, zero, zero)]
         return pa.concat_tables([pa.table({
             "kind": pa.array(np.full(len(p[1]), p[0]), pa.int32()), "bucket": pa.array(np.full(len(p[1]), bucket), pa.int32()),
-            "node": pa.array(p[1]), "n0": pa.array(p[2]), "n1": pa.array(p[3]), "log_w": pa.array(p[4])}) for p in parts])
+            "node": pa.array(p[1], pa.int64()), "n0": pa.array(p[2], pa.float64()), "n1": pa.array(p[3], pa.float64()),
+            "log_w": pa.array(p[4], pa.float64())}) for p in parts])
 
     return run
 
