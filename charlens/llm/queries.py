@@ -134,7 +134,7 @@ ORACLE["op4_vantage_points"] = """
 with good as (
   select vec_id, embedding::double[] v from embeddings
   where embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0),
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 pairs as (
   select q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v) score
   from good q join good c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
@@ -165,5 +165,5 @@ least_id as (select g, min(doc_id) m from spots group by g),
 gone as (select distinct r, unnest(range(i, i + 13)) p from spots join least_id using (g) where m < doc_id),
 lost as (select r, count(*) n, list(p) ps from gone group by r)
 select doc_id, len(w)::bigint n_words, coalesce(n, 0)::bigint n_removed,
-  sha256(array_to_string(list_filter(w, (x, i) -> not coalesce(list_contains(ps, i), false)), ' ')) kept_sha256
+  sha256(array_to_string(list_filter(w, lambda x, i: not coalesce(list_contains(ps, i), false)), ' ')) kept_sha256
 from docs left join lost using (r)"""
