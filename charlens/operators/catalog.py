@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from charlens.functions.text import last_token_lower, py_strip
-from charlens.operators.relational import broadcast_if_small
 
 N = 3
 
@@ -58,7 +57,7 @@ def flag_in_catalog(books: DataFrame, catalog: DataFrame, title: str = "title",
         cs = cat.select("cid", F.explode(F.array(*[
             F.struct(F.lit(k).alias("k"), _grams(F.col("ct"), k).alias("gs")) for k in range(1, n)
         ])).alias("x")).select("cid", F.col("x.k").alias("k"), F.explode("x.gs").alias("g"))
-        cg = cg.unionByName(cs.join(broadcast_if_small(short), ["k", "g"], "left_semi"))
+        cg = cg.unionByName(cs.join(short, ["k", "g"], "left_semi"))
     freq = cg.groupBy("k", "g").agg(F.count("*").alias("cnt"))
     wk = F.least(F.length("t"), F.lit(n))
     wg = want.where(F.length("t") > 0).select("t", "ln", wk.alias("k"), F.explode(_grams(F.col("t"), n)).alias("g"))

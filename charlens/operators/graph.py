@@ -45,7 +45,8 @@ def match_books(st: DataFrame, labels: DataFrame, cutoff: str, genre: str, has_c
     authors or dates gives several rows."""
     lt = label_table(labels)
     books = st.where((F.col("p") == genre_p) & (F.col("o") == genre)).select(F.col("s").alias("book"))
-    dates = _prop(st, date_p, "book", "date").where(F.to_date("date") < F.to_date(F.lit(cutoff)))
+    dates = _prop(st, date_p, "book", "date").where(
+        F.col("date").try_cast("date") < F.to_date(F.lit(cutoff)))  # B4: an unreadable date is not before the cutoff
     authors = _prop(st, author_p, "book", "author")
     # existence sides are made distinct first: partial aggregation collapses a
     # book with very many statements before the shuffle

@@ -57,20 +57,28 @@ def infer(prompts: DataFrame, model_fn: Callable[[list[str]], list[str]], prompt
           output_col: str = "output") -> DataFrame:
     """One output per input row; rows with a null prompt get a null output
     and no model call; every distinct prompt is sent once.  A failing batch
-    yields an ``Error: ...`` string with status ``error`` (the row is kept)."""
+    is halved down to single prompts; one that still fails yields an ``Error: ...``
+    string with status ``error`` (the row is kept)."""
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf["prompt"].tolist()
-            try:
-                outs = list(model_fn(texts))
-                if len(outs) != len(texts):
-                    raise ValueError(f"model returned {len(outs)} outputs for {len(texts)} prompts")
-                status = [STATUS_OK] * len(texts)
-            except Exception as e:  # noqa: BLE001 - surfaced as data
-                outs = [f"Error: {e}"] * len(texts)
-                status = [STATUS_ERROR] * len(texts)
-            yield pd.DataFrame({"pkey": pdf["pkey"], "out": outs, "status": status})
+            answers = attempt(texts)
+            yield pd.DataFrame({"pkey": pdf["pkey"], "out": [o for o, _ in answers], "status": [s for _, s in answers]})
+
+    def attempt(texts: list[str]) -> list[tuple[str, str]]:
+        if not texts:
+            return []
+        try:
+            outs = list(model_fn(texts))
+            if len(outs) != len(texts):
+                raise ValueError(f"model returned {len(outs)} outputs for {len(texts)} prompts")
+            return [(o, STATUS_OK) for o in outs]
+        except Exception as e:  # noqa: BLE001 - surfaced as data
+            if len(texts) == 1:
+                return [(f"Error: {e}", STATUS_ERROR)]
+            half = len(texts) // 2
+            return attempt(texts[:half]) + attempt(texts[half:])
 
     keyed = prompts.withColumn("_pkey", prompt_key(F.col(prompt_col)))
     distinct = (

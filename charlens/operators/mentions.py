@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from charlens.functions.text import arrow_udf, fold, py_strip, tokens, with_folded_tokens
-from charlens.operators.relational import broadcast_if_small
 
 
 def normalize_aliases(df: DataFrame, col: str, sep: str = ",") -> Column:
@@ -67,34 +66,14 @@ def candidates(books: DataFrame, aliases: DataFrame, max_len: int | None = None)
     firsts = aliases.select(F.col("first_tok").alias("tok")).distinct()
     norm = with_folded_tokens(books.select("url", "text"), "text", "norm").select("url", "norm")
     pos = norm.select("url", "norm", F.posexplode("norm").alias("pos", "tok"))
-    pos = pos.join(broadcast_if_small(firsts), "tok", "left_semi")
+    pos = pos.join(firsts, "tok", "left_semi")
     pos = pos.select("url", "pos", "tok", F.slice("norm", F.col("pos") + 1, max_len).alias("win"))
-    al = broadcast_if_small(aliases)
+    al = aliases
     j = pos.join(al, (pos["url"] == al["url"]) & (pos["tok"] == al["first_tok"]))
     ok = (F.col("alias_len") == 1) | (F.slice("win", 1, F.col("alias_len")) == F.col("toks"))
     return j.where(ok).select(pos["url"], "character", "pos", "alias_no", "alias_len")
 
 
-def _greedy_fold(items: Column) -> Column:
-    """Sequential left-to-right keep on one sorted cluster of (pos, len)."""
-    init = F.struct(F.lit(-1).cast("int").alias("end"),
-                    F.array().cast("array<struct<pos:int,len:int>>").alias("kept"))
-    res = F.aggregate(
-        items, init,
-        lambda acc, x: F.when(
-            x["pos"] >= acc["end"],
-            F.struct((x["pos"] + x["len"]).alias("end"), F.array_append(acc["kept"], x).alias("kept")),
-        ).otherwise(acc),
-    )
-    return res["kept"]
-
-
-# runs of mutually overlapping candidates longer than this are resolved by a
-# linear pass in an Arrow UDF; shorter ones by the native fold, whose state
-# copy makes it quadratic in the run length
-NATIVE_FOLD_MAX = 64
-
-
 def _greedy_batch(items: pd.Series) -> pd.Series:
     out = []
     for arr in items:
@@ -124,14 +103,9 @@ def select_mentions(cands: DataFrame) -> DataFrame:
     clusters = flagged.groupBy("url", "character", "_cid").agg(
         F.array_sort(F.collect_list(F.struct("pos", "len"))).alias("items")
     )
-    small = clusters.where(F.size("items") <= NATIVE_FOLD_MAX).select(
-        "url", "character",
-        F.explode(F.when(F.size("items") == 1, F.col("items")).otherwise(_greedy_fold(F.col("items")))).alias("m"),
-    )
-    long_fold = arrow_udf(_greedy_batch, "array<struct<pos:int,len:int>>")
-    big = clusters.where(F.size("items") > NATIVE_FOLD_MAX).select(
-        "url", "character", F.explode(long_fold(F.col("items"))).alias("m"))
-    kept = small.unionByName(big)
+    # one linear pass per run of overlapping candidates, whatever its length
+    fold = arrow_udf(_greedy_batch, "array<struct<pos:int,len:int>>")
+    kept = clusters.select("url", "character", F.explode(fold(F.col("items"))).alias("m"))
     return kept.select("url", "character", F.col("m.pos").alias("pos"), F.col("m.len").alias("len"))
 
 

@@ -1,5 +1,5 @@
 """Generic relational operators: keep-first dedup (E1), ordered heads (L1-L3),
-unions (G0a/G0b), per-row set algebra (G0d), size-checked broadcast."""
+unions (G0a/G0b), per-row set algebra (G0d)."""
 
 from __future__ import annotations
 
@@ -8,27 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Spark's own default for automatic broadcast; a side is hinted only when the
-# optimizer's size estimate for it is below this bound.
-BROADCAST_LIMIT_BYTES = 10 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer size estimate of a plan (upper bound for file scans)."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # pragma: no cover - estimate unavailable
-        return 1 << 62
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast only when the size estimate proves the side small;
-    otherwise leave the choice to AQE, which re-plans on measured shuffle sizes."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
-
-
 def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
-    """One row per key, the first by ``order`` (ties broken by the row itself).
+    """One row per key, the first by ``order`` (ties, and rows without an
+    order, by the row itself, nulls last).  Columns without an ordering (VARIANT,
+    MAP) are kept but never compared.
 
     Implemented as ``min_by`` aggregation so the reduction is partial (map-side
     combine) and a hot key is collapsed before the shuffle; no window sort.
@@ -38,11 +21,11 @@ def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None
     if not rest:
         return df.select(*keys).distinct()
     row = F.struct(*[F.col(c) for c in rest])
-    if order:
-        ordk = F.struct(*[F.col(c) for c in order], row)
-        agg = F.min_by(row, ordk).alias("_r")
-    else:
-        agg = F.min(row).alias("_r")
+    kinds = dict(df.dtypes)
+    sortable = [c for c in rest if not any(k in kinds[c] for k in ("variant", "map<"))]
+    ties = [k.alias(f"_{i}") for i, k in enumerate(k for c in sortable for k in (F.col(c).isNull(), F.col(c)))]
+    ordk = F.struct(*[F.col(c) for c in order or ()], *ties, F.lit(0).alias("_last"))
+    agg = F.min_by(row, ordk).alias("_r")
     return df.groupBy(*keys).agg(agg).select(*keys, "_r.*")
 
 

@@ -52,11 +52,14 @@ def tail_object(t: Column) -> Column:
 def collapse_origin(j: Column, key: str = "origin") -> Column:
     """H3: ``"origin": ["k": "v", ...]`` -> list of the values, and
     ``"origin": [..]: [..]`` -> the second list."""
-    p1 = (
-        f'"{key}"' + S + "*:" + S + r"*\[" + S + '*((?:"[^"]+"' + S + "*:" + S + '*"[^"]+",?' + S + r"*)+)\]"
-    )
-    whole = F.regexp_extract(j, p1, 0)
-    inner = F.regexp_extract(j, p1, 1)
+    # the list's body is cut first and then read pair by pair: a repeated group
+    # would recurse once per pair
+    p1 = f'"{key}"' + S + "*:" + S + r"*\[" + S + r'*("[^\]]*)\]'
+    pair = '"[^"]+"' + S + "*:" + S + '*"[^"]+",?' + S + "*"
+    body = F.regexp_extract(j, p1, 1)
+    only_pairs = (body != "") & (F.regexp_replace(body, pair, "") == "")
+    whole = F.when(only_pairs, F.regexp_extract(j, p1, 0)).otherwise(F.lit(""))
+    inner = body
     vals = F.regexp_extract_all(inner, F.lit(":" + S + '*"([^"]+)"'), F.lit(1))
     rep = F.concat(
         F.lit(f'"{key}": ['),

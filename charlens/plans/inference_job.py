@@ -36,11 +36,12 @@ def select_passages(spark: SparkSession, mentions: DataFrame, characters: DataFr
         raise ValueError("the embedding strategy needs an embed plug-in")
     keys = ["url", "character"]
     # every distinct passage text and query text is embedded once
-    queries = R.attribute_queries(spark, characters.select(F.col("url"), F.col("name").alias("character")),
+    queries = R.attribute_queries(spark, characters.select(F.col("url"), F.col("name").alias("character")).distinct(),
                                   attrs)
     texts = (mentions.select(F.col("passage").alias("text"))
              .union(queries.select(F.col("query").alias("text"))).distinct())
-    vecs = embed_texts(texts, embed)
+    checkpoint_root(spark)
+    vecs = embed_texts(texts, embed).checkpoint()  # both sides below read it: the plug-in runs once
     pv = mentions.join(vecs.withColumnRenamed("text", "passage"), "passage").select(
         *keys, F.col("mention_no").alias("passage_no"), F.col("vec").alias("embedding"))
     qv = queries.join(vecs.withColumnRenamed("text", "query"), "query").select(

@@ -7,8 +7,6 @@ driver tables; every one grows with the scale factor.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = (
@@ -39,14 +37,14 @@ union all select p, concat(p,' label'), 'en' from (select distinct p from (
   union all select 'character' union all select 'brand' union all select 'kind') x) y""",
     "wanted": "select distinct p_name title, concat('A. ',p_brand) author from part",
     "catalog": (
-        "select distinct concat('The ',upper(p_name),' Stories') title, "
-        "concat(p_brand,', someone') author from part where p_partkey%2=0"
+        "select distinct case when p_partkey%2=0 then concat('The ',upper(p_name),' Stories') "
+        "else concat('Unlisted ',cast(p_partkey as varchar(30))) end title, concat(p_brand,', someone') author from part"
     ),
     # catalogue entries for the dataset build: titles that contain some book labels
     "book_catalog": (
-        "select distinct concat('The Complete Title ',cast(o_orderkey as varchar(30))) title, "
-        "concat('Edited by ',c_name) author from orders join customer on o_custkey=c_custkey "
-        "where o_orderkey%3=0"
+        "select distinct concat(case when o_orderkey%3=0 then 'The Complete Title ' else 'Other Volume ' end,"
+        "cast(o_orderkey as varchar(30))) title, "
+        "concat('Edited by ',c_name) author from orders join customer on o_custkey=c_custkey"
     ),
     "corpus": "select concat('doc/',doc_id) url, text, lang from documents",
     "cast_list": """
@@ -57,8 +55,12 @@ select doc_id, lang gold, case when doc_id%13=0 then null when doc_id%7=0 then '
     "ordinal": """
 select doc_id, case when n_chars<300 then 'child' when n_chars<900 then 'teenager' when n_chars<3000 then 'adult' else 'senior' end gold,
  case when n_chars+(doc_id%5)*300<300 then 'child' when n_chars+(doc_id%5)*300<900 then 'Teenager' when n_chars+(doc_id%5)*300<3000 then 'adult ' when doc_id%11=0 then null else 'senior' end pred from documents""",
-    "sets_gold": "select distinct user_id, event_type v from events where event_id%40<4",
-    "sets_pred": "select distinct user_id, event_type v from events where event_id%40 between 2 and 5",
+    "sets_gold": (
+        "select distinct user_id, concat(event_type,'-',cast(event_id%40 as varchar(30))) v from events"
+    ),
+    "sets_pred": (
+        "select distinct user_id, concat(event_type,'-',cast((event_id+case when event_id%3=0 then 1 else 0 end)%40 as varchar(30))) v from events"
+    ),
     "set_users": "select distinct user_id from events",
     "raw_outputs": """
 select doc_id, case doc_id%8
@@ -79,7 +81,7 @@ select doc_id, lang, source, case when doc_id%5=0 then lang else 'human' end typ
         "join embeddings b on b.vec_id=a.vec_id+1"
     ),
     "vector_gold": "select vec_id, embedding ea from embeddings",
-    "vector_pred": "select vec_id - 1 vec_id, embedding eb from embeddings where vec_id%9<>4",
+    "vector_pred": "select vec_id - 1 vec_id, case when vec_id%9<>4 then embedding end eb from embeddings",
     # retrieval: a group of 50 consecutive vectors plays one character of one
     # book; its first three vectors are the attribute queries, the rest passages
     "vector_queries": (
@@ -127,23 +129,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             few = df.rdd.getNumPartitions() < par
         except Exception:  # no RDD access: leave the scan as read
             par, few = 0, False
-        if few and _size(path) > SPREAD_MIN_BYTES:
+        if few:
             df = df.repartition(par)
         _TABLES[key] = df
     return _TABLES[key]
 
 
-SPREAD_MIN_BYTES = 1 << 20
-
-
-def _size(path: str) -> int:
-    try:
-        return os.path.getsize(path) if os.path.isfile(path) else sum(
-            os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs)
-    except OSError:
-        return SPREAD_MIN_BYTES + 1
-
-
 def register_base(spark: SparkSession, sf_dir: str, names=None) -> None:
     sk = _session_key(spark)
     if names is None and _REGISTERED.get(sk) == sf_dir and spark.catalog.tableExists(BASE_TABLES[0]):

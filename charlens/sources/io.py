@@ -66,8 +66,10 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
           .option("header", True).option("sep", ";").option("multiLine", True)
           .option("quote", '"').option("escape", '"').csv(path))
     df = lower_columns(df)
-    return df.withColumn("selected_passages",
-                         F.from_json(F.replace("selected_passages", F.lit("'"), F.lit('"')), "array<string>"))
+    # JSON as it is (the reader takes single-quoted strings too); swapped quotes only where that fails
+    raw = F.col("selected_passages")
+    swapped = F.replace(raw, F.lit("'"), F.lit('"'))
+    return df.withColumn("selected_passages", F.coalesce(F.from_json(raw, "array<string>"), F.from_json(swapped, "array<string>")))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = ",") -> DataFrame:
