@@ -75,9 +75,10 @@ def property_frequency(characters: DataFrame, st: DataFrame, labels: DataFrame,
     statements -- a property with two values counts twice, a repeated
     character row counts again.  Sorted by count desc, then id."""
     s = st if prefix is None else st.where(F.col("p").startswith(prefix))
-    # statements are counted per (subject, property) before the join, so a
-    # subject with a huge number of statements ships one row per property;
-    # each character row then contributes its subject's counts (repeats count)
+    # only the characters' statements are counted, per (subject, property) before
+    # the join, so a subject with a huge number of statements ships one row per
+    # property; each character row then contributes its subject's counts
+    s = s.join(characters.select(F.col("character_uri").alias("s")).distinct(), "s", "left_semi")
     per_sp = s.groupBy("s", "p").agg(F.count("*").alias("n"))
     j = characters.select(F.col("character_uri").alias("s")).join(per_sp, "s")
     cnt = j.groupBy(uri_tail(F.col("p")).alias("property_id")).agg(F.sum("n").alias("count"))
@@ -104,10 +105,14 @@ def fold_attributes(st: DataFrame, labels: DataFrame, subjects: DataFrame | None
         is_ent = is_ent | F.col("o").startswith(pre)
     s = s.withColumn("_ord", F.col(order_col) if order_col else F.col("o"))
     s = s.withColumn("_lang", F.col(text_lang_col) if text_lang_col else F.lit(None).cast("string"))
-    s = with_label(s, "p", lt, "prop")
-    s = with_label(s, "o", lt, "_olab", fallback=False)
-    value = F.when(is_ent, F.coalesce("_olab", uri_tail(F.col("o")))).otherwise(F.col("o"))
-    s = s.select("s", "prop", "_ord", F.struct(value.alias("text"), F.col("_lang").alias("lang")).alias("v"))
+    # properties are few: label each once; only entity values need a label join,
+    # literals (long, and most rows) never move by their text
+    props = with_label(s.select("p").distinct(), "p", lt, "prop")
+    is_ent = F.coalesce(is_ent, F.lit(False))
+    ents = with_label(s.where(is_ent), "o", lt, "_text")
+    lits = s.where(~is_ent).withColumn("_text", F.col("o"))
+    s = ents.unionByName(lits).join(props, "p")
+    s = s.select("s", "prop", "_ord", F.struct(F.col("_text").alias("text"), F.col("_lang").alias("lang")).alias("v"))
     # all aggregations group on the subject first: one shuffle on s; repeated
     # values are merged (first-seen order kept) before anything is collected
     s = s.repartition("s")

@@ -3,9 +3,9 @@ mention counts (G8).
 
 Plan, per book:
   1. tokens + folded tokens once per book (S1, S2), never per character;
-  2. posexplode the folded tokens, keep only positions whose token starts
-     some alias (semi-join on the distinct first tokens), carry the next
-     ``max_len`` tokens as a small window;
+  2. inside the book's array, keep only positions whose token starts some
+     alias of that book (its first tokens come by one join on url), cut the
+     next ``max_len`` tokens as a small window, then explode the hits;
   3. equi-join on (url, first token) with the alias table, verify the
      multi-token n-gram on the window (exact token sequence);
   4. per (url, character, pos) the first listed alias wins (``min_by``);
@@ -59,15 +59,15 @@ def candidates(books: DataFrame, aliases: DataFrame, max_len: int | None = None)
     """Every (url, character, pos, alias_no, alias_len) where an alias's
     folded token sequence occurs exactly."""
     if max_len is None:
-        # this small action also materialises the persisted alias table, so
-        # the broadcast checks below see its measured size, not an estimate
         max_len = int(aliases.agg(F.max("alias_len")).first()[0] or 1)
-    books = books.join(aliases.select("url").distinct(), "url", "left_semi")
-    firsts = aliases.select(F.col("first_tok").alias("tok")).distinct()
-    norm = with_folded_tokens(books.select("url", "text"), "text", "norm").select("url", "norm")
-    pos = norm.select("url", "norm", F.posexplode("norm").alias("pos", "tok"))
-    pos = pos.join(firsts, "tok", "left_semi")
-    pos = pos.select("url", "pos", "tok", F.slice("norm", F.col("pos") + 1, max_len).alias("win"))
+    # the first tokens of a book's own cast, bounded by the cast
+    firsts = aliases.groupBy("url").agg(F.collect_set("first_tok").alias("firsts"))
+    norm = with_folded_tokens(books.select("url", "text").join(firsts, "url"), "text", "norm")
+    # the token array stays inside its row: only hits leave it, each with a window of max_len tokens
+    hits = F.transform("norm", lambda t, i: F.when(
+        F.array_contains("firsts", t), F.struct(i.alias("pos"), F.slice("norm", i + 1, max_len).alias("win"))))
+    pos = norm.select("url", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
+    pos = pos.select("url", "h.pos", "h.win", F.col("h.win")[0].alias("tok"))
     al = aliases
     j = pos.join(al, (pos["url"] == al["url"]) & (pos["tok"] == al["first_tok"]))
     ok = (F.col("alias_len") == 1) | (F.slice("win", 1, F.col("alias_len")) == F.col("toks"))

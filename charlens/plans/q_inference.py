@@ -22,18 +22,21 @@ def _sql_lit(s: str) -> str:
 
 
 def _prompt_sql(name: str, exc: str) -> str:
-    """DuckDB twin of ``retrieval.build_prompt`` for ATTRS."""
-    readable = " and ".join(a.replace("_", " ") for a in ATTRS)
-    example = ",\n    ".join(f'"{a}": {R.DEFAULT_FORMATS[a]}' for a in ATTRS)
-    parts = [
-        _sql_lit("You are reading excerpts of a book about the character "), name,
-        _sql_lit(f". Infer the {readable} of the character named '"), name,
-        _sql_lit("' using only the excerpts below, separated by blank lines:\n\n"), exc,
-        _sql_lit(f"\n\nGive the {readable} of '"), name,
-        _sql_lit("' in exactly this format and nothing else. Use null for any value the excerpts do not "
-                 "support.\n\nFormat:\n```json\n{\n    " + example + "\n}\n```\n"),
-    ]
-    return " || ".join(parts)
+    """The prompt for ATTRS, spelt out by hand."""
+    tail = """
+
+Answer with a JSON object (null = the excerpts leave it open), keys:
+- age: string, a stage: child, teenager, adult, senior
+- gender: string
+- spoken_languages: list of strings
+"""
+    wanted = """
+Wanted: age and gender and spoken languages
+
+Excerpts:
+
+"""
+    return " || ".join([_sql_lit("Character: "), name, _sql_lit(wanted), exc, _sql_lit(tail)])
 
 
 _EXC_SQL = _BASE + """,

@@ -34,3 +34,16 @@ def test_pattern_filter_pushed_to_scan(spark):
     p = plan(E.queries()["books_with_id"](spark, SF))
     assert "EqualTo(o_orderpriority,1-URGENT)" in p
     assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+
+
+def test_mentions_ship_no_token_array(spark):
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = E.queries()["mention_candidates"](spark, SF)._jdf.queryExecution().toString()
+        lines = p[p.index("== Physical Plan =="):].splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    for i, line in enumerate(lines):
+        if "Exchange" in line:
+            assert "norm#" not in lines[i + 1], lines[i + 1]
