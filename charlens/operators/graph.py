@@ -75,13 +75,10 @@ def property_frequency(characters: DataFrame, st: DataFrame, labels: DataFrame,
     statements -- a property with two values counts twice, a repeated
     character row counts again.  Sorted by count desc, then id."""
     s = st if prefix is None else st.where(F.col("p").startswith(prefix))
-    # only the characters' statements are counted, per (subject, property) before
-    # the join, so a subject with a huge number of statements ships one row per
-    # property; each character row then contributes its subject's counts
-    s = s.join(characters.select(F.col("character_uri").alias("s")).distinct(), "s", "left_semi")
-    per_sp = s.groupBy("s", "p").agg(F.count("*").alias("n"))
-    j = characters.select(F.col("character_uri").alias("s")).join(per_sp, "s")
-    cnt = j.groupBy(uri_tail(F.col("p")).alias("property_id")).agg(F.sum("n").alias("count"))
+    # one join of the statements with the distinct characters, each carrying how
+    # often it is listed; counts are summed map-side
+    who = characters.groupBy(F.col("character_uri").alias("s")).agg(F.count("*").alias("m"))
+    cnt = s.join(who, "s").groupBy(uri_tail(F.col("p")).alias("property_id")).agg(F.sum("m").alias("count"))
     # no hint: the label table is data-sized; AQE broadcasts it only on its
     # measured shuffle size
     lt = label_table(labels)
@@ -107,7 +104,7 @@ def fold_attributes(st: DataFrame, labels: DataFrame, subjects: DataFrame | None
     s = s.withColumn("_lang", F.col(text_lang_col) if text_lang_col else F.lit(None).cast("string"))
     # properties are few: label each once; only entity values need a label join,
     # literals (long, and most rows) never move by their text
-    props = with_label(s.select("p").distinct(), "p", lt, "prop")
+    props = with_label(st.select("p").distinct(), "p", lt, "prop")
     is_ent = F.coalesce(is_ent, F.lit(False))
     ents = with_label(s.where(is_ent), "o", lt, "_text")
     lits = s.where(~is_ent).withColumn("_text", F.col("o"))
