@@ -126,3 +126,22 @@ def hashing_embed(dim: int = 64) -> Callable[[pd.Series], pd.Series]:
         return pd.Series([one(t) for t in s])
 
     return embed
+
+
+def letter_embed(letters: str) -> Callable[[pd.Series], pd.Series]:
+    """Stand-in embedder that any engine can compute: how often each letter
+    occurs in the text (lower case counts only)."""
+
+    def embed(s: pd.Series) -> pd.Series:
+        return pd.Series([[float(t.count(x)) for x in letters] for t in s], dtype=object)
+
+    return embed
+
+
+def letter_token_embed(letters: str) -> Callable[[pd.Series], pd.Series]:
+    """The same per token: one vector of letter counts, each plus 1, for every word."""
+
+    def embed(s: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [[1.0 + w.count(x) for x in letters] for w in t.split()] for t in s], dtype=object)
+
+    return embed

@@ -6,11 +6,11 @@ per-row results are small.  Partial aggregation does the heavy part map-side.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from charlens.functions.text import py_strip, to_bool
@@ -18,11 +18,7 @@ from charlens.functions.vectors import cosine
 from charlens.operators.relational import dedup_first
 
 # --- fixed values -----------------------------------------------------------
-# Soft-F1 weights for the ordinal age attribute, gold -> prediction -> weight:
-#   child:    child 1.0, teenager 0.8, adult 0.0, senior 0.0
-#   teenager: child 0.8, teenager 1.0, adult 0.8, senior 0.0
-#   adult:    teenager 0.8, adult 1.0, senior 0.8, child 0.0
-#   senior:   adult 0.8, senior 1.0, teenager 0.0, child 0.0
+# Soft-F1 weights for the ordinal age attribute, gold -> prediction -> weight.
 AGE_WEIGHTS: dict[str, dict[str, float]] = {
     "child": {"child": 1.0, "teenager": 0.8, "adult": 0.0, "senior": 0.0},
     "teenager": {"child": 0.8, "teenager": 1.0, "adult": 0.8, "senior": 0.0},
@@ -31,9 +27,6 @@ AGE_WEIGHTS: dict[str, dict[str, float]] = {
 }
 # ---------------------------------------------------------------------------
 
-ROUND = 6
-
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -140,9 +133,7 @@ def classification_report(aligned: DataFrame, gold="gold", pred="pred", kind: st
     out = per.drop("tp").unionByName(overall)
     return out.select(
         "label",
-        F.round("precision", ROUND).alias("precision"),
-        F.round("recall", ROUND).alias("recall"),
-        F.round("f1", ROUND).alias("f1"),
+        "precision", "recall", "f1",
         F.col("support").cast("bigint").alias("support"),
     )
 
@@ -163,24 +154,21 @@ def agreement(gold="gold", pred="pred", value: str = "human") -> Column:
     return F.when(_c(gold).isNotNull(), (gi == pi).cast("int"))
 
 
-def weight_table(spark: SparkSession, weights: dict[str, dict[str, float]] = AGE_WEIGHTS) -> DataFrame:
-    rows = [(g, p, float(w)) for g, m in weights.items() for p, w in m.items()]
-    return spark.createDataFrame(rows, "wg string, wp string, w double")
+def soft_score(gold="gold", pred="pred", weights: Mapping[str, Mapping[str, float]] = AGE_WEIGHTS) -> Column:
+    """D11 per row: the weight of the trimmed, lower-cased pair, from a literal map
+    (no join); pairs not in it weigh 0; null where a side is missing."""
+    pairs = [x for g, row in weights.items() for p, w in row.items()
+             for x in (F.lit(f"{g}\n{p}"), F.lit(float(w)))]
+    # trimmed text holds no line feed at its ends, so the joined key is unambiguous for trimmed labels
+    key = F.concat(F.lower(py_strip(_c(gold))), F.lit("\n"), F.lower(py_strip(_c(pred))))
+    weight = F.try_element_at(F.create_map(*pairs), key) if pairs else F.lit(None).cast("double")
+    return F.when(both_present(gold, pred), F.coalesce(weight, F.lit(0.0)))
 
 
-def soft_scores(aligned: DataFrame, spark: SparkSession, gold="gold", pred="pred",
-                weights: dict[str, dict[str, float]] = AGE_WEIGHTS) -> DataFrame:
-    """D11 per row: trimmed, lower-cased pair looked up in the weight table
-    (a fixed-size table, broadcast); pairs not in the table weigh 0; rows
-    missing either side get no weight (null)."""
-    g = F.lower(py_strip(_c(gold)))
-    p = F.lower(py_strip(_c(pred)))
-    wt = F.broadcast(weight_table(spark, weights))
-    a = aligned.withColumn("_g", g).withColumn("_p", p)
-    j = a.join(wt, (a["_g"] == wt["wg"]) & (a["_p"] == wt["wp"]), "left")
-    return j.withColumn(
-        "soft_score", F.when(both_present(gold, pred), F.coalesce(F.col("w"), F.lit(0.0)))
-    ).drop("_g", "_p", "wg", "wp", "w")
+def soft_scores(aligned: DataFrame, gold="gold", pred="pred",
+                weights: Mapping[str, Mapping[str, float]] = AGE_WEIGHTS) -> DataFrame:
+    """``aligned`` with its ``soft_score``."""
+    return aligned.withColumn("soft_score", soft_score(gold, pred, weights))
 
 
 def soft_f1(scored: DataFrame) -> DataFrame:
@@ -190,7 +178,7 @@ def soft_f1(scored: DataFrame) -> DataFrame:
         F.sum("soft_score").alias("tpw"), F.count("*").alias("n")
     )
     f1 = F.when(F.col("n") == 0, F.lit(None)).when(F.col("tpw") > 0, F.col("tpw") / F.col("n")).otherwise(0.0)
-    return r.select(F.round(f1, ROUND).alias("soft_f1"), F.col("n").alias("n_rows"))
+    return r.select(f1.alias("soft_f1"), F.col("n").alias("n_rows"))
 
 
 # ---- set metrics -----------------------------------------------------------------
@@ -206,7 +194,7 @@ def set_f1(gold="gold", pred="pred") -> Column:
     """Per-row F1 of label sets; empty gold -> null, empty prediction -> 0."""
     c = set_counts(gold, pred)
     return F.when(c["n_gold"] == 0, F.lit(None)).otherwise(
-        F.round(2.0 * c["tp"] / (c["n_gold"] + c["n_pred"]), ROUND)
+        2.0 * c["tp"] / (c["n_gold"] + c["n_pred"])
     )
 
 
@@ -224,7 +212,7 @@ def micro_set_f1(rows: DataFrame, gold="gold", pred="pred") -> DataFrame:
     )
     den = 2 * F.col("tp") + F.col("fp") + F.col("fn")
     return s.select(
-        F.when((F.col("n") > 0) & (den > 0), F.round(2.0 * F.col("tp") / den, ROUND))
+        F.when((F.col("n") > 0) & (den > 0), 2.0 * F.col("tp") / den)
         .when(F.col("n") > 0, F.lit(0.0))
         .alias("micro_f1"),
         F.col("n").alias("n_rows"),
@@ -249,6 +237,11 @@ def value_profile(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
 
 
+def type_profile(df: DataFrame, col: str) -> DataFrame:
+    """The kinds of value a VARIANT column holds, with their counts."""
+    return df.groupBy(F.schema_of_variant(_c(col)).alias("kind")).agg(F.count("*").alias("n"))
+
+
 # ---- D16 consolidation ------------------------------------------------------------
 def consolidate(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Stack score tables (attribute order = list order) and keep, per key
@@ -271,7 +264,7 @@ def consolidate(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
 def mean_similarity(scored: DataFrame, gold_present: Column, score="cos_sim") -> DataFrame:
     """Mean score over rows with gold; a missing prediction counts 0."""
     return scored.agg(
-        F.round(F.avg(F.when(gold_present, F.coalesce(_c(score), F.lit(0.0)))), ROUND).alias("mean_cos"),
+        F.avg(F.when(gold_present, F.coalesce(_c(score), F.lit(0.0)))).alias("mean_cos"),
         F.count(F.when(gold_present, 1)).alias("n_gold"),
     )
 
@@ -290,7 +283,7 @@ def similarity(
     embed: Callable[[pd.Series], pd.Series],
     gold: str = "gold",
     pred: str = "pred",
-    dim: int | None = None,
+    score: str = "cos_sim",
 ) -> DataFrame:
     """K0 from texts: values -> instruction texts (S8, S12) -> each *distinct*
     text embedded once by the plug-in (U1) -> vectors joined back -> cosine.
@@ -300,6 +293,7 @@ def similarity(
     """
     from charlens.functions.text import instruct_text, split_comma_blank
     from charlens.operators.inference import embed_texts
+    from charlens.session import checkpoint_root
 
     def as_list(c: str) -> Column:
         dt = dict(aligned.dtypes)[c]
@@ -314,11 +308,12 @@ def similarity(
         a.select(F.col("_gt").alias("text")).union(a.select(F.col("_pt").alias("text")))
         .where(F.col("text").isNotNull()).distinct()
     )
-    vecs = embed_texts(texts, embed)
+    checkpoint_root(aligned.sparkSession)
+    vecs = embed_texts(texts, embed).checkpoint()  # both sides read it: the plug-in runs once a text
     gv = vecs.select(F.col("text").alias("_gt"), F.col("vec").alias("_gv"))
     pv = vecs.select(F.col("text").alias("_pt"), F.col("vec").alias("_pv"))
     j = a.join(gv, "_gt", "left").join(pv, "_pt", "left")
-    return j.withColumn("cos_sim", F.coalesce(cosine("_gv", "_pv"), F.lit(0.0))).drop(
+    return j.withColumn(score, F.coalesce(cosine("_gv", "_pv"), F.lit(0.0))).drop(
         "_gl", "_pl", "_gt", "_pt", "_gv", "_pv"
     )
 

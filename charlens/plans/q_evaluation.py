@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from charlens.operators import metrics as M
 from charlens.plans.evaluation_job import evaluate
 from charlens.plans.q_repair import _REPAIR_GOLD_SQL, repaired_raw
-from charlens.plans.registry import register
+from charlens.plans.registry import register, rounded
 from charlens.plans.sql_oracle import report_sql
 from charlens.sources.fixtures import view
 
@@ -37,7 +37,7 @@ def _aligned(spark, sf):
 )
 def eval_lang_report(spark, sf):
     """Flagship: repair -> align -> per-class report for the language attribute."""
-    return M.classification_report(_aligned(spark, sf), "lang_gold", "lang_pred")
+    return rounded(M.classification_report(_aligned(spark, sf), "lang_gold", "lang_pred"))
 
 
 _SCORE_SQL = _REPAIR_GOLD_SQL + """,
@@ -56,26 +56,35 @@ s AS (select doc_id,
 @register("eval_scorecard", _SCORE_SQL + "select * from s")
 def eval_scorecard(spark, sf):
     _, scores = evaluate(spark, _aligned(spark, sf), "doc_id", EVAL_ATTRS)
-    return scores.select("doc_id", "score_lang", "score_tags", "score_is_human")
+    return rounded(scores)
 
 
-@register(
-    "eval_report",
+_REPORT_SQL = (
     _SCORE_SQL
-    + """, lab AS (select lower(lg) g, lower(lp) p from a),
-cnt AS (select count(*) n from a),
-mic AS (select sum(len(list_filter(list_distinct(tg), lambda x: list_contains(tp, x)))) tp_,
+    + """, mic AS (select sum(len(list_filter(list_distinct(tg), lambda x: list_contains(tp, x)))) tp_,
           sum(len(list_distinct(tp)) - len(list_filter(list_distinct(tg), lambda x: list_contains(tp, x)))) fp_,
           sum(len(list_distinct(tg)) - len(list_filter(list_distinct(tg), lambda x: list_contains(tp, x)))) fn_,
           count(*) n from a where len(tg)>0),
 hum AS (select count(is_human) n, case when count(is_human)>0 then 100.0*sum(case when is_human then 1 else 0 end)/count(is_human) else 0 end v from a),
-""" + report_sql(
-        "select lower(lg) g, lower(lp) p from a",
-        """select 'lang' attribute, 'f1' metric, label, round(f1, 6) value, cast(support as bigint) support from report_rows
-union all select 'tags', 'micro_f1', null, case when n>0 then round(2.0*tp_/(2*tp_+fp_+fn_), 6) end, n from mic
-union all select 'type', 'pct_human', null, round(v, 6), n from hum""",
-    ),
-)
+""" + report_sql("select lower(lg) g, lower(lp) p from a", ", lang_rows AS (select * from report_rows)")
+    + ", type_rep AS (with " + report_sql(
+        "select cast(coalesce(lower(type_gold)='human', false) as varchar) g, cast(is_human as varchar) p from a",
+        "select * from report_rows") + ")"
+    + """, cells AS (
+  select 'lang' attribute, unnest(['precision','recall','f1']) metric, label, unnest(["precision",recall,f1]) v, support from lang_rows
+  union all
+  select 'type', unnest(['is_human_precision','is_human_recall','is_human_f1']), label, unnest(["precision",recall,f1]), support from type_rep
+  union all select 'lang', 'gold_count', null, count(lg), count(*) from a
+  union all select 'tags', 'gold_count', null, count(tg), count(*) from a
+  union all select 'type', 'gold_count', null, count(type_gold), count(*) from a
+  union all select 'tags', 'micro_f1', null, case when n>0 then 2.0*tp_/(2*tp_+fp_+fn_) end, n from mic
+  union all select 'type', 'pct_human', null, v, n from hum)
+select attribute, metric, label, round(cast(v as double), 6) "value", cast(support as bigint) support from cells
+where v is not null""")
+
+
+@register("eval_report", _REPORT_SQL)
 def eval_report(spark, sf):
+    """The whole K3 report over the repaired outputs."""
     rep, _ = evaluate(spark, _aligned(spark, sf), "doc_id", EVAL_ATTRS)
-    return rep.where(~((F.col("attribute") == "type") & (F.col("metric") == "is_human_f1")))
+    return rounded(rep)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from charlens.operators import metrics as M
 from charlens.operators.relational import set_algebra
-from charlens.plans.registry import register
+from charlens.plans.registry import register, rounded
 from charlens.plans.sql_oracle import report_sql
 from charlens.sources.fixtures import view, with_clause
 
@@ -31,7 +31,7 @@ def _ordinal_aligned(spark, sf):
     with_clause("closed") + ", " + report_sql("select lower(gold) g, lower(pred) p from closed"),
 )
 def closed_report(spark, sf):
-    return M.classification_report(_closed_aligned(spark, sf))
+    return rounded(M.classification_report(_closed_aligned(spark, sf)))
 
 
 # ---- D10 / D15 / C9: per-row scores -----------------------------------------------------
@@ -85,15 +85,14 @@ def closed_counts(spark, sf):
     with_clause("ordinal") + ", " + report_sql("select lower(gold) g, lower(pred) p from ordinal"),
 )
 def ordinal_report(spark, sf):
-    return M.classification_report(_ordinal_aligned(spark, sf))
+    return rounded(M.classification_report(_ordinal_aligned(spark, sf)))
 
 
-_W_SQL = """w0t AS (select * from (values
- ('child','child',1.0),('child','teenager',0.8),('child','adult',0.0),('child','senior',0.0),
- ('teenager','child',0.8),('teenager','teenager',1.0),('teenager','adult',0.8),('teenager','senior',0.0),
- ('adult','teenager',0.8),('adult','adult',1.0),('adult','senior',0.8),('adult','child',0.0),
- ('senior','adult',0.8),('senior','senior',1.0),('senior','teenager',0.0),('senior','child',0.0)) t(wg,wp,w0)),
-w AS (select wg, wp, cast(w0 as double) w from w0t)"""
+# the weight by the distance of the classes in the order child, teenager, adult, senior:
+# 1 for the same, 0.8 for neighbours, 0 otherwise and for other labels
+_W_SQL = """w0t AS (select wg, wp, abs(i - j) d from (values ('child',0),('teenager',1),('adult',2),('senior',3)) a(wg,i),
+  (values ('child',0),('teenager',1),('adult',2),('senior',3)) b(wp,j)),
+w AS (select wg, wp, cast(case d when 0 then 1.0 when 1 then 0.8 else 0.0 end as double) w from w0t)"""
 
 def _soft_sql(*extra: str) -> str:
     return (
@@ -113,7 +112,7 @@ _SOFT_ROWS_SQL = _soft_sql()
 
 @register("ordinal_soft_rows", _SOFT_ROWS_SQL + "select doc_id, gold, pred, soft_score from soft")
 def ordinal_soft_rows(spark, sf):
-    return M.soft_scores(_ordinal_aligned(spark, sf), spark).select("doc_id", "gold", "pred", "soft_score")
+    return M.soft_scores(_ordinal_aligned(spark, sf)).select("doc_id", "gold", "pred", "soft_score")
 
 
 @register(
@@ -123,7 +122,7 @@ def ordinal_soft_rows(spark, sf):
   count(*) n_rows from soft where soft_score is not null""",
 )
 def ordinal_soft_f1(spark, sf):
-    return M.soft_f1(M.soft_scores(_ordinal_aligned(spark, sf), spark))
+    return rounded(M.soft_f1(M.soft_scores(_ordinal_aligned(spark, sf))))
 
 
 # ---- C10 / C11: full outer merge of hard and soft score tables ------------------------
@@ -139,7 +138,7 @@ from hard h full outer join soft s on h.doc_id=s.doc_id""",
 def ordinal_merged_scores(spark, sf):
     al = _ordinal_aligned(spark, sf)
     hard = al.select("doc_id", M.exact_match().alias("score"))
-    soft = M.soft_scores(al, spark).select(F.col("doc_id").alias("sid"), "soft_score")
+    soft = M.soft_scores(al).select(F.col("doc_id").alias("sid"), "soft_score")
     j = hard.join(soft, hard["doc_id"] == soft["sid"], "full_outer")
     return j.select(
         F.coalesce("doc_id", "sid").alias("doc_id"),
@@ -190,7 +189,7 @@ def sets_row_f1(spark, sf):
         c["n_gold"].cast("bigint").alias("n_gold"),
         c["n_pred"].cast("bigint").alias("n_pred"),
         c["tp"].cast("bigint").alias("tp"),
-        M.set_f1().alias("f1"),
+        F.round(M.set_f1(), 6).alias("f1"),
         F.array_join(alg["union"], "|").alias("union_labels"),
         F.array_join(alg["intersection"], "|").alias("common_labels"),
         F.array_join(alg["gold_only"], "|").alias("gold_only"),
@@ -205,7 +204,7 @@ select case when count(*)>0 then round(2.0*sum(tp)/(2*sum(tp)+sum(n_pred-tp)+sum
   count(*) n_rows from r""",
 )
 def sets_micro_f1(spark, sf):
-    return M.micro_set_f1(_sets(spark, sf))
+    return rounded(M.micro_set_f1(_sets(spark, sf)))
 
 
 # ---- D16: consolidation of per-attribute score tables -------------------------------
@@ -226,7 +225,7 @@ def consolidated_scores(spark, sf):
     t1 = cl.select(
         "doc_id", M.exact_match().alias("x"), M.agreement(value="en").cast("double").alias("y")
     )
-    od = M.soft_scores(_ordinal_aligned(spark, sf), spark)
+    od = M.soft_scores(_ordinal_aligned(spark, sf))
     t2 = od.select("doc_id", F.col("soft_score").alias("x"), M.exact_match().alias("z"))
     return M.consolidate([t1, t2], ["doc_id"])
 
@@ -261,7 +260,7 @@ def vector_similarity_rows(spark, sf):
 )
 def vector_similarity_mean(spark, sf):
     s = _vec_scored(spark, sf)
-    return M.mean_similarity(s, F.col("ea").isNotNull(), "cos_sim")
+    return rounded(M.mean_similarity(s, F.col("ea").isNotNull(), "cos_sim"))
 
 
 # ---- D18: greedy token-alignment F1 -----------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from charlens.functions.text import WS_CLASS
 from charlens.operators import metrics as M
 from charlens.operators.repair import repair_outputs, repair_summary
-from charlens.plans.registry import register
+from charlens.plans.registry import register, rounded
 from charlens.plans.sql_oracle import report_sql
 from charlens.sources.fixtures import VIEWS, view, with_clause
 
@@ -148,7 +148,7 @@ def _type_aligned(spark, sf):
 )
 def type_is_human_report(spark, sf):
     al = _type_aligned(spark, sf)
-    return M.classification_report(al, "gold_is_human", "is_human", kind="bool")
+    return rounded(M.classification_report(al, "gold_is_human", "is_human", kind="bool"))
 
 
 @register(

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +18,11 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Double columns rounded, so that both engines' sums compare equal."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def register(name: str, oracle: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
@@ -34,6 +40,7 @@ def load_all() -> None:
     from charlens.plans import (  # noqa: F401
         q_catalog,
         q_evaluation,
+        q_files,
         q_graph,
         q_inference,
         q_mentions,

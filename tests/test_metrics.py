@@ -25,7 +25,7 @@ def test_soft_f1_age(spark):
     al = spark.createDataFrame(
         [("adult", "adult"), ("child", "teenager"), ("senior", "child"), ("teenager", "adult")],
         "gold string, pred string")
-    s = M.soft_scores(al, spark)
+    s = M.soft_scores(al)
     assert sorted(r["soft_score"] for r in s.collect()) == [0.0, 0.8, 0.8, 1.0]
     assert M.soft_f1(s).collect()[0]["soft_f1"] == 0.65
 
@@ -33,7 +33,7 @@ def test_soft_f1_age(spark):
 def test_soft_f1_identity_weights_equal_accuracy(spark):
     al = spark.createDataFrame([("a", "a"), ("b", "a"), ("b", "b"), ("c", "b")], "gold string, pred string")
     ident = {k: {k: 1.0} for k in "abc"}
-    f = M.soft_f1(M.soft_scores(al, spark, weights=ident)).collect()[0]["soft_f1"]
+    f = M.soft_f1(M.soft_scores(al, weights=ident)).collect()[0]["soft_f1"]
     acc = [r for r in M.classification_report(al).collect() if r["label"] == "accuracy"][0]["f1"]
     assert f == acc
 
