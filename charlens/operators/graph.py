@@ -88,12 +88,13 @@ def property_frequency(characters: DataFrame, st: DataFrame, labels: DataFrame,
 
 def fold_attributes(st: DataFrame, labels: DataFrame, subjects: DataFrame | None = None,
                     entity_prefixes: Sequence[str] = (), order_col: str | None = None,
-                    text_lang_col: str | None = None) -> DataFrame:
+                    text_lang_col: str | None = None, lang_props: Sequence[str] = ()) -> DataFrame:
     """D3: ``(s, attributes MAP<label, ARRAY<STRUCT<text, lang>>>)`` -- per
     subject and property label the values deduplicated in first-seen order.
     Entity values show their label (fallback: last URI segment); literals
     show themselves.  ``order_col`` fixes "first seen"; without one the value
-    order is the value itself."""
+    order is the value itself.  The language of ``text_lang_col`` is kept for the
+    properties ``lang_props`` only; elsewhere equal texts of two languages are one value."""
     lt = label_table(labels)
     s = st if subjects is None else st.join(subjects.select(F.col("character_uri").alias("s")).distinct(), "s",
                                             "left_semi")
@@ -101,7 +102,8 @@ def fold_attributes(st: DataFrame, labels: DataFrame, subjects: DataFrame | None
     for pre in entity_prefixes:
         is_ent = is_ent | F.col("o").startswith(pre)
     s = s.withColumn("_ord", F.col(order_col) if order_col else F.col("o"))
-    s = s.withColumn("_lang", F.col(text_lang_col) if text_lang_col else F.lit(None).cast("string"))
+    keeps_lang = F.col("p").isin(list(lang_props)) if text_lang_col and lang_props else F.lit(False)
+    s = s.withColumn("_lang", F.when(keeps_lang, F.col(text_lang_col)) if text_lang_col else F.lit(None).cast("string"))
     # properties are few: label each once; only entity values need a label join,
     # literals (long, and most rows) never move by their text
     props = with_label(st.select("p").distinct(), "p", lt, "prop")

@@ -176,7 +176,9 @@ def repair_outputs(
     """H1-H10 + B10: add ``parsed`` (VARIANT), ``status`` and one typed column
     per requested attribute (``{name: spark_type}``; a plain list means
     ``string``).  Rows are never dropped: unparsable or missing outputs give
-    null in every attribute column."""
+    null in every attribute column.  Of repeated keys the last counts (H7); the
+    session setting for that is switched on here."""
+    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     if not isinstance(attrs, Mapping):
         attrs = {a: "string" for a in attrs}
     t = _c(output_col)

@@ -166,7 +166,8 @@ def _gold_value(attr: str, kind: str) -> Column:
     if kind in ("closed", "ordinal", "type"):
         return text
     items = F.try_variant_get(v, "$", "array<string>")
-    return F.coalesce(items, split_comma_blank(text) if kind == "open" else split_list(F.when(text != "", text)))
+    # an absent value stays null (S7 would make it an empty list, which D6 counts)
+    return F.coalesce(items, F.when(text.isNotNull(), split_comma_blank(text) if kind == "open" else split_list(text)))
 
 
 PRED_TYPES = {"closed": "string", "ordinal": "string", "set": "array<string>", "open": "array<string>", "type": TYPE_STRUCT}

@@ -8,6 +8,8 @@ from charlens.operators import graph as G
 from charlens.operators.relational import dedup_first, top_n
 from charlens.plans.dataset_job import build_dataset
 from charlens.plans.registry import register
+from charlens.session import scratch_path
+from charlens.sources import io
 from charlens.sources.fixtures import VIEWS, view, with_clause
 
 GENRE = "1-URGENT"
@@ -63,11 +65,11 @@ def books_without_id(spark, sf):
 
 @register(
     "books_with_id_first",
-    _GRAPH + "select * from bw order by book, title, author, date limit 1500",
+    _GRAPH + "select * from bw order by book, title, author, date limit 100",
 )
 def books_with_id_first(spark, sf):
-    """L2: the source query's row limit, with a deterministic order."""
-    return top_n(_books(spark, sf, True), 1500, "book", "title", "author", "date")
+    """L2: the source query's row limit (here one that cuts), with a deterministic order."""
+    return top_n(_books(spark, sf, True), 100, "book", "title", "author", "date")
 
 
 @register("book_characters", _GRAPH + "select * from bc")
@@ -245,3 +247,41 @@ def dataset_wide(spark, sf):
     return wide.select(
         "character_name", "character_uri", "book_title", "book_author", "also_known_as", "description",
         *[F.col(f"`attr_{c}`").alias("attr_" + c.replace(" ", "_")) for c in WIDE_COLUMNS])
+
+
+_FACTS = with_clause("person_facts") + """,
+v AS (select s, p, o, min(lang) lang from person_facts group by s, p, o)
+"""
+
+
+@register(
+    "native_names",
+    _FACTS + """select s,
+  string_agg(o, ', ' order by o) filter (where p='native_name') attr_native_name,
+  case when count(*) filter (where p='native_name') = 1 then max(lang) filter (where p='native_name') end native_language_from_name,
+  string_agg(o, ', ' order by o) filter (where p='motto') attr_motto
+from v group by s""",
+)
+def native_names(spark, sf):
+    """D3 + D5: the native name keeps its language and gives two columns; a text
+    that another property holds in two languages is one value."""
+    st = view(spark, sf, "person_facts")
+    no_labels = view(spark, sf, "graph_labels").where(F.lit(False))
+    docs = G.fold_attributes(st, no_labels, text_lang_col="lang", lang_props=["native_name"])
+    return G.flatten_characters(docs, ["native_name", "motto"], native_name_label="native_name")
+
+
+@register(
+    "statement_dump",
+    with_clause("triples") + """select t.p property_id, count(*) count, cast(null as varchar) label from triples t
+where t.p like 'a%' and t.s in (select o from triples where p='character') group by t.p""",
+)
+def statement_dump(spark, sf):
+    """A5 + B5: statements written as a dump partitioned by property, read back; the
+    property prefix prunes folders."""
+    path = scratch_path(spark, "statements")
+    io.write_statements(view(spark, sf, "triples").repartition("p"), path)
+    st = io.read_statements(spark, path)
+    chars = st.where("p = 'character'").select(F.col("o").alias("character_uri")).distinct()
+    no_labels = view(spark, sf, "graph_labels").where(F.lit(False))
+    return G.property_frequency(chars, st, no_labels, prefix="a")

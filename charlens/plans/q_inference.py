@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from charlens.functions.text import py_strip
 from charlens.operators import mentions as MN
 from charlens.operators import retrieval as R
-from charlens.operators.inference import MOCK_VALUES, hashing_embed, mock_model, mock_output
+from charlens.operators.inference import MOCK_VALUES, letter_embed, mock_model, mock_output
 from charlens.plans.inference_job import run_inference
 from charlens.plans.q_mentions import _BASE, books_and_cast
 from charlens.plans.registry import register
@@ -104,11 +104,36 @@ def q_model_outputs(spark, sf):
                       F.md5(R.excerpts(F.col("selected_passages"))).alias("excerpts_md5"))
 
 
-@register("embedding_strategy_outputs")
+LETTERS = "aeinorst"
+TOP = 3
+
+
+def _letters_sql(text: str) -> str:
+    """How often each of LETTERS occurs, as a DuckDB list."""
+    return "[" + ", ".join(f"length({text}) - length(replace({text}, '{x}', ''))" for x in LETTERS) + "]"
+
+
+_EMBED_SQL = _EXC_SQL + f""",
+qs AS (select url, character, attr_no, 'Instruct: ' || {_sql_lit(R.RETRIEVAL_TASK)} || chr(10) || 'Query: ' || what || ' of ' || character q
+       from cc, (values (0, 'stage of life'), (1, 'gender'), (2, 'languages understood or used')) t(attr_no, what)),
+sc AS (select qs.url, qs.character, attr_no, mention_no, passage,
+         list_dot_product({_letters_sql('q')}::double[], {_letters_sql('passage')}::double[]) s
+       from qs join pass on qs.url=pass.url and qs.character=pass.character),
+tk AS (select *, row_number() over (partition by url, character, attr_no order by s desc, mention_no desc) rk from sc),
+sel AS (select url, character, mention_no, any_value(passage) passage, min(attr_no * 1000 + rk) fk from tk where rk <= {TOP}
+        group by url, character, mention_no),
+se AS (select url, character, count(*) n, string_agg(passage, chr(10) || chr(10) || ' ' order by fk) x from sel group by url, character)
+select cc.url book, cc.character, cc.mentions_counter, case when trim(coalesce(x, '')) <> '' then {_MOCK_SQL} end output,
+  case when trim(coalesce(x, '')) <> '' then 'ok' else 'skipped' end status, coalesce(n, 0) n_selected, md5(coalesce(x, '')) excerpts_md5
+from cc left join se on cc.url=se.url and cc.character=se.character"""
+
+
+@register("embedding_strategy_outputs", _EMBED_SQL)
 def q_embedding_strategy(spark, sf):
-    """K2 with the embedding strategy (U1 plug-in = hashing stand-in); the
-    selection itself is oracle-checked by ``top_passages``/``selected_passages``."""
+    """K2 with the embedding strategy: query texts (G4), embedder plug-in (U1), passages
+    chosen per attribute (G2, E2) and united (E3), prompts and model calls (G5, G6)."""
     books, chars = books_and_cast(spark, sf)
-    out = run_inference(spark, books, chars, ATTRS, "embedding", mock_model(ATTRS), embed=hashing_embed(64))
-    return out.select("book", "character", "mentions_counter", "status",
-                      F.size("selected_passages").cast("bigint").alias("n_selected"))
+    out = run_inference(spark, books, chars, ATTRS, "embedding", mock_model(ATTRS), embed=letter_embed(LETTERS), k=TOP)
+    return out.select("book", "character", "mentions_counter", "output", "status",
+                      F.size("selected_passages").cast("bigint").alias("n_selected"),
+                      F.md5(R.excerpts(F.col("selected_passages"))).alias("excerpts_md5"))

@@ -163,3 +163,20 @@ def type_nonhuman_subset(spark, sf):
     # A null gold type passes the "not human" test
     keep = ~F.lower("type_gold").eqNullSafe("human") & (F.col("is_human") == F.lit(False))
     return al.where(keep).select("doc_id", "type_gold", "character_type")
+
+
+# ---- H3, H6, H7, H8: the rare damages, expected rows derived by hand ---------------
+@register(
+    "repair_damaged",
+    with_clause("damaged_outputs") + """select doc_id,
+ case doc_id%8 when 3 then 'repaired' when 7 then 'unparsable' else 'ok' end status,
+ case doc_id%8 when 3 then source when 6 then source when 7 then null else 'adult' end age,
+ case doc_id%8 when 0 then source || '|Lima' when 1 then source || '|Arica' end origin,
+ case when doc_id%8 in (2, 4, 5) then source when doc_id%8 = 3 then '' end residence
+from damaged_outputs""",
+)
+def q_repair_damaged(spark, sf):
+    raw = view(spark, sf, "damaged_outputs").withColumnRenamed("raw", "output")
+    r = repair_outputs(raw, {"age": "string", "origin": "array<string>", "residence": "array<string>"})
+    return r.select("doc_id", "status", "age", F.array_join("origin", "|").alias("origin"),
+                    F.array_join("residence", "|").alias("residence"))

@@ -49,23 +49,36 @@ def q_stream_repair(spark, sf):
 
 @register(
     "stream_dedup",
-    "select distinct user_id, event_type from events",
+    "select event_id, user_id, event_type from events",
 )
 def q_stream_dedup(spark, sf):
-    """Re-sent events with the same (user, type) inside the watermark are
-    dropped; one micro-batch keeps exactly one row per key."""
-    schema = table(spark, sf, "events").schema
+    """Every event is sent twice, the copy up to half an hour later; copies inside
+    the watermark's hour are dropped, over several micro-batches.
+
+    The re-sent identity is the event id.  Events arrive in parts of ten days, the copies of
+    a part's last half hour with the next part; each part is a micro-batch of its own.
+    """
     base = scratch_path(spark, "stream-dedup")
-    out, ckpt = os.path.join(base, "out"), os.path.join(base, "ckpt")
-    stream_dedup(spark, sf, out, ckpt, schema, ["user_id", "event_type"], "ts", "1 hour",
-                 glob="events.parquet")
-    return spark.read.parquet(out).select("user_id", "event_type")
+    sent, out, ckpt = (os.path.join(base, x) for x in ("sent", "out", "ckpt"))
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    seconds, part = F.unix_seconds("ts"), 10 * 86400
+    first = events.withColumn("part", F.floor(seconds / part))
+    again = events.withColumn("part", F.floor((seconds + 1800) / part))
+    files = first.unionByName(again)
+    numbers = files.agg(F.min("part"), F.max("part")).first()
+    if numbers[0] is None:
+        return events.select("event_id", "user_id", "event_type")
+    # part by part, as the files would arrive: each run of the stream takes what is new
+    for n in range(numbers[0], numbers[1] + 1):
+        files.where(F.col("part") == n).drop("part").write.mode("append").parquet(sent)
+        stream_dedup(spark, sent, out, ckpt, events.schema, ["event_id"], "ts", "1 hour")
+    return spark.read.parquet(out).select("event_id", "user_id", "event_type")
 
 
 @register(
     "predictions_csv_roundtrip",
     with_clause("raw_outputs") + """select concat('doc/', cast(doc_id as varchar)) book, 'c' || cast(doc_id as varchar) character,
-  raw output, cast(doc_id % 7 as bigint) mentions_counter from raw_outputs""",
+  raw output, cast(doc_id % 7 as bigint) mentions_counter, 'I don''t know|p;2' passages from raw_outputs""",
 )
 def q_predictions_csv(spark, sf):
     """A7 + A2: predictions with newlines, quotes and ';' in the output are
@@ -78,9 +91,10 @@ def q_predictions_csv(spark, sf):
         F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("Character"),
         F.col("raw").alias("Output"),
         (F.col("doc_id") % 7).cast("bigint").alias("Mentions_counter"),
-        F.array(F.lit("p1"), F.lit("p;2")).alias("Selected_passages"),
+        F.array(F.lit("I don't know"), F.lit("p;2")).alias("Selected_passages"),
     )
     path = scratch_path(spark, "pred-csv")
     write_csv(pred, path, sep=";")
     back = read_predictions(spark, path)
-    return back.select("book", "character", "output", "mentions_counter")
+    return back.select("book", "character", "output", "mentions_counter",
+                       F.array_join("selected_passages", "|").alias("passages"))

@@ -46,10 +46,19 @@ union all select p, concat(p,' label'), 'en' from (select distinct p from (
         "cast(o_orderkey as varchar(30))) title, "
         "concat('Edited by ',c_name) author from orders join customer on o_custkey=c_custkey"
     ),
+    # texts with a language; some persons have a second native name, every motto is
+    # given in two languages
+    "person_facts": """
+select concat('person/',c_custkey) s, 'native_name' p, c_name o, case when c_nationkey%2=0 then 'fr' else 'de' end lang from customer
+union all select concat('person/',c_custkey), 'native_name', concat('Also ',c_name), 'it' from customer where c_custkey%4=0
+union all select concat('person/',c_custkey), 'motto', c_mktsegment, 'en' from customer
+union all select concat('person/',c_custkey), 'motto', c_mktsegment, 'fr' from customer""",
     "corpus": "select concat('doc/',doc_id) url, text, lang from documents",
     "cast_list": """
 select concat('doc/',doc_id) url, case lang when 'en' then 'the' when 'fr' then 'eque' when 'de' then 'fur' else 'cion' end name,
- case lang when 'en' then 'of the|and' when 'fr' then 're|le' when 'de' then 'die|in' else 'de la|la' end aliases from documents""",
+ case lang when 'en' then 'of the|and' when 'fr' then 're|le' when 'de' then 'die|in' else 'de la|la' end aliases from documents
+union all select concat('doc/',doc_id), 'un', 'and the|la' from documents where doc_id%3=0
+union all select concat('lost/',doc_id), 'the', 'of' from documents where doc_id%10=0""",
     "closed": """
 select doc_id, lang gold, case when doc_id%13=0 then null when doc_id%7=0 then 'en' when doc_id%3=0 then upper(lang) else lang end pred from documents""",
     "ordinal": """
@@ -76,6 +85,33 @@ select doc_id, case doc_id%8
     # list, and a nested type where every fifth document is non-human
     "doc_gold": """
 select doc_id, lang, source, case when doc_id%5=0 then lang else 'human' end type_gold from documents""",
+    # gold and model outputs of one character per document, for the job from files
+    "file_gold": """
+select concat('c',doc_id) name, concat('doc/',doc_id) url, lang,
+ case when n_chars<300 then 'child' when n_chars<900 then 'teenager' when n_chars<3000 then 'adult' else 'senior' end age,
+ case when doc_id%7<>0 then source end tag1, case when doc_id%7<>0 then lang end tag2,
+ case when doc_id%4<>0 then lang end occupation,
+ case when doc_id%11<>0 then case when doc_id%5=0 then source else 'human' end end kind from documents""",
+    "file_pred": """
+select concat('c',doc_id) name, concat('doc/',doc_id) url, doc_id%6 form, case doc_id%6
+ when 0 then concat('{"lang": "',lang,'", "age": "adult", "tags": ["',source,'", "x"], "occupation": ["',lang,'", "baker"], "type": {"is_human": true, "character_type": ""}}')
+ when 1 then concat('{"lang": "EN", "age": "teenager", "tags": ["',source,'"], "occupation": ["',source,'"], "type": {"is_human": false, "character_type": "',source,'"}}')
+ when 2 then '{"lang": null, "age": "Senior ", "tags": ["a", "b"], "type": {"is_human": false, "character_type": "spirit"}}'
+ when 3 then null
+ when 4 then 'no object; here'
+ else concat('Answer:',chr(10),'{"lang": "',lang,'", "age": "child", "tags": ["',lang,'", "',source,'"], "occupation": ["',lang,'"], "type": {"is_human": true, "character_type": ""}}') end output
+from documents""",
+    # outputs damaged in the rare ways, one template each (see repair_damaged)
+    "damaged_outputs": """
+select doc_id, source, case doc_id%8
+ when 0 then concat('{"origin": ["country": "',source,'", "city": "Lima"], "age": "adult"}')
+ when 1 then concat('{"origin": ["x"]: ["',source,'", "Arica"], "age": "adult"}')
+ when 2 then concat('{"residence": ["',source,'"], ''null'', "age": "adult"}')
+ when 3 then concat('{"residence": ["Pa',chr(10),'ris"],',chr(10),'"age": "',source,'"}')
+ when 4 then concat('{"residence": ["',source,'"]],',' "age": "adult"}')
+ when 5 then concat('{"residence": ["',source,'"]',chr(10),'"age": "adult"}')
+ when 6 then concat('{"age": "child", "age": "',source,'"}')
+ else concat('{"age": ',source) end raw from documents""",
     "vector_pairs": (
         "select a.vec_id, a.embedding ea, b.embedding eb from embeddings a "
         "join embeddings b on b.vec_id=a.vec_id+1"

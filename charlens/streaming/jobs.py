@@ -46,10 +46,12 @@ def stream_repair(spark: SparkSession, in_dir: str, out_dir: str, ckpt_dir: str,
 
 
 def stream_dedup(spark: SparkSession, in_dir: str, out_dir: str, ckpt_dir: str, schema: StructType,
-                 keys: list[str], event_time: str, delay: str = "1 hour", glob: str | None = None) -> None:
+                 keys: list[str], event_time: str, delay: str = "1 hour", glob: str | None = None,
+                 max_files: int | None = None) -> None:
     """Drop re-sent rows with the same key within the watermark delay
-    (state per key is dropped once the watermark passes it)."""
-    src = file_stream(spark, in_dir, schema, glob)
+    (state per key is dropped once the watermark passes it).  ``keys`` is the identity
+    of a re-sent row; rows later than the watermark are dropped too."""
+    src = file_stream(spark, in_dir, schema, glob, max_files)
     if dict(src.dtypes)[event_time] != "timestamp":  # watermarks need TIMESTAMP (not _NTZ)
         src = src.withColumn(event_time, src[event_time].cast("timestamp"))
     d = src.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)

@@ -9,11 +9,11 @@ from charlens.operators import metrics as M
 def test_classification_report(spark):
     al = spark.createDataFrame([("m", "m"), ("f", "m"), ("f", "f")], "gold string, pred string")
     rep = {r["label"]: r for r in M.classification_report(al).collect()}
-    assert rep["m"]["precision"] == 0.5 and rep["m"]["recall"] == 1.0 and rep["m"]["f1"] == 0.666667
+    assert rep["m"]["precision"] == 0.5 and rep["m"]["recall"] == 1.0 and rep["m"]["f1"] == pytest.approx(2 / 3)
     assert rep["m"]["support"] == 1
     assert rep["f"]["precision"] == 1.0 and rep["f"]["recall"] == 0.5 and rep["f"]["support"] == 2
-    assert rep["accuracy"]["f1"] == 0.666667
-    assert rep["macro avg"]["f1"] == 0.666667
+    assert rep["accuracy"]["f1"] == pytest.approx(2 / 3)
+    assert rep["macro avg"]["f1"] == pytest.approx(2 / 3)
 
 
 def test_report_empty_gives_no_rows(spark):
@@ -27,7 +27,7 @@ def test_soft_f1_age(spark):
         "gold string, pred string")
     s = M.soft_scores(al)
     assert sorted(r["soft_score"] for r in s.collect()) == [0.0, 0.8, 0.8, 1.0]
-    assert M.soft_f1(s).collect()[0]["soft_f1"] == 0.65
+    assert M.soft_f1(s).collect()[0]["soft_f1"] == pytest.approx(0.65)
 
 
 def test_soft_f1_identity_weights_equal_accuracy(spark):
@@ -42,7 +42,7 @@ def test_sets(spark):
     df = spark.createDataFrame([(["en", "fr"], ["en"]), ([], ["en"]), (["de"], [])],
                                "gold array<string>, pred array<string>")
     rows = [r[0] for r in df.select(M.set_f1()).collect()]
-    assert rows == [0.666667, None, 0.0]
+    assert rows == [pytest.approx(2 / 3), None, 0.0]
     assert M.micro_set_f1(df).collect()[0]["micro_f1"] == 0.5
 
 
