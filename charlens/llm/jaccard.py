@@ -99,13 +99,20 @@ def _chunk_sets(table: pa.Table, words: int):
         yield doc + i, tok
 
 
+def _once(table: pa.Table) -> pa.Table:
+    """The rows of a chunk without those that repeat an id with the same text."""
+    if len(table.column("doc_id").unique()) == table.num_rows:
+        return table
+    return table.group_by(["chunk", "doc_id", "text"], use_threads=False).aggregate([])
+
+
 def _count_pass(words: int, bits: int):
     """Chunk -> packed tokens with the number of texts that hold each."""
     drop = U(48 - 32 - bits) if bits < 16 else U(0)
     key_bits = min(48, 32 + bits)
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [tok >> drop for _, tok in _chunk_sets(table, words)]
+        parts = [tok >> drop for _, tok in _chunk_sets(_once(table), words)]
         key = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
         first, n = T.run_lengths(key)
         return X.pack(table.column("chunk")[0].as_py(), bits, key_bits, key[first],
@@ -147,6 +154,7 @@ def _index_pass(words: int, similarity: int, bits: int, rare: int):
         kind = np.uint32 if rest <= 32 else np.uint64
         known = np.concatenate([np.frombuffer(k, kind).astype(np.uint64) | U(b << rest) for b, k, _ in rows]) if rows else np.zeros(0, np.uint64)
         many = np.concatenate([np.frombuffer(m, np.int32) for _, _, m in rows]) if rows else np.zeros(0, np.int32)
+        docs = _once(docs)
         ids, out = docs.column("doc_id").to_pylist(), []
         for doc, tok in _chunk_sets(docs, words) if len(known) else ():
             at = T.find(known, tok >> drop)
@@ -235,11 +243,16 @@ def near(a, b, na, nb, similarity: int):
 
 
 def grouped(found: DataFrame) -> DataFrame:
-    """(sign, cls, n): members of the signatures held by several, one signature for each member set."""
+    """(sign, cls, n): members of the signatures held by several, one signature for each member set.
+
+    A member set is told by sums of its members' hashes, so members that occur twice
+    do not cancel; each hash is summed in two halves, which stay within 64 bits.
+    """
     posts = found.select("cls", "n", F.explode("signs").alias("sign"))
-    h = F.xxhash64("cls")
-    marks = posts.groupBy("sign").agg(F.count("*").alias("c"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h)).alias("y")).where("c > 1")
-    kept = marks.groupBy("c", "x", "y").agg(F.min("sign").alias("sign")).select("sign")
+    h = F.xxhash64("cls", "n")
+    halves = [half for x in (h, F.xxhash64(h, F.lit(1))) for half in (x.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(x, 32))]
+    marks = posts.groupBy("sign").agg(F.count("*").alias("c"), *[F.sum(x).alias(f"h{k}") for k, x in enumerate(halves)]).where("c > 1")
+    kept = marks.groupBy("c", *[f"h{k}" for k in range(len(halves))]).agg(F.min("sign").alias("sign")).select("sign")
     return posts.join(kept, "sign")
 
 
@@ -273,7 +286,7 @@ def link_components(found: DataFrame, similarity: int = SIMILARITY, small: int =
             parts = X.cut(components(links))
         if lead is None:
             break
-        left = large.join(lead.select("sign", "cls"), ["sign", "cls"], "left_anti").select("cls", "n", "sign")
+        left = large.join(lead.select("sign", "cls", "n"), ["sign", "cls", "n"], "left_anti").select("cls", "n", "sign")
         groups = X.cut(_unfinished(left, parts))
     return parts
 

@@ -242,6 +242,30 @@ def test_jaccard(spark, rare, small, leaders):
     assert got == brute_components(texts)
 
 
+@pytest.mark.parametrize("again", [range(40), range(0, 40, 3)])
+def test_jaccard_repeated_rows(spark, again):
+    rng = np.random.default_rng(7)
+    texts = {}
+    for i in range(20):
+        w = [f"p{i}x{x}" for x in range(60)]
+        texts[2 * i] = " ".join(w)
+        w[rng.integers(5, 35)] = "other"
+        texts[2 * i + 1] = " ".join(w[:58])
+    want = brute_components(texts)
+    assert len({c for _, c in want.values()}) == 20
+    rows = list(texts.items())
+    df = spark.createDataFrame(rows + [rows[i] for i in again], "doc_id bigint, text string")
+    for small, leaders in ((2048, 64), (2, 2)):
+        got = jaccard.near_duplicates(df, small=small, leaders=leaders).collect()
+        assert len(got) == 40 + len(again) and {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(i, *v) for i, v in want.items()}
+
+
+def test_jaccard_member_sets(spark):
+    found = spark.createDataFrame([(c, 9, [s]) for s, members in ((1, (5, 5, 6)), (2, (7, 7, 6)), (3, (5, 5, 6)), (4, (8, 8))) for c in members],
+                                  "cls bigint, n bigint, signs array<bigint>")
+    assert {r["sign"] for r in jaccard.grouped(found).collect()} == {1, 2, 4}
+
+
 def test_jaccard_edges(edge, empty):
     rows = jaccard.near_duplicates(edge).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows] == [
