@@ -382,3 +382,37 @@ def test_pipeline(spark, texts):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert 0 < len(rows) <= len(texts) and len({r["doc_id"] for r in rows}) == len(rows)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeats", "leaks", "pieces"]
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+def pairs(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+def test_pipeline_quality_by_row(spark, tmp_path):
+    import corpus_pipeline
+    good, bad = "the cat sat on the mat and looked at the small dog near the door", "$$ ## 11 !! %% 99 ,, ;; QQ ZZ 00 @@"
+    rows = [(i, f"{good} {i}" if i % 2 else f"{bad} {i}") for i in range(60)]
+    spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows += [(None, good), (None, bad), (101, good), (101, bad)]
+    want = [(i, t) for i, t in rows if t.startswith("the")]
+    assert pairs(corpus_pipeline.keep_good(spark, rows_of(spark, rows), str(tmp_path))) == sorted(want, key=repr)
+
+
+def test_pipeline_near_duplicates_by_row(spark):
+    import corpus_pipeline
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(None, a), (1, a), (1, a + " end"), (2, "a " + a), (None, b), (None, b), (3, ""), (None, None), (4, "c d"), (4, "e f")]
+    want = [(1, a), (None, b), (3, ""), (None, None), (4, "c d"), (4, "e f")]
+    assert pairs(corpus_pipeline.one_of_each(spark, rows_of(spark, rows), "")) == sorted(want, key=repr)
+
+
+def test_pipeline_repeats_by_row(spark):
+    import corpus_pipeline
+    p = " ".join(f"p{i}" for i in range(20))
+    rows = [(5, p + " one"), (5, p + " two"), (6, "three " + p), (None, p + " four"), (None, "a clean text"), (None, None), (7, "")]
+    want = [(5, p + " one"), (5, "two"), (6, "three "), (None, "four"), (None, "a clean text"), (None, ""), (7, "")]
+    assert pairs(corpus_pipeline.without_repeats(spark, rows_of(spark, rows), "")) == sorted(want, key=repr)
