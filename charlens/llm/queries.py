@@ -44,11 +44,12 @@ def tool_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
     Each turn that is not the assistant's is a call, each of the assistant's turns is
     the result of the turn before.  A call waits for the one at half its turn.  Some
-    calls, by a checksum of their text, break the schema or are cut short.
+    calls, by a checksum of their text, break the schema or are cut short.  A row
+    without a conversation or turn has no call id.
     """
     talk = table(spark, sf_dir, "conversations")
     crc = F.crc32(F.coalesce("text", F.lit("")))
-    name = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
+    name = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
     words = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")).cast("string")
     fields = [
         F.concat(F.lit('"text": '), toolcalls.quoted(F.col("text"))),

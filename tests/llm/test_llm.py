@@ -132,6 +132,23 @@ def test_tool_links(spark):
     assert toolcalls.linked(calls.limit(0), results.limit(0), schemas.limit(0)).count() == 0
 
 
+def test_tool_tables_without_ids(spark, tmp_path):
+    talk = spark.read.parquet(f"{SF}/conversations.parquet")
+    kinds = dict(talk.dtypes)
+    own = talk.select(F.min("conv_id").alias("c")).first()["c"]
+    rows = [(c, t, role, f"text {k}") for k, (c, t, role) in enumerate(
+        [(own, 0, "user"), (own, 1, "assistant"), (None, 0, "user"), (None, 1, "assistant"), (None, 0, "user"),
+         (None, 1, "assistant"), (None, 2, "user"), (own, None, "user"), (own, None, "assistant")])]
+    df = spark.createDataFrame(rows, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = queries.op2_tool_links(spark, str(tmp_path)).collect()
+    linked = [r for r in got if r["call_id"] is not None]
+    assert [(r["call_id"], r["copies"]) for r in linked] == [(f"{own}-0", 1)] and '"result":"text 1"' in linked[0]["message"]
+    assert len(got) == 8 and sum(r["status"] == "no_id" for r in got) == 7
+    calls = [r["position"] for r in got if r["status"] == "no_id" and r["tool"] is not None]
+    assert sorted(calls, key=lambda p: (p is None, p)) == [0, 0, 2, None]
+
+
 def test_language(spark, docs, edge, empty):
     rows = queries.op3_language_masks(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
