@@ -54,8 +54,8 @@ FOLDER = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: bytes of text and texts per run at most; runs merged at once; radix bits of the B id
 RUN_BYTES, RUN_TEXTS, FAN_IN, RADIX = 8 << 20, 60_000, 64, 5
-#: pieces remembered by a task; pieces encoded at once, in characters
-KEPT, BATCH = 200_000, 1 << 16
+#: pieces remembered by a task (beyond it, those of the present run alone); pieces encoded at once, in characters
+KEPT, BATCH = 300_000, 1 << 16
 MARK = "▁"
 #: blanks between two characters that are not white space
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
@@ -79,7 +79,8 @@ class Tokenizers:
         self.a_bytes = {i: self._byte_level(t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)}
         self.sizes = tuple(np.array([len(x.get(i, b"")) for i in range(max(x) + 1)]) for x in (self.a_bytes, self.b_bytes))
-        self.names = [str(i) for i in range(max(max(self.a_bytes), max(self.b_bytes)) + 1)]
+        #: each id in decimals and the sign that follows it: inside a group, after its A side, after its B side
+        self.signed = [f"{i}{sign}" for i in range(max(map(len, self.sizes))) for sign in ",|;"]
 
     @staticmethod
     @cache
@@ -119,19 +120,31 @@ class Book:
 
     def __init__(self, both: Tokenizers):
         self.both, self.at = both, {}
+        #: per piece: tokens of each side (-1: a side does not give the piece back), links, groups
         self.n_a, self.n_b, self.n_links, self.text = [], [], [], []
         self.pairs: list[np.ndarray] = []
 
+    def keep(self, wanted: set[str]) -> None:
+        """Forget all other pieces."""
+        old = np.array(self.n_links, np.int64)
+        flat, start = np.concatenate([*self.pairs, np.zeros(0, np.uint32)]), np.cumsum(old) - old
+        stay = [(p, i) for p, i in self.at.items() if p in wanted]
+        which = [i for _, i in stay]
+        size = old[which]
+        self.at = {p: i for i, (p, _) in enumerate(stay)}
+        self.n_a, self.n_b, self.n_links, self.text = ([x[i] for i in which] for x in (self.n_a, self.n_b, self.n_links, self.text))
+        self.pairs = [flat[np.repeat(start[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())]]
+
     def learn(self, new: Iterable[str]) -> None:
-        """Encode new pieces, many in one text: a piece that ends in white space stands alone."""
+        """Encode new pieces, many in one text; a piece that white space begins or ends stands alone."""
         batch, size = [], 0
         for piece in new:
-            if size and (piece[-1:].isspace() or piece[:1].isspace() or not piece or size > BATCH):
-                self._encode(batch)
-                batch, size = [], 0
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                self._encode([piece])
+                continue
             batch.append(piece)
             size += len(piece) + 1
-            if piece[-1:].isspace() or piece[:1].isspace() or not piece:
+            if size > BATCH:
                 self._encode(batch)
                 batch, size = [], 0
         if batch:
@@ -140,35 +153,38 @@ class Book:
     def _encode(self, batch: list[str]) -> None:
         text = " " + " ".join(batch)
         a, b = self.both.encode([text])[0]
-        ends_a, ends_b = (np.cumsum(size[ids]) for size, ids in zip(self.both.sizes, (a, b)))
-        cuts = np.cumsum([len(p.encode()) + 1 for p in batch])
         if not self.both.faithful(text, a, b):
             if len(batch) > 1:
                 for piece in batch:
                     self._encode([piece])
             else:
-                self._add(batch[0], None, None, None, None)
+                self._add(batch, np.array([-1]), np.array([0]), np.array([0]), [""], np.zeros(0, np.uint32))
             return
+        ends_a, ends_b = (np.cumsum(size[ids]) for size, ids in zip(self.both.sizes, (a, b)))
         shared, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        stop = np.searchsorted(shared, cuts) + 1
-        names, first = self.both.names, 0
-        from_a = np.concatenate(([0], at_a + 1)).tolist()
-        from_b = np.concatenate(([0], at_b + 1)).tolist()
-        la, lb = a.tolist(), b.tolist()
-        keys = (b[at_b] << 16 | a[at_a]).astype(np.uint32)
-        for piece, last in zip(batch, stop.tolist()):
-            told = ";".join([",".join([names[i] for i in la[from_a[g]:from_a[g + 1]]]) + "|" + ",".join([names[i] for i in lb[from_b[g]:from_b[g + 1]]])
-                             for g in range(first, last)])
-            self._add(piece, from_a[last] - from_a[first], from_b[last] - from_b[first], told, keys[first:last].copy())
-            first = last
-
-    def _add(self, piece: str, n_a, n_b, told, keys) -> None:
-        self.at[piece] = len(self.at)
-        self.n_a.append(n_a if n_a is not None else -1)
-        self.n_b.append(n_b or 0)
-        self.n_links.append(0 if keys is None else len(keys))
-        self.text.append(told or "")
-        self.pairs.append(keys if keys is not None else np.zeros(0, np.uint32))
+        # the tokens group by group, A before B, each with the sign that follows it
+        group = np.concatenate((np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)))
+        side = np.repeat([0, 1], [len(a), len(b)])
+        sign = np.zeros(len(side), np.int64)
+        sign[at_a], sign[len(a) + at_b] = 1, 2
+        order = np.lexsort((side, group))
+        told, signed = self.both.signed, np.concatenate((a, b)) * 3 + sign
+        told = [told[i] for i in signed[order].tolist()]
+        stop = np.searchsorted(shared, np.cumsum([len(p.encode()) + 1 for p in batch])) + 1
+        last_a, last_b = at_a[stop - 1] + 1, at_b[stop - 1] + 1
+        ends = (last_a + last_b).tolist()
+        texts = ["".join(told[i:j])[:-1] for i, j in zip([0, *ends], ends)]
+        self._add(batch, np.diff(last_a, prepend=0), np.diff(last_b, prepend=0), np.diff(stop, prepend=0), texts,
+                  (b[at_b] << 16 | a[at_a]).astype(np.uint32))
+
+    def _add(self, batch: list[str], n_a: np.ndarray, n_b: np.ndarray, n_links: np.ndarray, texts: list[str], pairs: np.ndarray) -> None:
+        first = len(self.at)
+        self.at.update(zip(batch, range(first, first + len(batch))))
+        self.n_a += n_a.tolist()
+        self.n_b += n_b.tolist()
+        self.n_links += n_links.tolist()
+        self.text += texts
+        self.pairs.append(pairs)
 
 
 SPILLED = ("run long, radix int, pairs binary, totals binary, widths binary, texts binary, times binary, "
@@ -189,7 +205,7 @@ def spill(run: int, ids: pa.Array, texts: list[str | None], book: Book, schema:
     cut = [pieces(t) if t and MARK not in t else [] for t in texts]
     wanted = set().union(*cut)
     if len(book.at) + len(wanted) > KEPT:
-        book.__init__(book.both)
+        book.keep(wanted)
     book.learn(sorted(wanted - book.at.keys()))
     at, n_a, n_b, n_links = book.at, np.array(book.n_a), np.array(book.n_b), np.array(book.n_links)
     digests, used = [], []
@@ -209,14 +225,12 @@ def spill(run: int, ids: pa.Array, texts: list[str | None], book: Book, schema:
     which = np.concatenate([w for _, w in used])
     place = np.repeat(np.array([p for p, _ in used], np.uint64), [len(w) for _, w in used])
     # one sorted number per link: radix, B id, A id, text
-    seen, each = np.unique(which, return_inverse=True)
-    flat = np.concatenate([book.pairs[i] for i in seen.tolist()]).astype(np.uint64)
-    size = n_links[seen]
-    start = np.cumsum(size) - size
-    take = np.repeat(start[each] - np.concatenate(([0], np.cumsum(size[each])[:-1])), size[each]) + np.arange(size[each].sum())
+    flat, size = np.concatenate(book.pairs), n_links[which]
+    start = (np.cumsum(n_links) - n_links)[which]
+    take = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
     low = np.uint64((1 << RADIX) - 1)
-    pair = flat[take]
-    keys = ((pair >> np.uint64(16) & low) << np.uint64(48)) | (pair << np.uint64(16)) | np.repeat(place, size[each])
+    pair = flat[take].astype(np.uint64)
+    keys = ((pair >> np.uint64(16) & low) << np.uint64(48)) | (pair << np.uint64(16)) | np.repeat(place, size)
     keys.sort()
     first, times = run_lengths(keys)
     keys = keys[first]
