@@ -304,7 +304,7 @@ def counted(runs: DataFrame) -> DataFrame:
                          "pairs": pa.array([packed(pairs)], pa.binary()), "totals": pa.array([packed(totals)], pa.binary())})
 
     while True:
-        left = -(-left // FAN_IN)
+        left = max(1, -(-left // FAN_IN))
         found = found.withColumn("part", F.pmod(F.xxhash64("run"), F.lit(left))).groupBy("radix", "part").applyInArrow(
             merge, "radix int, run long, pairs binary, totals binary")
         if left == 1:

@@ -26,7 +26,9 @@ EDGE = [(1, None, None, None, None, "x", "y"), (2, "", "en", None, 0, "x", "y"),
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+    frame = spark.read.parquet(f"{SF}/documents.parquet").cache()
+    yield frame
+    frame.unpersist()  # the session is shared: later plans must read the file
 
 
 @pytest.fixture(scope="module")
