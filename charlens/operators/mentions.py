@@ -1,18 +1,19 @@
-"""Mention extraction (G1) with phrase join (C13), token frames (E4) and
+"""Mention extraction (G1) with phrase match (C13), token frames (E4) and
 mention counts (G8).
 
-Plan, per book:
-  1. tokens + folded tokens once per book (S1, S2), never per character;
-  2. inside the book's array, keep only positions whose token starts some
-     alias of that book (its first tokens come by one join on url), cut the
-     next ``max_len`` tokens as a small window, then explode the hits;
-  3. equi-join on (url, first token) with the alias table, verify the
-     multi-token n-gram on the window (exact token sequence);
-  4. per (url, character, pos) the first listed alias wins (``min_by``);
-  5. greedy left-to-right non-overlap: only runs of overlapping candidates
-     ("clusters", found with one running-max window) are folded sequentially;
-  6. the kept mentions are joined once to the book's original tokens and the
-     frame [pos-half, pos+len+half) is sliced (no window frame per token).
+A book is never one task.  Plan:
+  1. its tokens are dealt to blocks of ``BLOCK`` tokens, each with the tokens
+     around it that its passages and phrases need (``token_blocks``, one shuffle
+     by (url, block)); a book may come as one cell or as rows of chunks;
+  2. the book's cast, one short text, is sent to each of its blocks and becomes
+     an Aho-Corasick automaton over tokens: one pass finds every alias, whatever
+     their number (C13);
+  3. per block and character the first listed alias of a position wins
+     (``min_by``), then greedy left-to-right non-overlap: an overlap over a block
+     border is a *carry*, the number of tokens at the next block's start that are
+     taken.  Only blocks whose candidates reach over their border have one;
+  4. mentions are numbered by a running sum of the blocks' counts and cut out of
+     the block's own tokens, all of a block in its one row.
 """
 
 from __future__ import annotations
@@ -21,7 +22,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from charlens.functions.text import arrow_udf, fold, py_strip, tokens, with_folded_tokens
+from charlens.functions.text import arrow_udf, fold, fold_str, py_strip, tokens
+from charlens.session import checkpoint_root
+
+#: tokens per block of a book
+BLOCK = 1 << 13
 
 
 def normalize_aliases(df: DataFrame, col: str, sep: str = ",") -> Column:
@@ -47,94 +52,255 @@ def alias_table(characters: DataFrame, url="url", name="name", aliases="aliases"
         F.col(url).alias("url"), F.col(name).alias("character"), F.posexplode(names).alias("alias_no", "alias")
     ).where(F.col("alias").isNotNull() & (py_strip("alias") != ""))
     toks = ex.withColumn("toks", tokens(fold(F.col("alias"))))
-    # small (characters x aliases) and read by several branches of the plan:
-    # persisted so the Python fold runs once
+    # read by several branches of the plan: written once, so the Python fold runs once
+    checkpoint_root(characters.sparkSession)
     return toks.where(F.size("toks") > 0).select(
-        "url", "character", "alias_no", "toks",
-        F.size("toks").alias("alias_len"), F.col("toks")[0].alias("first_tok"),
-    ).persist()
-
-
-def candidates(books: DataFrame, aliases: DataFrame, max_len: int | None = None) -> DataFrame:
-    """Every (url, character, pos, alias_no, alias_len) where an alias's
-    folded token sequence occurs exactly."""
-    if max_len is None:
-        max_len = int(aliases.agg(F.max("alias_len")).first()[0] or 1)
-    # the first tokens of a book's own cast, bounded by the cast
-    firsts = aliases.groupBy("url").agg(F.collect_set("first_tok").alias("firsts"))
-    norm = with_folded_tokens(books.select("url", "text").join(firsts, "url"), "text", "norm")
-    # the token array stays inside its row: only hits leave it, each with a window of max_len tokens
-    hits = F.transform("norm", lambda t, i: F.when(
-        F.array_contains("firsts", t), F.struct(i.alias("pos"), F.slice("norm", i + 1, max_len).alias("win"))))
-    pos = norm.select("url", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
-    pos = pos.select("url", "h.pos", "h.win", F.col("h.win")[0].alias("tok"))
-    al = aliases
-    j = pos.join(al, (pos["url"] == al["url"]) & (pos["tok"] == al["first_tok"]))
-    ok = (F.col("alias_len") == 1) | (F.slice("win", 1, F.col("alias_len")) == F.col("toks"))
-    return j.where(ok).select(pos["url"], "character", "pos", "alias_no", "alias_len")
-
-
-def _greedy_batch(items: pd.Series) -> pd.Series:
-    out = []
-    for arr in items:
-        end, kept = -1, []
-        for it in arr:
-            p, n = int(it["pos"]), int(it["len"])
-            if p >= end:
-                kept.append({"pos": p, "len": n})
-                end = p + n
-        out.append(kept)
-    return pd.Series(out)
-
-
-def select_mentions(cands: DataFrame) -> DataFrame:
-    """Steps 4-5: first listed alias per position, then greedy non-overlap.
-
-    Candidates are hash-partitioned by ``url`` once; every later grouping,
-    window and the join back to the book are keyed by (url, ...), so they
-    reuse that partitioning without another shuffle of the candidates."""
-    best = cands.repartition("url").groupBy("url", "character", "pos").agg(
-        F.min_by("alias_len", "alias_no").cast("int").alias("len")
-    ).withColumn("pos", F.col("pos").cast("int"))
-    w = Window.partitionBy("url", "character").orderBy("pos")
-    prev_end = F.max(F.col("pos") + F.col("len")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = best.withColumn("_start", (prev_end.isNull() | (F.col("pos") >= prev_end)).cast("int"))
-    flagged = flagged.withColumn("_cid", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    clusters = flagged.groupBy("url", "character", "_cid").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "len"))).alias("items")
-    )
-    # one linear pass per run of overlapping candidates, whatever its length
-    fold = arrow_udf(_greedy_batch, "array<struct<pos:int,len:int>>")
-    kept = clusters.select("url", "character", F.explode(fold(F.col("items"))).alias("m"))
-    return kept.select("url", "character", F.col("m.pos").alias("pos"), F.col("m.len").alias("len"))
+        "url", "character", "alias_no", "toks", F.size("toks").alias("alias_len")).checkpoint()
+
+
+def longest(aliases: DataFrame) -> int:
+    """Tokens of the longest alias."""
+    return int(aliases.agg(F.max("alias_len")).first()[0] or 1)
+
+
+# ---- blocks ------------------------------------------------------------------
+def token_blocks(books: DataFrame, before: int, after: int, block: int | None = None) -> DataFrame:
+    """(url, block, first, text): each block's tokens, joined by one blank, with the
+    ``before`` tokens that precede and the ``after`` that follow it; ``first`` is the
+    place of the first one in the book.
+
+    ``books(url, text)`` has a row per book; with a column ``chunk_no`` a book is the
+    rows of its url in that order, cut at white space (``read_book_chunks``).  A book
+    without tokens has no block.  No row is larger than a chunk or a block."""
+    block = block or BLOCK
+    chunked = "chunk_no" in books.columns
+    rows = books.select("url", *(["chunk_no"] if chunked else []), tokens(F.col("text")).alias("toks"))
+    if chunked:
+        # only token counts meet in a book's window, never its text
+        by = Window.partitionBy("url")
+        sizes = rows.select("url", "chunk_no", F.size("toks").cast("bigint").alias("n"))
+        places = sizes.select("url", "chunk_no", (F.sum("n").over(by.orderBy("chunk_no")) - F.col("n")).alias("start"), F.sum("n").over(by).alias("total"))
+        rows = rows.join(places, ["url", "chunk_no"])
+    else:
+        rows = rows.withColumn("start", F.lit(0).cast("bigint")).withColumn("total", F.size("toks").cast("bigint"))
+    end = F.col("start") + F.size("toks")
+    number = lambda place: F.floor(place / block)
+    low = number(F.greatest(F.col("start") - after, F.lit(0)))
+    high = F.least(number(end - 1 + before), number(F.col("total") - 1))
+
+    def piece(b: Column) -> Column:
+        at = F.greatest(F.col("start"), b * block - before)
+        n = F.least(end, (b + 1) * block + after) - at
+        text = F.array_join(F.slice("toks", (at - F.col("start") + 1).cast("int"), n.cast("int")), " ")
+        return F.struct(b.alias("block"), at.alias("first"), text.alias("text"))
+
+    # the slices are cut inside the row: the book's token array is never copied per block
+    pieces = rows.where(F.size("toks") > 0).select("url", F.explode(F.transform(F.sequence(low, high), piece)).alias("p")).select("url", "p.*")
+    pieces = pieces.repartition("url", "block")
+    if not chunked:
+        return pieces
+    parts = F.array_sort(F.collect_list(F.struct("first", "text")))
+    joined = pieces.groupBy("url", "block").agg(parts.alias("parts"))
+    return joined.select("url", "block", F.col("parts")[0]["first"].alias("first"),
+                         F.array_join(F.transform("parts", lambda x: x["text"]), " ").alias("text"))
+
+
+def _casts(books: DataFrame, aliases: DataFrame, block: int) -> DataFrame:
+    """(url, block, cast, names): the aliases of a book as one text, a line each, for
+    each block it can have (two characters make a token at least)."""
+    entries = F.array_sort(F.collect_list(F.struct("character", "alias_no", "toks", "alias_len")))
+    cast = aliases.groupBy("url").agg(entries.alias("entries")).select(
+        "url", F.array_join(F.transform("entries", lambda e: F.array_join(e["toks"], " ")), "\n").alias("cast"),
+        F.transform("entries", lambda e: F.struct(e["character"].alias("character"), e["alias_no"].alias("alias_no"), e["alias_len"].alias("alias_len"))).alias("names"))
+    size = books.groupBy("url").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("rows"))
+    most = F.floor(((F.col("chars") + F.col("rows")) / 2) / block)
+    return cast.join(size.select("url", most.alias("most")), "url").select(
+        "url", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("most"))).alias("block"), "cast", "names")
+
+
+class PhraseBook:
+    """Aho-Corasick automaton over tokens: all phrases that end at a token in one step."""
+
+    def __init__(self, phrases: list[list[str]]):
+        self.ids: dict[str, int] = {}
+        self.size = [len(p) for p in phrases]
+        self.go: list[dict[int, int]] = [{}]
+        ends: list[list[int]] = [[]]
+        for no, phrase in enumerate(phrases):
+            at = 0
+            for token in phrase:
+                key = self.ids.setdefault(token, len(self.ids))
+                if key not in self.go[at]:
+                    self.go[at][key] = len(self.go)
+                    self.go.append({})
+                    ends.append([])
+                at = self.go[at][key]
+            ends[at].append(no)
+        self.fall = [0] * len(self.go)
+        level = list(self.go[0].values())
+        while level:
+            below = []
+            for at in level:
+                for key, to in self.go[at].items():
+                    self.fall[to] = self._step(self.fall[at], key)
+                    ends[to] += ends[self.fall[to]]
+                    below.append(to)
+            level = below
+        self.ends = [tuple(e) for e in ends]
+
+    def _step(self, at: int, key: int) -> int:
+        while at and key not in self.go[at]:
+            at = self.fall[at]
+        return self.go[at].get(key, 0)
+
+    def find(self, toks: list[str]) -> tuple[list[int], list[int]]:
+        """(phrase numbers, places of their first tokens) of every occurrence."""
+        which, where, at = [], [], 0
+        for i, key in enumerate(map(self.ids.get, toks)):
+            if key is None:
+                at = 0
+                continue
+            at = self._step(at, key)
+            for no in self.ends[at]:
+                which.append(no)
+                where.append(i + 1 - self.size[no])
+        return which, where
+
+
+def _find_batch(text: pd.Series, cast: pd.Series) -> pd.DataFrame:
+    book, of = None, None
+    found = []
+    for t, c in zip(text, cast):
+        if c != of:
+            book, of = PhraseBook([line.split(" ") for line in c.split("\n")]), c
+        found.append(book.find(fold_str(t).split(" ")))
+    return pd.DataFrame({"which": [f[0] for f in found], "place": [f[1] for f in found]})
 
 
-def cut_passages(books: DataFrame, mentions: DataFrame, window: int = 200) -> DataFrame:
+def candidates_in(blocks: DataFrame, books: DataFrame, aliases: DataFrame, block: int | None = None) -> DataFrame:
+    """C13 over ``token_blocks``: (url, block, character, pos, alias_no, alias_len) of
+    every place where an alias's folded token sequence occurs, told by the block that
+    owns its first token."""
+    block = block or BLOCK
+    find = arrow_udf(_find_batch, "which array<int>, place array<int>")
+    hit = blocks.join(_casts(books, aliases, block), ["url", "block"]).withColumn("f", find("text", "cast"))
+    hit = hit.where(F.size("f.which") > 0).select("url", "block", "names", F.explode(F.transform(
+        F.arrays_zip("f.which", "f.place"), lambda x: F.struct(x["which"].alias("which"), (F.col("first") + x["place"]).alias("pos")))).alias("h"))
+    own = hit.where(F.floor(F.col("h.pos") / block) == F.col("block"))
+    return own.select("url", "block", F.col("names")[F.col("h.which")].alias("e"), F.col("h.pos").alias("pos")).select(
+        "url", "block", "e.character", "pos", "e.alias_no", "e.alias_len")
+
+
+def candidates(books: DataFrame, aliases: DataFrame, max_len: int | None = None, block: int | None = None) -> DataFrame:
+    """Every (url, block, character, pos, alias_no, alias_len) of ``books``."""
+    blocks = token_blocks(books, 0, (max_len or longest(aliases)) - 1, block)
+    return candidates_in(blocks, books, aliases, block)
+
+
+# ---- greedy choice -------------------------------------------------------------
+def _chosen(place, size, end: int) -> tuple[list[int], int]:
+    """Which candidates stay, left to right without overlap, if the tokens before ``end`` are taken; the new end."""
+    kept = []
+    for i, (p, n) in enumerate(zip(place, size)):
+        if p >= end:
+            kept.append(i)
+            end = p + n
+    return kept, int(end)
+
+
+def _chosen_batch(place: pd.Series, size: pd.Series, end: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else _chosen(p, n, e)[0] for p, n, e in zip(place, size, end)])
+
+
+def _carry_batch(place: pd.Series, size: pd.Series, start: pd.Series, stop: pd.Series, most: pd.Series) -> pd.Series:
+    """Per carry into the block (0 to the longest alias less one) the carry out of it."""
+    return pd.Series([[max(0, _chosen(p, n, a + c)[1] - z) for c in range(m)] for p, n, a, z, m in zip(place, size, start, stop, most)])
+
+
+def _carries(found: DataFrame, max_len: int, block: int) -> DataFrame:
+    """(url, character, block, carry): taken tokens at the start of blocks that follow a
+    candidate reaching over a border.
+
+    A block's candidates map its carry in to a carry out; where the map is constant, or no
+    candidate reaches into the block, the carry out is known.  Runs of blocks that hand
+    it on from border to border are resolved by composing maps, twice the blocks a round."""
+    over = F.exists(F.arrays_zip("place", "size"), lambda x: x["place"] + x["size"] > (F.col("block") + 1) * block)
+    table = arrow_udf(_carry_batch, "array<int>")("place", "size", F.col("block") * block, (F.col("block") + 1) * block, F.lit(max_len))
+    maps = found.where(over).select("url", "character", "block", table.alias("map")).checkpoint()
+    ahead = maps.select("url", "character", (F.col("block") + 1).alias("block"), F.lit(True).alias("entered"))
+    maps = maps.join(ahead, ["url", "character", "block"], "left")
+    known = F.col("entered").isNull() | (F.size(F.array_distinct("map")) == 1)
+    # carry out if known, else a map of the carry out of block ``since`` - 1
+    state = maps.select("url", "character", "block", F.when(known, F.col("map")[0]).alias("out"), "map", F.col("block").alias("since")).checkpoint()
+    while not state.where("out is null").isEmpty():
+        back = state.select("url", "character", (F.col("block") + 1).alias("since"), F.col("out").alias("b_out"), F.col("map").alias("b_map"),
+                            F.col("since").alias("b_since"))
+        state = state.join(back, ["url", "character", "since"], "left").select(
+            "url", "character", "block", F.coalesce("out", F.col("map")[F.col("b_out")]).alias("out"),
+            F.when(F.col("out").isNull() & F.col("b_out").isNull(), F.transform("b_map", lambda c: F.col("map")[c])).otherwise(F.col("map")).alias("map"),
+            F.when(F.col("out").isNull() & F.col("b_out").isNull(), F.col("b_since")).otherwise(F.col("since")).alias("since")).checkpoint()
+    return state.select("url", "character", (F.col("block") + 1).alias("block"), F.col("out").alias("carry"))
+
+
+def select_mentions(cands: DataFrame, max_len: int, block: int | None = None) -> DataFrame:
+    """(url, block, character, pos, len, mention_no): the first listed alias per position,
+    then greedy non-overlap over the whole book, numbered by position.
+
+    The candidates of a block and character are one short row; rows are matched with
+    their neighbours' carries, so no task holds more of a book than a block."""
+    block = block or BLOCK
+    if block < max_len:
+        raise ValueError("a block must hold the longest alias")
+    best = cands.groupBy("url", "block", "character", "pos").agg(F.min_by("alias_len", "alias_no").cast("int").alias("len"))
+    found = best.groupBy("url", "block", "character").agg(F.array_sort(F.collect_list(F.struct("pos", "len"))).alias("items"))
+    found = found.select("url", "block", "character", F.transform("items", lambda x: x["pos"]).alias("place"), F.transform("items", lambda x: x["len"]).alias("size"))
+    start = F.col("block") * block
+    if max_len > 1:
+        checkpoint_root(cands.sparkSession)
+        found = found.checkpoint()  # read twice below
+        found = found.join(_carries(found, max_len, block), ["url", "character", "block"], "left")
+        after = F.arrays_zip("place", "size", F.slice("place", 2, F.size("place")).alias("next"))
+        crowded = (F.col("carry") > 0) | F.exists(after, lambda x: x["place"] + x["size"] > x["next"])
+        chosen = arrow_udf(_chosen_batch, "array<int>")(F.when(crowded, F.col("place")), F.col("size"), start + F.coalesce("carry", F.lit(0)))
+        found = found.withColumn("kept", chosen)
+        pick = lambda c: F.when(F.col("kept").isNull(), F.col(c)).otherwise(F.transform("kept", lambda i: F.col(c)[i]))
+        found = found.select("url", "block", "character", pick("place").alias("place"), pick("size").alias("size"))
+    earlier = Window.partitionBy("url", "character").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("before", F.coalesce(F.sum(F.size("place").cast("bigint")).over(earlier), F.lit(0)))
+    each = F.transform(F.arrays_zip("place", "size"), lambda x, i: F.struct(
+        x["place"].cast("int").alias("pos"), x["size"].alias("len"), (F.col("before") + i).cast("int").alias("mention_no")))
+    return found.select("url", "block", "character", F.explode(each).alias("m")).select("url", "block", "character", "m.*")
+
+
+def cut_passages(blocks: DataFrame, mentions: DataFrame, window: int = 200) -> DataFrame:
     """passage = original tokens [pos-half, pos+len+half) clipped to the
-    book, joined by one blank; half = max(1, window // 2)."""
+    book, joined by one blank; half = max(1, window // 2).  The mentions of a
+    block come to its row and are cut there."""
     half = max(1, window // 2)
-    toks = books.select("url", tokens(F.col("text")).alias("tokens"))
-    j = mentions.join(toks, "url")
-    start = F.greatest(F.col("pos") - half, F.lit(0))
-    end = F.least(F.size("tokens"), F.col("pos") + F.col("len") + half)
-    w = Window.partitionBy("url", "character").orderBy("pos")
-    return j.select(
-        "url", "character", "pos", "len",
-        F.array_join(F.slice("tokens", start + 1, end - start), " ").alias("passage"),
-    ).withColumn("mention_no", F.row_number().over(w) - 1)
+    here = mentions.groupBy("url", "block").agg(F.collect_list(F.struct("character", "pos", "len", "mention_no")).alias("ms"))
+    rows = blocks.join(here, ["url", "block"]).select("url", "first", "ms", F.split("text", " ", -1).alias("toks"))
+
+    def cut(m: Column) -> Column:
+        start = F.greatest(m["pos"] - half, F.lit(0)) - F.col("first")
+        end = F.least(F.size("toks"), m["pos"] + m["len"] + half - F.col("first"))
+        text = F.array_join(F.slice("toks", (start + 1).cast("int"), (end - start).cast("int")), " ")
+        return F.struct(m["character"].alias("character"), m["pos"].alias("pos"), m["len"].alias("len"), text.alias("passage"), m["mention_no"].alias("mention_no"))
+
+    return rows.select("url", F.explode(F.transform("ms", cut)).alias("m")).select("url", "m.*")
 
 
 def extract_mentions(books: DataFrame, characters: DataFrame, window: int = 200,
-                     url="url", name="name", aliases="aliases") -> DataFrame:
+                     url="url", name="name", aliases="aliases", block: int | None = None) -> DataFrame:
     """G1: all mentions of every character in its book with the token window
-    around each.  ``books(url, text)``, ``characters(url, name, aliases)``;
-    a character whose book is missing gets no rows (inner join)."""
+    around each.  ``books(url, text)`` or ``(url, chunk_no, text)``,
+    ``characters(url, name, aliases)``; a character whose book is missing gets
+    no rows (inner join)."""
     al = alias_table(characters, url, name, aliases)
-    # one shuffle of the books by url: spreads the per-book work (tokenise,
-    # fold, explode) over all tasks and is the partitioning of every later
-    # url-keyed step; both branches reuse this exchange
-    books = books.select("url", "text").repartition("url")
-    return cut_passages(books, select_mentions(candidates(books, al)), window)
+    max_len, half = longest(al), max(1, window // 2)
+    # one shuffle of the text by (url, block); both readers below reuse it
+    blocks = token_blocks(books, half, half + max_len, block)
+    found = candidates_in(blocks, books, al, block)
+    return cut_passages(blocks, select_mentions(found, max_len, block), window)
 
 
 def mention_counts(characters: DataFrame, mentions: DataFrame, url="url", name="name") -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from charlens.functions.text import WS_CLASS
 from charlens.operators import mentions as MN
 from charlens.plans.registry import register
-from charlens.sources.fixtures import view, with_clause
+from charlens.session import scratch_path
+from charlens.sources import io
+from charlens.sources.fixtures import table, view, with_clause
 
 WINDOW = 200
 
@@ -121,6 +123,35 @@ def q_all_passages(spark, sf):
                      F.md5(F.array_join("passages", "\n\n ")).alias("excerpts_md5"))
 
 
+#: sources as books: all texts of a source, one after the other, and one cast for all of them
+SOURCE_CAST = {"the": ["of the", "and"], "un": ["and the", "la"], "de la": ["la"]}
+_SOURCE_NAMES = ", ".join(f"('{name}', ['" + "', '".join([name, *aliases]) + "'])" for name, aliases in SOURCE_CAST.items())
+_SHELF = _BASE.replace(with_clause("corpus", "cast_list"), f"""with corpus AS (
+   select 'source/' || source url, string_agg(text, chr(10) order by doc_id) "text" from documents where text is not null group by source)
+""").replace("ch AS (select url, name character, list_prepend(name, list_filter(list_transform(string_split(aliases, '|'),\n        "
+             f"lambda a: {_strip('a')}), lambda a: a <> '')) names from cast_list)",
+             f"ch AS (select url, n.character, n.names from corpus, (values {_SOURCE_NAMES}) n(character, names))")
+
+
+@register(
+    "book_file_mentions",
+    _SHELF + "select url, character, mention_no, pos, len, passage_tokens, md5(passage) passage_md5 from pass",
+)
+def q_book_file_mentions(spark, sf):
+    """A6 + G1 on large books: each source is a book of several text files, read in
+    chunks by byte range and dealt to blocks, so that no book is one cell or one task."""
+    docs = table(spark, sf, "documents").where("text is not null")
+    path = scratch_path(spark, "shelf")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the texts of a source in order over the files of its folder
+    docs.repartitionByRange(n, "source", "doc_id").sortWithinPartitions("source", "doc_id").select(
+        "source", "text").write.partitionBy("source").option("compression", "none").text(path)
+    books = io.read_book_chunks(spark, path, F.concat(F.lit("source/"), F.col("source")))
+    names = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, aliases)).alias("aliases")) for name, aliases in SOURCE_CAST.items()])
+    cast = docs.select(F.concat(F.lit("source/"), "source").alias("url")).distinct().select("url", F.inline(names))
+    return _mentions_out(MN.extract_mentions(books, cast, WINDOW))
+
+
 @register(
     "token_stats",
     with_clause("corpus") + f"""select url, len(toks) n_tokens,

@@ -7,9 +7,10 @@ format; CSV/JSON readers and writers exist for exchange with the outside.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,6 +106,65 @@ def read_books(spark: SparkSession, path: str, url_prefix: str | None = None) ->
     return df.select(url.alias("url"), F.col("value").alias("text"))
 
 
+#: characters of a chunk of a book
+CHUNK_CHARS = 1 << 18
+
+
+def _pieces(line: str, most: int) -> Iterator[str]:
+    """The line in pieces of at most ``most`` characters, cut after white space (a longer run without any stays whole)."""
+    at = 0
+    while len(line) - at > most:
+        blank = next((i for i in range(at + most, at, -1) if line[i - 1].isspace()), None)
+        if blank is None:
+            blank = next((i + 1 for i in range(at + most, len(line)) if line[i].isspace()), len(line))
+        yield line[at:blank]
+        at = blank
+    yield line[at:]
+
+
+def read_book_chunks(spark: SparkSession, path: str, url: Column | None = None, chunk_chars: int = CHUNK_CHARS,
+                     line_sep: str = "\n") -> DataFrame:
+    """A6 for books of any size: ``(url, chunk_no, text)``, a book as rows of at most
+    about ``chunk_chars`` characters that rejoin in the order of ``chunk_no``.
+
+    The text reader splits a file into byte ranges on its own, each read by its own
+    task from line to line; lines are gathered into chunks, longer ones cut at white
+    space, and a chunk is named by its file, the start of its byte range and its number
+    therein.  A cell of the reader is one line: for books without line breaks give
+    another ``line_sep``, such as a blank.  ``url`` names the book of a row, by default
+    its file; with a column of the path (``book=.../``) a book can be many files, in
+    the order of their names."""
+    lines = spark.read.option("lineSep", line_sep).text(path)
+    book = F.col("_metadata.file_path") if url is None else url
+    rows = lines.select(book.cast("string").alias("url"), F.col("_metadata.file_path").alias("file"),
+                        F.col("_metadata.file_block_start").alias("start"), "value")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, number, held, size = None, 0, [], 0
+
+        def chunk() -> pa.RecordBatch:
+            name, file, start = of
+            no = pa.array([{"file": file, "start": start, "number": number}], pa.struct([("file", pa.string()), ("start", pa.int64()), ("number", pa.int64())]))
+            return pa.RecordBatch.from_arrays([pa.array([name]), no, pa.array([line_sep.join(held)])], ["url", "chunk_no", "text"])
+
+        for batch in batches:
+            for *key, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != of:
+                    if held:
+                        yield chunk()
+                    of, number, held, size = key, 0, [], 0
+                for piece in _pieces(line, chunk_chars):
+                    if held and size + len(piece) > chunk_chars:
+                        yield chunk()
+                        number, held, size = number + 1, [], 0
+                    held.append(piece)
+                    size += len(piece) + 1
+        if held:
+            yield chunk()
+
+    return rows.mapInArrow(gather, "url string, chunk_no struct<file: string, start: bigint, number: bigint>, text string")
+
+
 def _textify(df: DataFrame) -> DataFrame:
     """Arrays/structs/maps/variants -> JSON text so CSV can hold them."""
     cols = []

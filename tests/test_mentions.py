@@ -1,9 +1,11 @@
 """Hand cases and properties of mention extraction (FIXTURES.md section 4)."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from charlens.operators.mentions import extract_mentions, normalize_aliases
+from charlens.operators.mentions import PhraseBook, extract_mentions, normalize_aliases, token_blocks
 
 
 def run(spark, text, name, aliases, window):
@@ -63,3 +65,81 @@ def test_long_overlap_run_uses_linear_pass(spark):
     text = " ".join(["x"] * 200) + " end"
     got_pos, _ = run(spark, text, "x x", [], 2)
     assert got_pos == [(p, 2) for p in range(0, 200, 2)]
+
+
+def brute(text, cast, window):
+    """Mentions of one book, sequentially: (character, pos, len, passage)."""
+    toks = text.split()
+    low = [t.lower() for t in toks]
+    out, half = [], max(1, window // 2)
+    for name, aliases in cast:
+        end = 0
+        for pos in range(len(toks)):
+            hit = next((a.lower().split() for a in [name, *aliases] if low[pos:pos + len(a.split())] == a.lower().split()), None)
+            if hit and pos >= end:
+                end = pos + len(hit)
+                out.append((name, pos, len(hit), " ".join(toks[max(0, pos - half):end + half])))
+    return sorted(out)
+
+
+CAST = [("a", ["a b", "b b a"]), ("a a a a", ["b a"]), ("b b", ["a b a"]), ("c", [])]
+
+
+@pytest.mark.parametrize("block", [4, 5, 7, 1 << 13])
+@pytest.mark.parametrize("chunked", [False, True])
+def test_blocks_equal_the_whole_book(spark, block, chunked):
+    """Runs of overlapping phrases over many blocks, and halos wider than a block."""
+    rnd = random.Random(block)
+    texts = {f"b{i}": " ".join(rnd.choices("ab" if i % 3 else "abC", k=rnd.randint(1, 90))) for i in range(12)}
+    texts |= {"run": "a " * 200, "alternate": "a b " * 120, "none": "x y z", "empty": " "}
+    if chunked:
+        rows = [(u, n, t[i:j]) for u, t in texts.items() for n, (i, j) in enumerate([(0, 20), (20, 22), (22, 60), (60, 60), (60, len(t))])]
+        books = spark.createDataFrame(rows, "url string, chunk_no int, text string")
+        texts = {u: " ".join(t[i:j] for i, j in [(0, 20), (20, 22), (22, 60), (60, 60), (60, len(t))]) for u, t in texts.items()}
+    else:
+        books = spark.createDataFrame(list(texts.items()), "url string, text string")
+    cast = spark.createDataFrame([(u, n, a) for u in [*texts, "lost"] for n, a in CAST], "url string, name string, aliases array<string>")
+    got = extract_mentions(books, cast, 6, block=block).collect()
+    for url, text in texts.items():
+        mine = sorted((r["character"], r["pos"], r["len"], r["passage"]) for r in got if r["url"] == url)
+        assert mine == brute(text, CAST, 6), url
+        for name, _ in CAST:
+            own = sorted((r["pos"], r["mention_no"]) for r in got if r["url"] == url and r["character"] == name)
+            assert [n for _, n in own] == list(range(len(own)))
+
+
+def test_no_task_holds_a_whole_book(spark):
+    books = spark.createDataFrame([("big", "a b c d " * 50_000), ("small", "a b")], "url string, text string")
+    blocks = token_blocks(books, 3, 4, block=1000).select("url", "block", F.size(F.split("text", " ")).alias("n")).collect()
+    assert len(blocks) == 201 and max(r["n"] for r in blocks) == 1007
+    cast = spark.createDataFrame([("big", "a", ["b c"])], "url string, name string, aliases array<string>")
+    assert extract_mentions(books, cast, 2, block=1000).groupBy("character").count().first()["count"] == 100_000
+
+
+@pytest.mark.parametrize("names", [1, 200])
+def test_phrase_book_finds_all(names):
+    rnd = random.Random(names)
+    phrases = [[rnd.choice("abc") for _ in range(rnd.randint(1, 5))] for _ in range(names)]
+    toks = rnd.choices("abcd", k=400)
+    which, where = PhraseBook(phrases).find(toks)
+    want = [(i, p) for p in range(len(toks)) for i, x in enumerate(phrases) if toks[p:p + len(x)] == x]
+    assert sorted(zip(which, where)) == sorted(want)
+
+
+def test_phrase_book_steps_do_not_grow_with_the_cast():
+    """Automaton steps per token stay below two however many phrases there are."""
+    rnd = random.Random(3)
+    toks = [rnd.choice("abcdefgh") for _ in range(3000)]
+    for names in (1, 10, 1000, 10_000):
+        book = PhraseBook([[rnd.choice("abcdefgh") for _ in range(6)] for _ in range(names)])
+        falls, step = [0], book._step
+
+        def counted(at, key):
+            depth = at
+            while depth and key not in book.go[depth]:
+                depth, falls[0] = book.fall[depth], falls[0] + 1
+            return step(at, key)
+
+        book._step = counted
+        book.find(toks)
+        assert falls[0] <= len(toks)

@@ -3,7 +3,8 @@ round trip, appended runs."""
 
 import os
 
-
+import pytest
+from pyspark.sql import functions as F
 
 from charlens.session import scratch_path
 from charlens.sources import io
@@ -81,3 +82,23 @@ def test_csv_json_readers_and_json_sink(spark, tmp_path):
     io.write_json(docs, out)
     back = spark.read.json(out).select("character_name").collect()
     assert sorted(r[0] for r in back) == ["B", "Élise"]
+
+
+@pytest.mark.parametrize("line_sep", ["\n", " "])
+def test_book_chunks_rejoin(spark, tmp_path, line_sep):
+    """Small byte ranges and chunks: a book is many rows, none larger than a chunk, and rejoins in order."""
+    books = {"one": "\n".join(f"line {i} of the book " + "w" * (i % 40) for i in range(3000)), "two": "only words on one line " * 4000, "three": "short"}
+    for name, text in books.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = io.read_book_chunks(spark, str(tmp_path), F.regexp_extract("_metadata.file_path", r"(\w+)\.txt$", 1), 1000, line_sep).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, text in books.items():
+        mine = sorted((r["chunk_no"], r["text"]) for r in got if r["url"] == name)
+        assert " ".join(t for _, t in mine).split() == text.split()
+        assert max(len(t) for _, t in mine) <= 1000
+    assert sum(r["url"] == "one" for r in got) > 60
+    assert len({r["chunk_no"]["start"] for r in got if r["url"] == "one"}) > 3
