@@ -25,7 +25,8 @@ WS_CLASS = (
 )
 # ---------------------------------------------------------------------------
 
-WS_RUN = WS_CLASS + "+"
+# the same characters for Java: told apart from printable ASCII by one range first
+WS_RUN = r"[\x{00}-\x{20}\x{7F}-\x{10FFFF}&&" + WS_CLASS + "]+"
 _EDGE_WS = f"^{WS_RUN}|{WS_RUN}$"
 
 

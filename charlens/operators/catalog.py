@@ -7,6 +7,12 @@ joins only the catalogue titles that share its *rarest* n-gram (frequencies
 from one aggregate over the catalogue), then the exact predicate is checked.
 Titles shorter than n use their whole text as the gram; an empty title is
 matched on authors alone.  No nested-loop or cartesian join is planned.
+
+Grams such as "the" stand in a large part of all titles.  A gram with more than
+1/``HEAVY`` of all postings is heavy, so there are fewer than ``HEAVY`` of them
+whatever the catalogue: only these are broadcast, their postings are dealt over
+as many salts as keep each share below that part, and the few wanted titles that
+have nothing rarer visit every share.
 """
 
 from __future__ import annotations
@@ -15,8 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from charlens.functions.text import last_token_lower, py_strip
+from charlens.session import checkpoint_root
 
 N = 3
+#: a gram is heavy beyond this part of all postings
+HEAVY = 1024
 
 
 def _grams(text: Column, n: Column | int) -> Column:
@@ -31,6 +40,20 @@ def _grams(text: Column, n: Column | int) -> Column:
     )
 
 
+def heavy_grams(freq: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """(k, g, cnt, salts) of the grams of ``freq`` (k, g, cnt) with more than 1/``heavy`` of all postings: fewer than ``heavy`` rows."""
+    total = freq.agg(F.sum("cnt")).first()[0] or 1
+    share = total / heavy
+    return freq.where(F.col("cnt") > share).withColumn("salts", F.ceil(F.col("cnt") / share).cast("int"))
+
+
+def salted(postings: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``postings`` (cid, k, g) with the share ``salt`` each belongs to: one share but for heavy grams."""
+    dealt = postings.join(F.broadcast(heavy.select("k", "g", "salts")), ["k", "g"], "left")
+    salt = F.pmod(F.xxhash64("cid"), F.coalesce("salts", F.lit(1))).cast("int")
+    return dealt.withColumn("salt", salt).drop("salts")
+
+
 def flag_in_catalog(books: DataFrame, catalog: DataFrame, title: str = "title", author: str = "author",
                     cat_title: str = "title", cat_authors: str = "authors", n: int = N) -> DataFrame:
     """Add ``found`` to ``books`` (null title -> false)."""
@@ -58,11 +81,18 @@ def flag_in_catalog(books: DataFrame, catalog: DataFrame, title: str = "title",
             F.struct(F.lit(k).alias("k"), _grams(F.col("ct"), k).alias("gs")) for k in range(1, n)
         ])).alias("x")).select("cid", F.col("x.k").alias("k"), F.explode("x.gs").alias("g"))
         cg = cg.unionByName(cs.join(short, ["k", "g"], "left_semi"))
-    freq = cg.groupBy("k", "g").agg(F.count("*").alias("cnt"))
+    checkpoint_root(books.sparkSession)
+    freq = cg.groupBy("k", "g").agg(F.count("*").alias("cnt")).checkpoint()
+    heavy = heavy_grams(freq)
     wk = F.least(F.length("t"), F.lit(n))
     wg = want.where(F.length("t") > 0).select("t", "ln", wk.alias("k"), F.explode(_grams(F.col("t"), n)).alias("g"))
-    rare = wg.join(freq, ["k", "g"]).groupBy("t", "ln").agg(F.min_by(F.struct("k", "g"), "cnt").alias("r"))
-    cand = rare.select("t", "ln", F.col("r.k").alias("k"), F.col("r.g").alias("g")).join(cg, ["k", "g"])
+    # heavy grams, frequent among the wanted titles too, get their count without a shuffle by gram
+    known = wg.join(F.broadcast(heavy), ["k", "g"], "left")
+    some = known.where(F.col("cnt").isNull()).select("t", "ln", "k", "g").join(freq, ["k", "g"]).withColumn("salts", F.lit(1))
+    counted = some.unionByName(known.where(F.col("cnt").isNotNull()))
+    rare = counted.groupBy("t", "ln").agg(F.min_by(F.struct("k", "g", "salts"), F.struct("cnt", "k", "g")).alias("r"))
+    probes = rare.select("t", "ln", "r.k", "r.g", F.explode(F.sequence(F.lit(0), F.col("r.salts") - 1)).alias("salt"))
+    cand = probes.join(salted(cg, heavy), ["k", "g", "salt"])
     cand = cand.join(cat, "cid")
     hit_author = (F.size("ca") > 0) & F.contains(F.col("ca_text"), F.col("ln"))
     hits = cand.where(F.contains(F.col("ct"), F.col("t")) & hit_author).select("t", "ln").distinct()

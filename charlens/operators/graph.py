@@ -1,10 +1,10 @@
-"""Graph-statement jobs: pattern joins (C1-C6), property counts (D1, D2),
+"""Graph-statement jobs: star patterns and joins (C1-C6), property counts (D1, D2),
 multi-value fold (D3), basic info (D4) and wide flatten (D5).
 
 Statements are a long table ``(s, p, o[, ord])``; labels ``(id, label, lang)``.
 Every pattern is a filter on ``p`` (pushed to the scan / partition pruning
-when the dump is partitioned by ``p``) followed by equi-joins on the subject,
-so all joins of one pattern share one partitioning of the subject key.
+when the dump is partitioned by ``p``); a pattern around one subject is one
+aggregation by it, others are equi-joins.
 """
 
 from __future__ import annotations
@@ -36,37 +36,47 @@ def with_label(df: DataFrame, id_col: str, labels: DataFrame, out_col: str, fall
     return j.withColumn(out_col, val).drop("_lid", "_lbl")
 
 
-def match_books(st: DataFrame, labels: DataFrame, cutoff: str, genre: str, has_catalog_id: bool = True,
-                genre_p: str = "genre", char_p: str = "character", date_p: str = "date",
-                author_p: str = "author", catalog_p: str = "catalog_id") -> DataFrame:
-    """C1 (+ C2 or C3, B4): distinct (book, title, author, date) of books of
-    ``genre`` with at least one character, a date strictly before ``cutoff``
-    and an author; with (C2) or without (C3) a catalogue id.  A book with two
-    authors or dates gives several rows."""
+def star_books(st: DataFrame, labels: DataFrame, cutoff: str, genre: str,
+               genre_p: str = "genre", char_p: str = "character", date_p: str = "date",
+               author_p: str = "author", catalog_p: str = "catalog_id") -> DataFrame:
+    """C1 in one pass: (book, title, author, date, has_id) of books of ``genre`` with at
+    least one character, a date strictly before ``cutoff`` and an author.
+
+    The pattern is a star: all its statements share the subject.  Statements that can
+    take part are folded by subject, map-side first, so a book with very many characters
+    or repeated statements sends one row per task, and the star is matched on that row
+    without any self join.  A book with two authors or dates gives several rows."""
+    p, o = F.col("p"), F.col("o")
+    # An unreadable date is not before the cutoff
+    fits = (((p == genre_p) & (o == genre)) | ((p == date_p) & (o.try_cast("date") < F.to_date(F.lit(cutoff)))) | ((p == author_p) & o.isNotNull())
+            | (p == char_p) | (p == catalog_p))
+    of = lambda name: F.when(p == name, o)
+    star = st.where(p.isin(genre_p, date_p, author_p, char_p, catalog_p) & F.col("s").isNotNull() & fits).groupBy(F.col("s").alias("book")).agg(
+        F.max(p == genre_p).alias("fits"), F.max(p == char_p).alias("cast"), F.max(p == catalog_p).alias("has_id"),
+        F.collect_set(of(date_p)).alias("dates"), F.collect_set(of(author_p)).alias("authors"))
+    rows = star.where("fits and cast").select("book", "has_id", "authors", F.explode("dates").alias("date"))
+    rows = rows.select("book", "has_id", "date", F.explode("authors").alias("author"))
     lt = label_table(labels)
-    books = st.where((F.col("p") == genre_p) & (F.col("o") == genre)).select(F.col("s").alias("book"))
-    dates = _prop(st, date_p, "book", "date").where(
-        F.col("date").try_cast("date") < F.to_date(F.lit(cutoff)))  # B4: an unreadable date is not before the cutoff
-    authors = _prop(st, author_p, "book", "author")
-    # existence sides are made distinct first: partial aggregation collapses a
-    # book with very many statements before the shuffle
-    chars = _prop(st, char_p, "book").distinct()
-    ids = _prop(st, catalog_p, "book").distinct()
-    b = books.join(dates, "book").join(authors, "book").join(chars, "book", "left_semi")
-    b = b.join(ids, "book", "left_semi" if has_catalog_id else "left_anti")
-    b = with_label(b, "book", lt, "title")
-    b = with_label(b, "author", lt, "author_name")
-    return b.select("book", "title", F.col("author_name").alias("author"), "date").distinct()
-
-
-def characters_of(books: DataFrame, st: DataFrame, labels: DataFrame, char_p: str = "character") -> DataFrame:
+    rows = with_label(with_label(rows, "book", lt, "title"), "author", lt, "author_name")
+    return rows.select("book", "title", F.col("author_name").alias("author"), "date", "has_id").distinct()
+
+
+def match_books(st: DataFrame, labels: DataFrame, cutoff: str, genre: str, has_catalog_id: bool = True, **names: str) -> DataFrame:
+    """C1 + C2 or C3 (B4): distinct (book, title, author, date) of ``star_books`` with
+    (C2) or without (C3) a catalogue id."""
+    found = star_books(st, labels, cutoff, genre, **names)
+    return found.where(F.col("has_id") if has_catalog_id else ~F.col("has_id")).drop("has_id")
+
+
+def characters_of(books: DataFrame, st: DataFrame, labels: DataFrame, char_p: str = "character",
+                  keep: Sequence[str] = ()) -> DataFrame:
     """Book -> characters (1:n, a book without characters gives no row),
-    with the character's label."""
+    with the character's label and the columns ``keep`` of the book."""
     rel = _prop(st, char_p, "book", "character_uri")
-    j = books.select("book", F.col("title").alias("book_title"), F.col("author").alias("book_author")).join(
+    j = books.select("book", F.col("title").alias("book_title"), F.col("author").alias("book_author"), *keep).join(
         rel, "book")
     j = with_label(j, "character_uri", label_table(labels), "character_name")
-    return j.select("character_name", "character_uri", "book_title", "book_author")
+    return j.select("character_name", "character_uri", "book_title", "book_author", *keep)
 
 
 def property_frequency(characters: DataFrame, st: DataFrame, labels: DataFrame,

@@ -26,7 +26,7 @@ from charlens.functions.text import arrow_udf, fold, fold_str, py_strip, tokens
 from charlens.session import checkpoint_root
 
 #: tokens per block of a book
-BLOCK = 1 << 13
+BLOCK = 1 << 17
 
 
 def normalize_aliases(df: DataFrame, col: str, sep: str = ",") -> Column:
@@ -95,7 +95,8 @@ def token_blocks(books: DataFrame, before: int, after: int, block: int | None =
         return F.struct(b.alias("block"), at.alias("first"), text.alias("text"))
 
     # the slices are cut inside the row: the book's token array is never copied per block
-    pieces = rows.where(F.size("toks") > 0).select("url", F.explode(F.transform(F.sequence(low, high), piece)).alias("p")).select("url", "p.*")
+    each = F.when(F.size("toks") > 0, F.transform(F.sequence(low, high), piece))
+    pieces = rows.select("url", F.explode(each).alias("p")).select("url", "p.*")
     pieces = pieces.repartition("url", "block")
     if not chunked:
         return pieces
@@ -105,16 +106,29 @@ def token_blocks(books: DataFrame, before: int, after: int, block: int | None =
                          F.array_join(F.transform("parts", lambda x: x["text"]), " ").alias("text"))
 
 
-def _casts(books: DataFrame, aliases: DataFrame, block: int) -> DataFrame:
+def _most_blocks(books: DataFrame, block: int) -> DataFrame:
+    """(url, most): a bound on the blocks' numbers of a book by its characters (two make a token at least)."""
+    size = books.groupBy("url").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("rows"))
+    return size.select("url", F.floor((F.col("chars") + F.col("rows")) / 2 / block).alias("most"))
+
+
+def one_block_each(books: DataFrame, block: int) -> bool:
+    """Whether no book can have a second block."""
+    if "chunk_no" not in books.columns:
+        return (books.agg(F.max(F.length("text"))).first()[0] or 0) < 2 * block
+    return not (_most_blocks(books, block).agg(F.max("most")).first()[0] or 0)
+
+
+def _casts(books: DataFrame, aliases: DataFrame, block: int, single: bool) -> DataFrame:
     """(url, block, cast, names): the aliases of a book as one text, a line each, for
-    each block it can have (two characters make a token at least)."""
+    each block it can have."""
     entries = F.array_sort(F.collect_list(F.struct("character", "alias_no", "toks", "alias_len")))
     cast = aliases.groupBy("url").agg(entries.alias("entries")).select(
         "url", F.array_join(F.transform("entries", lambda e: F.array_join(e["toks"], " ")), "\n").alias("cast"),
         F.transform("entries", lambda e: F.struct(e["character"].alias("character"), e["alias_no"].alias("alias_no"), e["alias_len"].alias("alias_len"))).alias("names"))
-    size = books.groupBy("url").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("rows"))
-    most = F.floor(((F.col("chars") + F.col("rows")) / 2) / block)
-    return cast.join(size.select("url", most.alias("most")), "url").select(
+    if single:  # not a literal: as a constant it would leave the join's key, and the blocks' shuffle would not fit
+        return cast.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))))
+    return cast.join(_most_blocks(books, block), "url").select(
         "url", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("most"))).alias("block"), "cast", "names")
 
 
@@ -177,13 +191,12 @@ def _find_batch(text: pd.Series, cast: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"which": [f[0] for f in found], "place": [f[1] for f in found]})
 
 
-def candidates_in(blocks: DataFrame, books: DataFrame, aliases: DataFrame, block: int | None = None) -> DataFrame:
+def candidates_in(blocks: DataFrame, books: DataFrame, aliases: DataFrame, block: int, single: bool) -> DataFrame:
     """C13 over ``token_blocks``: (url, block, character, pos, alias_no, alias_len) of
     every place where an alias's folded token sequence occurs, told by the block that
     owns its first token."""
-    block = block or BLOCK
     find = arrow_udf(_find_batch, "which array<int>, place array<int>")
-    hit = blocks.join(_casts(books, aliases, block), ["url", "block"]).withColumn("f", find("text", "cast"))
+    hit = blocks.join(_casts(books, aliases, block, single).hint("shuffle_hash"), ["url", "block"]).withColumn("f", find("text", "cast"))
     hit = hit.where(F.size("f.which") > 0).select("url", "block", "names", F.explode(F.transform(
         F.arrays_zip("f.which", "f.place"), lambda x: F.struct(x["which"].alias("which"), (F.col("first") + x["place"]).alias("pos")))).alias("h"))
     own = hit.where(F.floor(F.col("h.pos") / block) == F.col("block"))
@@ -193,8 +206,9 @@ def candidates_in(blocks: DataFrame, books: DataFrame, aliases: DataFrame, block
 
 def candidates(books: DataFrame, aliases: DataFrame, max_len: int | None = None, block: int | None = None) -> DataFrame:
     """Every (url, block, character, pos, alias_no, alias_len) of ``books``."""
+    block = block or BLOCK
     blocks = token_blocks(books, 0, (max_len or longest(aliases)) - 1, block)
-    return candidates_in(blocks, books, aliases, block)
+    return candidates_in(blocks, books, aliases, block, one_block_each(books, block))
 
 
 # ---- greedy choice -------------------------------------------------------------
@@ -242,13 +256,13 @@ def _carries(found: DataFrame, max_len: int, block: int) -> DataFrame:
     return state.select("url", "character", (F.col("block") + 1).alias("block"), F.col("out").alias("carry"))
 
 
-def select_mentions(cands: DataFrame, max_len: int, block: int | None = None) -> DataFrame:
+def select_mentions(cands: DataFrame, max_len: int, block: int, single: bool) -> DataFrame:
     """(url, block, character, pos, len, mention_no): the first listed alias per position,
     then greedy non-overlap over the whole book, numbered by position.
 
     The candidates of a block and character are one short row; rows are matched with
-    their neighbours' carries, so no task holds more of a book than a block."""
-    block = block or BLOCK
+    their neighbours' carries, so no task holds more of a book than a block.
+    ``single``: no book has a second block, so there is nothing to carry."""
     if block < max_len:
         raise ValueError("a block must hold the longest alias")
     best = cands.groupBy("url", "block", "character", "pos").agg(F.min_by("alias_len", "alias_no").cast("int").alias("len"))
@@ -256,9 +270,12 @@ def select_mentions(cands: DataFrame, max_len: int, block: int | None = None) ->
     found = found.select("url", "block", "character", F.transform("items", lambda x: x["pos"]).alias("place"), F.transform("items", lambda x: x["len"]).alias("size"))
     start = F.col("block") * block
     if max_len > 1:
-        checkpoint_root(cands.sparkSession)
-        found = found.checkpoint()  # read twice below
-        found = found.join(_carries(found, max_len, block), ["url", "character", "block"], "left")
+        if single:
+            found = found.withColumn("carry", F.lit(0))
+        else:
+            checkpoint_root(cands.sparkSession)
+            found = found.checkpoint()  # read twice below
+            found = found.join(_carries(found, max_len, block), ["url", "character", "block"], "left")
         after = F.arrays_zip("place", "size", F.slice("place", 2, F.size("place")).alias("next"))
         crowded = (F.col("carry") > 0) | F.exists(after, lambda x: x["place"] + x["size"] > x["next"])
         chosen = arrow_udf(_chosen_batch, "array<int>")(F.when(crowded, F.col("place")), F.col("size"), start + F.coalesce("carry", F.lit(0)))
@@ -266,7 +283,8 @@ def select_mentions(cands: DataFrame, max_len: int, block: int | None = None) ->
         pick = lambda c: F.when(F.col("kept").isNull(), F.col(c)).otherwise(F.transform("kept", lambda i: F.col(c)[i]))
         found = found.select("url", "block", "character", pick("place").alias("place"), pick("size").alias("size"))
     earlier = Window.partitionBy("url", "character").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("before", F.coalesce(F.sum(F.size("place").cast("bigint")).over(earlier), F.lit(0)))
+    before = F.lit(0) if single else F.coalesce(F.sum(F.size("place").cast("bigint")).over(earlier), F.lit(0))
+    found = found.withColumn("before", before)
     each = F.transform(F.arrays_zip("place", "size"), lambda x, i: F.struct(
         x["place"].cast("int").alias("pos"), x["size"].alias("len"), (F.col("before") + i).cast("int").alias("mention_no")))
     return found.select("url", "block", "character", F.explode(each).alias("m")).select("url", "block", "character", "m.*")
@@ -278,7 +296,8 @@ def cut_passages(blocks: DataFrame, mentions: DataFrame, window: int = 200) -> D
     block come to its row and are cut there."""
     half = max(1, window // 2)
     here = mentions.groupBy("url", "block").agg(F.collect_list(F.struct("character", "pos", "len", "mention_no")).alias("ms"))
-    rows = blocks.join(here, ["url", "block"]).select("url", "first", "ms", F.split("text", " ", -1).alias("toks"))
+    # hints: the text stays where it is, small sides come to it
+    rows = blocks.join(here.hint("shuffle_hash"), ["url", "block"]).select("url", "first", "ms", F.split("text", " ", -1).alias("toks"))
 
     def cut(m: Column) -> Column:
         start = F.greatest(m["pos"] - half, F.lit(0)) - F.col("first")
@@ -296,11 +315,12 @@ def extract_mentions(books: DataFrame, characters: DataFrame, window: int = 200,
     ``characters(url, name, aliases)``; a character whose book is missing gets
     no rows (inner join)."""
     al = alias_table(characters, url, name, aliases)
-    max_len, half = longest(al), max(1, window // 2)
+    max_len, half, block = longest(al), max(1, window // 2), block or BLOCK
     # one shuffle of the text by (url, block); both readers below reuse it
     blocks = token_blocks(books, half, half + max_len, block)
-    found = candidates_in(blocks, books, al, block)
-    return cut_passages(blocks, select_mentions(found, max_len, block), window)
+    single = one_block_each(books, block)
+    found = candidates_in(blocks, books, al, block, single)
+    return cut_passages(blocks, select_mentions(found, max_len, block, single), window)
 
 
 def mention_counts(characters: DataFrame, mentions: DataFrame, url="url", name="name") -> DataFrame:

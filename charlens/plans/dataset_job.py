@@ -26,20 +26,19 @@ def build_dataset(st: DataFrame, labels: DataFrame, catalog: DataFrame, cutoff:
                   entity_prefixes: Sequence[str] = ("char/", "person/", "book/"),
                   alias_p: str = "alias", desc_p: str = "description") -> tuple[DataFrame, DataFrame | None]:
     """Returns (characters, wide table or None).  ``catalog(title, authors)``."""
-    with_id = G.match_books(st, labels, cutoff, genre, has_catalog_id=True)
-    no_id = G.match_books(st, labels, cutoff, genre, has_catalog_id=False)
-    no_id = dedup_first(no_id.select("title", "author", "book"), ["title", "author"], ["book"])
+    # one pass over the statements serves both branches
+    checkpoint_root(st.sparkSession)
+    books = G.star_books(st, labels, cutoff, genre).checkpoint()
+    no_id = dedup_first(books.where(~F.col("has_id")).select("title", "author", "book"), ["title", "author"], ["book"])
     found = flag_in_catalog(no_id, catalog).where(F.col("found")).drop("found")
-    c_id = G.characters_of(with_id, st, labels).withColumn("_br", F.lit(1))
-    c_no = G.characters_of(found, st, labels).withColumn("_br", F.lit(0))
-    chars = dedup_first(c_no.unionByName(c_id), ["character_name", "character_uri"],
+    both = found.withColumn("_br", F.lit(0)).unionByName(books.where("has_id").select("title", "author", "book", F.lit(1).alias("_br")))
+    chars = dedup_first(G.characters_of(both, st, labels, keep=("_br",)), ["character_name", "character_uri"],
                         ["_br", "book_title", "book_author"]).drop("_br")
     if wide_columns is None:
         return chars, None
     # the character table feeds three branches (fold, basic info, final join):
     # written once to the shared checkpoint folder instead of re-running both
     # book branches and the catalogue match for each
-    checkpoint_root(chars.sparkSession)
     chars = chars.checkpoint()
     docs = G.fold_attributes(st, labels, chars, entity_prefixes=entity_prefixes)
     info = G.basic_info(st.join(chars.select(F.col("character_uri").alias("s")), "s", "left_semi"),

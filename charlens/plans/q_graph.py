@@ -65,11 +65,11 @@ def books_without_id(spark, sf):
 
 @register(
     "books_with_id_first",
-    _GRAPH + "select * from bw order by book, title, author, date limit 100",
+    _GRAPH + "select * from bw order by book, title, author, date limit 1500",
 )
 def books_with_id_first(spark, sf):
-    """L2: the source query's row limit (here one that cuts), with a deterministic order."""
-    return top_n(_books(spark, sf, True), 100, "book", "title", "author", "date")
+    """L2: the source query's row limit, with a deterministic order."""
+    return top_n(_books(spark, sf, True), 1500, "book", "title", "author", "date")
 
 
 @register("book_characters", _GRAPH + "select * from bc")
@@ -280,7 +280,7 @@ def statement_dump(spark, sf):
     """A5 + B5: statements written as a dump partitioned by property, read back; the
     property prefix prunes folders."""
     path = scratch_path(spark, "statements")
-    io.write_statements(view(spark, sf, "triples").repartition("p"), path)
+    io.write_statements(view(spark, sf, "triples"), path)
     st = io.read_statements(spark, path)
     chars = st.where("p = 'character'").select(F.col("o").alias("character_uri")).distinct()
     no_labels = view(spark, sf, "graph_labels").where(F.lit(False))

@@ -1,6 +1,11 @@
 """Catalogue match (C7): edge cases with their flags, and a nested-loop SQL check on the fixture."""
 
-from charlens.operators.catalog import flag_in_catalog
+import random
+import statistics
+
+from pyspark.sql import functions as F
+
+from charlens.operators.catalog import HEAVY, _grams, flag_in_catalog, heavy_grams, salted
 
 
 def test_catalog_edge_cases(spark):
@@ -38,3 +43,22 @@ def test_catalog_on_fixture_matches_nested_loop_sql(spark):
         and contains(lower(c.author), lower(substring_index(trim(w.author), ' ', -1)))""", w=wanted, c=cat)
     got = {(r["title"], r["author"]) for r in flags.where("found").collect()}
     assert got == {(r["title"], r["author"]) for r in found.collect()}
+
+
+def test_heavy_gram_is_dealt_over_tasks(spark):
+    """A gram that stands in half of all titles: the shares of the postings stay even, and the answers right."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    titles = [("the " if i % 2 else "") + word() for i in range(6000)]
+    catalog = spark.createDataFrame([(t, ["A. Writer"]) for t in titles], "title string, authors array<string>")
+    grams = catalog.select(F.xxhash64("title").alias("cid"), F.explode(_grams(F.lower("title"), 3)).alias("g")).withColumn("k", F.lit(3))
+    heavy = heavy_grams(grams.groupBy("k", "g").agg(F.count("*").alias("cnt")))
+    names = {r["g"] for r in heavy.collect()}
+    assert {"the", "he "} <= names and len(names) < HEAVY
+    sizes = [r["count"] for r in salted(grams, heavy).repartition(48, "k", "g", "salt").groupBy(F.spark_partition_id()).count().collect()]
+    plain = [r["count"] for r in grams.repartition(48, "k", "g").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 3 * statistics.median(sizes) < max(plain)
+    books = spark.createDataFrame([("the", "B Writer"), ("The " + titles[1][4:], "x writer"), ("the ", "nobody"), (titles[0][1:5], "w"), ("zzqzz", "w")], "title string, author string")
+    got = {(r["title"], r["author"]): r["found"] for r in flag_in_catalog(books, catalog).collect()}
+    assert got == {(t, a): any(t.lower().strip() in c and a.lower().split()[-1] in "a. writer" for c in titles) for t, a in got}
+    assert got["the", "B Writer"] and not got["the ", "nobody"]
