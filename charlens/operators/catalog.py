@@ -57,10 +57,11 @@ def salted(postings: DataFrame, heavy: DataFrame) -> DataFrame:
 def flag_in_catalog(books: DataFrame, catalog: DataFrame, title: str = "title", author: str = "author",
                     cat_title: str = "title", cat_authors: str = "authors", n: int = N) -> DataFrame:
     """Add ``found`` to ``books`` (null title -> false)."""
+    checkpoint_root(books.sparkSession)
     want = books.select(title, author).distinct().select(
         F.col(title).alias("w_title"), F.col(author).alias("w_author"),
         F.lower(py_strip(F.col(title))).alias("t"), last_token_lower(F.col(author)).alias("ln"),
-    ).where(F.col("t").isNotNull())
+    ).where(F.col("t").isNotNull()).checkpoint()  # read by several branches below, the books' own plan once
     cat = catalog.select(
         F.lower(py_strip(F.coalesce(F.col(cat_title), F.lit("")))).alias("ct"),
         F.transform(F.coalesce(F.col(cat_authors), F.array().cast("array<string>")), lambda a: F.lower(a))
@@ -81,7 +82,6 @@ def flag_in_catalog(books: DataFrame, catalog: DataFrame, title: str = "title",
             F.struct(F.lit(k).alias("k"), _grams(F.col("ct"), k).alias("gs")) for k in range(1, n)
         ])).alias("x")).select("cid", F.col("x.k").alias("k"), F.explode("x.gs").alias("g"))
         cg = cg.unionByName(cs.join(short, ["k", "g"], "left_semi"))
-    checkpoint_root(books.sparkSession)
     freq = cg.groupBy("k", "g").agg(F.count("*").alias("cnt")).checkpoint()
     heavy = heavy_grams(freq)
     wk = F.least(F.length("t"), F.lit(n))
