@@ -131,13 +131,54 @@ def _normalise(j: Column) -> Column:
     return bracket_fixes(drop_location_keys(quote_lists(j)))
 
 
-def parse_object(j: Column) -> Column:
-    """H7: strict single-object parse -> VARIANT or null.  Wrapping in [...]
-    rejects trailing text, which the variant parser would otherwise accept."""
-    v = F.try_parse_json(F.concat(F.lit("["), j, F.lit("]")))
-    one = F.try_variant_get(v, "$[1]", "variant").isNull()
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def _json_object(entries: Column, value) -> Column:
+    """JSON text of (key, value) entries, of repeated keys the last."""
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+    name = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
+    return F.concat(F.lit("{"), F.array_join(F.transform(last, lambda e: F.concat(name(e["key"]), F.lit(":"), value(e["value"]))), ","), F.lit("}"))
+
+
+def _loose(j: Column) -> Column:
+    """The texts of a JSON object's values by key, repeated keys included; null if it is none."""
+    return F.from_json(F.concat(F.lit("["), j, F.lit("]")), "array<map<string,string>>", _STRICT)
+
+
+def last_keys(j: Column, loose: Column, depth: int = 2) -> Column:
+    """The JSON object ``j`` (``loose`` as from ``_loose``) without repeated keys, the last
+    of each kept; null if it is none.
+
+    Values keep their kind; only where a nested object repeats keys too (down to
+    ``depth`` levels) is a text that reads as a number or a truth value taken for one."""
+    typed = F.from_json(F.concat(F.lit("["), j, F.lit("]")), "array<map<string,variant>>", _STRICT)
+    quoted = lambda t: F.regexp_extract(F.to_json(F.array(t)), r"(?s)^\[(.*)\]$", 1)
+
+    def text(t: Column) -> Column:
+        plain = F.when(t.isNull(), "null").when(F.try_parse_json(t).isNotNull(), t)
+        return F.coalesce(plain, F.when(t.startswith("{"), last_keys(t, _loose(t), depth - 1)) if depth > 1 else plain, quoted(t))
+
+    whole = lambda m: F.when(F.size(m) == 1, F.map_entries(m[0]))
+    return F.coalesce(_json_object(whole(typed), lambda v: F.coalesce(F.to_json(v), F.lit("null"))), _json_object(whole(loose), text))
+
+
+def with_object(df: DataFrame, j: str, out: str) -> DataFrame:
+    """H7: strict single-object parse of the text column ``j`` -> VARIANT column ``out`` or null.
+
+    Wrapping in [...] rejects trailing text, which the variant parser would otherwise
+    accept.  Of repeated keys the last counts, whatever the session's own setting: the
+    texts that the parser refuses though they are objects are read key by key, in steps
+    of their own, so that the others pay nothing for it."""
+    wrapped = lambda t: F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+    df = df.withColumn("_strict", wrapped(F.col(j)))
+    df = df.withColumn("_loose", F.when(F.col("_strict").isNull() & F.col(j).startswith("{"), _loose(F.col(j))))
+    df = df.withColumn("_again", F.when(F.col("_loose").isNotNull(), last_keys(F.col(j), F.col("_loose"))))
+    df = df.withColumn("_strict", F.coalesce("_strict", F.when(F.col("_again").isNotNull(), wrapped(F.col("_again")))))
+    v = F.col("_strict")
     first = F.try_variant_get(v, "$[0]", "variant")
-    return F.when(v.isNotNull() & one & F.schema_of_variant(first).startswith("OBJECT"), first)
+    good = v.isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull() & F.schema_of_variant(first).startswith("OBJECT")
+    return df.withColumn(out, F.when(good, first)).drop("_strict", "_loose", "_again")
 
 
 def _fallback_list(j: Column, attr: str) -> Column:
@@ -176,22 +217,15 @@ def repair_outputs(
     """H1-H10 + B10: add ``parsed`` (VARIANT), ``status`` and one typed column
     per requested attribute (``{name: spark_type}``; a plain list means
     ``string``).  Rows are never dropped: unparsable or missing outputs give
-    null in every attribute column.  Of repeated keys the last counts (H7); the
-    session setting for that is switched on here."""
-    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    null in every attribute column."""
     if not isinstance(attrs, Mapping):
         attrs = {a: "string" for a in attrs}
     t = _c(output_col)
     out = raw.withColumn("_obj", tail_object(strip_noise(t)))
     out = out.withColumn("_j1", _normalise(collapse_origin(F.col("_obj"), origin_key)))
-    out = out.withColumn("_p1", parse_object(F.col("_j1")))
-    out = out.withColumn(
-        "_p2",
-        F.when(
-            F.col("_p1").isNull() & (F.col("_obj") != ""),
-            parse_object(_fallback_list(F.col("_j1"), repair_attr)),
-        ),
-    )
+    out = with_object(out, "_j1", "_p1")
+    out = out.withColumn("_j2", F.when(F.col("_p1").isNull() & (F.col("_obj") != ""), _fallback_list(F.col("_j1"), repair_attr)))
+    out = with_object(out, "_j2", "_p2")
     status = (
         F.when(t.isNull(), F.lit(STATUS_MISSING))
         .when(F.col("_p1").isNotNull(), F.lit(STATUS_OK))
@@ -199,7 +233,7 @@ def repair_outputs(
         .otherwise(F.lit(STATUS_UNPARSABLE))
     )
     out = out.withColumn("parsed", F.coalesce("_p1", "_p2")).withColumn("status", status)
-    out = out.drop("_obj", "_j1", "_p1", "_p2")
+    out = out.drop("_obj", "_j1", "_j2", "_p1", "_p2")
     for name, typ in attrs.items():
         out = out.withColumn(name, F.try_variant_get(F.col("parsed"), f"$.{name}", typ))
     return out

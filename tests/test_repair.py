@@ -1,6 +1,7 @@
 """Hand cases for the bulk repair job (FIXTURES.md section 4, repair table)."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from charlens.operators.repair import repair_outputs
 
@@ -66,3 +67,21 @@ def test_repair_stable_on_valid_json_without_lists(spark):
     df = spark.createDataFrame([(raw,)], "output string")
     r = repair_outputs(df, ["age", "gender"]).collect()[0]
     assert (r["age"], r["gender"], r["status"]) == ("adult", "female", "ok")
+
+
+def test_repeated_keys_without_a_session_setting(spark):
+    """The last of repeated keys counts, kinds stay, and the session is left as it was."""
+    from charlens.operators.repair import with_object
+
+    setting = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(setting)
+    rows = ['{"x": 1, "y": "5", "x": 2}', '{"x": [1, "a"], "x": {"k": null}, "z": "q\\"r"}', '{"a": {"b": 1, "b": 3}, "c": "t"}', '{"x": 1, "x": 2} tail',
+            "{'x': 1, 'x': 2}", '{"x": 1', '{"x": 1, "x": null}', "{}", None]
+    df = with_object(spark.createDataFrame(list(enumerate(rows)), "i int, j string"), "j", "v").withColumn("v", F.to_json("v"))
+    want = ['{"x":2,"y":"5"}', '{"x":{"k":null},"z":"q\\"r"}', '{"a":{"b":3},"c":"t"}', None, None, None, '{"x":null}', "{}", None]
+    assert [r["v"] for r in df.orderBy("i").collect()] == want
+    # copies of the plan, as in a self join, give the same
+    twice = df.join(df.select("i", F.col("v").alias("w")), "i").collect()
+    assert all(r["v"] == r["w"] for r in twice)
+    assert spark.conf.get(setting) == before
+    assert spark.sql("""select try_parse_json('{"x":1,"x":2}') is null as refused""").first()["refused"] == (before == "false")
