@@ -21,6 +21,7 @@ from charlens.plans.sql_oracle import report_sql
 from charlens.session import scratch_path
 from charlens.sources import io
 from charlens.sources.fixtures import view, with_clause
+from charlens.streaming.jobs import file_stream, stream_predictions
 
 ATTRS = {"lang": "closed", "age": "ordinal", "tags": "set", "occupation": "open", "type": "type"}
 TASKS = {"occupation": "Name the trades.", "type": "Name the species."}
@@ -155,6 +156,28 @@ def appended_predictions(spark, sf):
     return io.read_run(spark, path, "run-b")
 
 
+@register(
+    "replayed_predictions",
+    with_clause("file_pred") + """select url book, name character, output, 'run-b' run_id, 'mock' model, 'all_mentions' strategy,
+ 'lang,age' attributes from file_pred""",
+)
+def replayed_predictions(spark, sf):
+    """A9, exactly once: the chunks of a run arrive as a stream of files, then a job that
+    believes itself lost hands out two of them again; no row is added."""
+    pred = view(spark, sf, "file_pred").select(F.col("url").alias("book"), F.col("name").alias("character"), "form", "output")
+    base = scratch_path(spark, "replayed")
+    path, sent = f"{base}/runs", f"{base}/sent"
+    chunk = lambda odd: pred.where(F.col("form") % 2 == odd).drop("form")
+    io.append_predictions(pred.drop("form"), path, "run-a", "other", batch=0)
+    tags = ("run-b", "mock", "all_mentions", ["lang", "age"])
+    for odd in (0, 1):  # each run of the stream is one batch
+        chunk(odd).write.mode("append").parquet(sent)
+        stream_predictions(file_stream(spark, sent, chunk(odd).schema), path, f"{base}/ckpt", *tags)
+    for number in (1, 0, 1):
+        io.append_predictions(chunk(number), path, *tags, batch=number)
+    return io.read_run(spark, path, "run-b").drop("batch")
+
+
 @register(
     "gold_files",
     with_clause("file_gold") + """select name, url gutenberg_url, name book_title, lang, age,

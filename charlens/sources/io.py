@@ -193,10 +193,16 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def append_predictions(df: DataFrame, path: str, run_id: str, model: str | None = None,
-                       strategy: str | None = None, attributes: list[str] | None = None) -> None:
+                       strategy: str | None = None, attributes: list[str] | None = None,
+                       batch: int | str | None = None) -> None:
     """A9 + A11: append predictions under ``run_id=...``; every task commits
     atomically, so a lost executor loses nothing that was committed and a
-    re-run of a failed task does not duplicate rows."""
+    re-run of a failed task does not duplicate rows.
+
+    With ``batch``, the identity of a chunk within its run, the append is exactly once:
+    the chunk has a folder of its own (``run_id=.../batch=...``) and a job that is run
+    again puts its rows in the place of the first ones, whole or torn.  A table is
+    written with batches throughout or without."""
     tagged = df.select(
         "*",
         F.lit(run_id).alias("run_id"),
@@ -204,7 +210,11 @@ def append_predictions(df: DataFrame, path: str, run_id: str, model: str | None
         F.lit(strategy).cast("string").alias("strategy"),
         F.lit(",".join(attributes or [])).alias("attributes"),
     )
-    tagged.write.mode("append").partitionBy("run_id").parquet(path)
+    if batch is None:
+        tagged.write.mode("append").partitionBy("run_id").parquet(path)
+        return
+    (tagged.withColumn("batch", F.lit(str(batch))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id", "batch").parquet(path))
 
 
 def append_report(report: DataFrame, path: str) -> None:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from charlens.operators.repair import repair_outputs
+from charlens.sources.io import append_predictions
 
 
 def file_stream(spark: SparkSession, in_dir: str, schema: StructType, glob: str | None = None,
@@ -56,3 +57,16 @@ def stream_dedup(spark: SparkSession, in_dir: str, out_dir: str, ckpt_dir: str,
         src = src.withColumn(event_time, src[event_time].cast("timestamp"))
     d = src.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
     run_available(d, out_dir, ckpt_dir)
+
+
+def stream_predictions(df: DataFrame, path: str, ckpt_dir: str, run_id: str, model: str | None = None,
+                       strategy: str | None = None, attributes: list[str] | None = None) -> None:
+    """A9 as a stream: each micro-batch is one chunk of the run, appended exactly once.
+
+    After a crash the engine hands out the unfinished batch again under the same number,
+    and it replaces what the first attempt may have left."""
+    def append(batch: DataFrame, number: int) -> None:
+        append_predictions(batch, path, run_id, model, strategy, attributes, batch=number)
+
+    q = df.writeStream.foreachBatch(append).option("checkpointLocation", ckpt_dir).trigger(availableNow=True).start()
+    q.awaitTermination()

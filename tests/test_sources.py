@@ -102,3 +102,13 @@ def test_book_chunks_rejoin(spark, tmp_path, line_sep):
         assert max(len(t) for _, t in mine) <= 1000
     assert sum(r["url"] == "one" for r in got) > 60
     assert len({r["chunk_no"]["start"] for r in got if r["url"] == "one"}) > 3
+
+
+def test_replayed_batch_adds_no_row(spark, tmp_path):
+    """A batch handed out again replaces its first attempt, also a larger or torn one; others stay."""
+    path = str(tmp_path / "runs")
+    rows = lambda *names: spark.createDataFrame([(n,) for n in names], "character string")
+    for names, run, batch in (("ab", "r1", 0), ("cd", "r1", 1), ("zz", "r2", 0), ("cde", "r1", 1), ("cd", "r1", 1), ("ab", "r1", 0)):
+        io.append_predictions(rows(*names), path, run, batch=batch)
+    assert sorted(r["character"] for r in io.read_run(spark, path, "r1").collect()) == ["a", "b", "c", "d"]
+    assert io.read_run(spark, path, "r2").count() == 2
