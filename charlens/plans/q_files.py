@@ -20,7 +20,8 @@ from charlens.plans.registry import register, rounded
 from charlens.plans.sql_oracle import report_sql
 from charlens.session import scratch_path
 from charlens.sources import io
-from charlens.sources.fixtures import view, with_clause
+from charlens.sources.fixtures import table, view, with_clause
+from charlens.sources.json_arrays import read_json_array, write_json_arrays
 from charlens.streaming.jobs import file_stream, stream_predictions
 
 ATTRS = {"lang": "closed", "age": "ordinal", "tags": "set", "occupation": "open", "type": "type"}
@@ -190,6 +191,18 @@ def gold_files(spark, sf):
     return gold.drop("aliases").withColumn("tags", F.array_join("tags", "|"))
 
 
+@register(
+    "json_array_documents",
+    "select doc_id, lang, source, n_chars, md5(text) text_md5 from documents",
+)
+def json_array_documents(spark, sf):
+    """A4: the documents as large JSON arrays, each read back by byte ranges."""
+    path = scratch_path(spark, "arrays")
+    write_json_arrays(table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"), path)
+    back = read_json_array(spark, path, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return back.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
 @register("catalog_csv", _CATALOG_SQL + "select title, author, found in_catalog from f")
 def catalog_csv(spark, sf):
     """A7 + A3: the catalogue as a comma CSV (commas in its fields), read with its
