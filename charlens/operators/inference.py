@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from charlens.session import checkpoint_root
+
 # --- fixed values -----------------------------------------------------------
 # Mock model answer per attribute (JSON values); other attributes answer null.
 #   age "adult", gender "female", spoken_languages ["English"],
@@ -96,10 +98,20 @@ def infer(prompts: DataFrame, model_fn: Callable[[list[str]], list[str]], prompt
 
 
 # ---- U1 embedder plug-in ------------------------------------------------------------
-def embed_texts(texts: DataFrame, embed: Callable[[pd.Series], pd.Series], text_col: str = "text") -> DataFrame:
-    """Vectors for each row of ``texts`` by the plug-in (Arrow batches)."""
+def text_key(text) -> Column:
+    """SHA-256 of a text: what texts are shuffled and joined by, never the text itself."""
+    return F.sha2(F.col(text) if isinstance(text, str) else text, 256)
+
+
+def embed_distinct(texts: DataFrame, embed: Callable[[pd.Series], pd.Series], text_col: str = "text") -> DataFrame:
+    """(key, vec) of every distinct text, each embedded once; nulls are left out.
+
+    Texts meet by their key, and the table is checkpointed, so that several readers do
+    not run the plug-in again."""
+    checkpoint_root(texts.sparkSession)
+    each = texts.where(F.col(text_col).isNotNull()).groupBy(text_key(text_col).alias("key")).agg(F.first(text_col).alias("text"))
     udf = F.pandas_udf(embed, "array<float>")
-    return texts.select(F.col(text_col).alias("text"), udf(F.col(text_col)).alias("vec"))
+    return each.select("key", udf("text").alias("vec")).checkpoint()
 
 
 def hashing_embed(dim: int = 64) -> Callable[[pd.Series], pd.Series]:

@@ -292,8 +292,7 @@ def similarity(
     gold is missing or the prediction is not a list.
     """
     from charlens.functions.text import instruct_text, split_comma_blank
-    from charlens.operators.inference import embed_texts
-    from charlens.session import checkpoint_root
+    from charlens.operators.inference import embed_distinct, text_key
 
     def as_list(c: str) -> Column:
         dt = dict(aligned.dtypes)[c]
@@ -304,14 +303,11 @@ def similarity(
     a = a.withColumn("_gt", F.when(ok, instruct_text(F.lit(task), F.col("_gl")))).withColumn(
         "_pt", F.when(ok, instruct_text(F.lit(task), F.col("_pl")))
     )
-    texts = (
-        a.select(F.col("_gt").alias("text")).union(a.select(F.col("_pt").alias("text")))
-        .where(F.col("text").isNotNull()).distinct()
-    )
-    checkpoint_root(aligned.sparkSession)
-    vecs = embed_texts(texts, embed).checkpoint()  # both sides read it: the plug-in runs once a text
-    gv = vecs.select(F.col("text").alias("_gt"), F.col("vec").alias("_gv"))
-    pv = vecs.select(F.col("text").alias("_pt"), F.col("vec").alias("_pv"))
+    texts = a.select(F.col("_gt").alias("text")).union(a.select(F.col("_pt").alias("text")))
+    vecs = embed_distinct(texts, embed)
+    a = a.withColumn("_gt", text_key("_gt")).withColumn("_pt", text_key("_pt"))
+    gv = vecs.select(F.col("key").alias("_gt"), F.col("vec").alias("_gv"))
+    pv = vecs.select(F.col("key").alias("_pt"), F.col("vec").alias("_pv"))
     j = a.join(gv, "_gt", "left").join(pv, "_pt", "left")
     return j.withColumn(score, F.coalesce(cosine("_gv", "_pv"), F.lit(0.0))).drop(
         "_gl", "_pl", "_gt", "_pt", "_gv", "_pv"

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from charlens.functions.text import py_strip
 from charlens.operators import mentions as MN
 from charlens.operators import retrieval as R
-from charlens.operators.inference import embed_texts, infer
+from charlens.operators.inference import embed_distinct, infer, text_key
 from charlens.session import checkpoint_root
 
 STRATEGIES = ("all_mentions", "embedding")
@@ -38,13 +38,11 @@ def select_passages(spark: SparkSession, mentions: DataFrame, characters: DataFr
     # every distinct passage text and query text is embedded once
     queries = R.attribute_queries(spark, characters.select(F.col("url"), F.col("name").alias("character")).distinct(),
                                   attrs)
-    texts = (mentions.select(F.col("passage").alias("text"))
-             .union(queries.select(F.col("query").alias("text"))).distinct())
-    checkpoint_root(spark)
-    vecs = embed_texts(texts, embed).checkpoint()  # both sides below read it: the plug-in runs once
-    pv = mentions.join(vecs.withColumnRenamed("text", "passage"), "passage").select(
-        *keys, F.col("mention_no").alias("passage_no"), F.col("vec").alias("embedding"))
-    qv = queries.join(vecs.withColumnRenamed("text", "query"), "query").select(
+    texts = mentions.select(F.col("passage").alias("text")).union(queries.select(F.col("query").alias("text")))
+    vecs = embed_distinct(texts, embed)  # both sides below read it: the plug-in runs once
+    pv = mentions.select(*keys, F.col("mention_no").alias("passage_no"), text_key("passage").alias("key")).join(vecs, "key").select(
+        *keys, "passage_no", F.col("vec").alias("embedding"))
+    qv = queries.select(*keys, "attr_no", text_key("query").alias("key")).join(vecs, "key").select(
         *keys, "attr_no", F.col("vec").alias("embedding"))
     top = R.top_passages(pv, qv, keys, k)
     order = R.ordered_union(top, keys)
