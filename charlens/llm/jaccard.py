@@ -2,33 +2,34 @@
 
 Tokens are a document's distinct word shingles (48-bit hashes).  Documents with equal
 token sets form a class; only class representatives are compared.  Tokens have a
-global order: rare first (by the number of classes that hold them, then by hash).
-
-With ``n`` tokens and similarity ``t`` a partner may lack at most ``(1-t) n`` tokens.
-A document indexes
-
-* single tokens that are rare, out of its first ``(1-t) n + 1``, and
-* where these do not fill that prefix, ``k = 2`` combinations of frequent tokens that
-  follow each other in the document, over an extended prefix.
-
-Combinations lose no pair.  Say X lacks ``a`` tokens of Y's and Y has ``b`` others;
-``n - a >= t (n + b)``, so ``2a + b <= 2 (1-t) n`` for t >= 0.5.  Without a shared
-rare token the ``r`` rare ones of X are among the ``a``.  Each frequent token of X that
-Y lacks breaks two neighbouring pairs of X, each extra token of Y one, so
-``2 (1-t) n - 2r + 2`` frequent tokens hold a pair that both have side by side.
-The argument holds for the document whose prefix ends first, and all the other's
-tokens up to there are in its own prefix.
+global order: rare first (by the number of classes that hold them, then by hash).  Up to
+``RARE`` classes a token is rare, up to ``OFTEN`` frequent, beyond that very frequent.
+
+A document indexes a prefix of its tokens in that order: rare tokens one by one, and
+where these do not suffice, runs of k neighbours: k = 2 for frequent tokens, k = 3 for
+very frequent ones.  The prefix ends where no partner can break all of it.  Say X has
+``n`` tokens, Y lacks ``a`` of them and has ``b`` others.  Similarity ``t`` means
+``n - a >= t (n + b)``, so ``a + t b <= (1-t) n``.  A missing token breaks one single or
+k runs, an extra one up to k - 1 runs; per unit of that budget at most
+``B = max(k, (k-1)/t)`` runs.  So ``r`` singles, ``r2`` runs of two and ``r3`` of three
+hold one that both have side by side if ``r + r2/B2 + r3/B3 > (1-t) n``.  The argument
+holds for the document whose prefix ends first, and all the other's tokens up to there
+are in its own prefix.  A document of few tokens cannot fill a prefix of runs of three;
+below ``least_for_three`` tokens the runs are of two, and documents whose partners may
+be that small index both ways.
 
 Verification and components.  A signature's members form a group; groups with the
 same members are one.  A group's members are first compared with its least and its
 greatest member only; links become components, and members of one component need no
-further comparison.  In groups of up to ``SMALL`` members that still span components,
-members of different components are then compared pair by pair: a bitmap of the tokens
-bounds the similarity from above inside the join, what passes is verified on the sets.
-Larger groups go in rounds: up to ``LEADERS`` members, those outside the group's largest
-component first, meet the members of other components and leave the group, until
-none spans two components.  So every pair that could link is verified, bounded away or
-already connected, and no group beyond ``SMALL`` is squared.
+further comparison.  Groups that still span components go in rounds: leaders, members
+outside the group's largest component first, meet the members of other components and
+leave the group, until no group spans two.  Each round has four times the leaders of
+the one before, so rounds grow with the logarithm of the largest group, and members
+that a round has connected are not compared by the next.  A pair that many signatures
+share meets at the least of them, as far as the ``FIRST`` least signatures of both
+tell.  Bitmaps, whose width grows with the set, then bound the similarity from above;
+what passes is verified on the sets.  So every pair that could link is verified,
+bounded away or already connected, at every size of group alike.
 """
 
 from __future__ import annotations
@@ -48,12 +49,12 @@ from charlens.llm.components import components
 U = np.uint64
 #: words of a shingle, least similarity in hundredths
 SHINGLE, SIMILARITY = 5, 75
-#: a token in more classes than this is frequent
-RARE = 16
-#: members of a group up to which they are compared pair by pair; members that meet all others in one round beyond that
-SMALL, LEADERS = 2048, 64
-#: 64-bit words of a token bitmap
-BITMAP = 16
+#: a token in more classes than this is frequent, very frequent
+RARE, OFTEN = 16, 256
+#: members of a group that meet all others in the first round
+LEADERS = 64
+#: least signatures of a document that tell whether a pair has met before
+FIRST = 16
 
 
 def token_sets(data: np.ndarray, off: np.ndarray, words: int):
@@ -106,17 +107,27 @@ def _once(table: pa.Table) -> pa.Table:
     return table.group_by(["chunk", "doc_id", "text"], use_threads=False).aggregate([])
 
 
+def _representatives(docs: pa.Table, ids: np.ndarray) -> pa.Table:
+    """The rows of a chunk whose id is among the sorted ids."""
+    return _once(docs.filter(pa.array(T.find(ids, docs.column("doc_id").to_numpy()) >= 0)))
+
+
 def _count_pass(words: int, bits: int):
-    """Chunk -> packed tokens with the number of texts that hold each."""
+    """Chunk and its representatives -> packed tokens with the number of texts that hold
+    each, and in a bucket of the chunk's own (below zero) the representatives' ids."""
     drop = U(48 - 32 - bits) if bits < 16 else U(0)
     key_bits = min(48, 32 + bits)
 
-    def run(table: pa.Table) -> pa.Table:
-        parts = [tok >> drop for _, tok in _chunk_sets(_once(table), words)]
-        key = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-        first, n = T.run_lengths(key)
-        return X.pack(table.column("chunk")[0].as_py(), bits, key_bits, key[first],
-                      many=np.minimum(n, 255).astype(np.uint8))
+    def run(key, docs: pa.Table, reps: pa.Table) -> pa.Table:
+        chunk = key[0].as_py()
+        ids = np.sort(reps.column("rep").to_numpy())
+        parts = [tok >> drop for _, tok in _chunk_sets(_representatives(docs, ids), words)]
+        tokens = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+        first, n = T.run_lengths(tokens)
+        packed = X.pack(chunk, bits, key_bits, tokens[first], many=np.minimum(n, 255).astype(np.uint8))
+        own = pa.table({"bucket": pa.array([-1 - chunk], pa.int32()), "chunk": pa.array([chunk], pa.int32()),
+                        "keys": pa.array([ids.tobytes()], pa.binary()), "many": pa.array([b""], pa.binary())})
+        return pa.concat_tables([packed, own])
 
     return run
 
@@ -125,6 +136,8 @@ def _total(kind):
     """Bucket -> for each chunk its tokens held by several texts, with their number."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < 0:
+            return table.select(["chunk", "bucket", "keys", "many"])
         key, row = X.unpack(table, keys=kind)
         many, _ = X.unpack(table, many=np.uint8)
         order = np.argsort(key, kind="stable")
@@ -137,24 +150,72 @@ def _total(kind):
     return run
 
 
-def prefix(n: int, similarity: int) -> int:
-    """Tokens of a set of ``n`` that must hold a token of every partner."""
-    return n - -(-similarity * n // 100) + 1
+def breaks(k: int, similarity: int) -> Fraction:
+    """Runs of ``k`` tokens that a unit of the difference can break at most."""
+    return max(Fraction(k), Fraction(100 * (k - 1), similarity))
+
+
+def least_for_three(similarity: int) -> float:
+    """Tokens from which runs of three always fill a prefix (three of a document's places start no run)."""
+    room = 1 - breaks(3, similarity) * Fraction(100 - similarity, 100)
+    return int(3 / room) + 1 if room > 0 else float("inf")
+
+
+def signatures(t: np.ndarray, d: np.ndarray, similarity: int, rare: int, often: float) -> list[np.ndarray]:
+    """Signatures of a set's tokens ``t``, held by ``d`` classes each, in the global order."""
+    left = Fraction((100 - similarity) * len(t), 100)
+    r, s = (int(np.searchsorted(d, x, "right")) for x in (rare, often))
+    one = t[:min(r, int(left) + 1)]
+    out = [T.mix(one[d[:len(one)] > 1])]
+    left -= r
+    for k, part in ((2, t[r:s]), (3, t[s:])):
+        if left < 0:
+            break
+        b = breaks(k, similarity)
+        run = part[:int(b * left) + k]
+        n = max(0, len(run) - k + 1)
+        h = np.full(n, U(k))
+        for j in range(k):
+            h = T.mix(h + run[j:j + n] * U(0x9E3779B97F4A7C15))
+        out.append(h)
+        left -= n / b
+    return out
+
+
+def map_words(n: int) -> int:
+    """64-bit words of the bitmap of a set of ``n`` tokens: 8 to 32 bits a token."""
+    words = 16
+    while 8 * n > 64 * words:
+        words *= 4
+    return words
+
 
+def bitmap(tokens: np.ndarray, words: int) -> np.ndarray:
+    """A bit per token; maps of one width differ in no more bits than sets do in tokens."""
+    out = np.zeros(64 * words, np.uint8)
+    out[(T.mix(tokens) % U(64 * words)).astype(np.int64)] = 1
+    return np.packbits(out).view(np.int64)
 
-def _index_pass(words: int, similarity: int, bits: int, rare: int):
-    """Chunk and token counts -> (doc_id, n, signatures, tokens) of texts with any signature."""
+
+def _index_pass(words: int, similarity: int, bits: int, rare: int, often: int):
+    """Chunk and token counts -> (cls, n, signs, tokens, bits, wide) of texts with any signature.
+
+    ``wide``: the bitmap as wide as that of the largest partner, empty where ``bits`` is.
+    """
     drop = U(48 - 32 - bits) if bits < 16 else U(0)
     key_bits = min(48, 32 + bits)
-    slack = Fraction(2 * (100 - similarity), 100)
+    three = least_for_three(similarity)
 
     def run(key, docs: pa.Table, counts: pa.Table) -> pa.Table:
         rows = sorted(zip(counts.column("bucket").to_pylist(), counts.column("keys").to_pylist(), counts.column("many").to_pylist()))
+        reps = np.concatenate([np.frombuffer(k, np.int64) for b, k, _ in rows if b < 0] or [np.zeros(0, np.int64)])
+        rows = [r for r in rows if r[0] >= 0]
         rest = key_bits - bits
         kind = np.uint32 if rest <= 32 else np.uint64
         known = np.concatenate([np.frombuffer(k, kind).astype(np.uint64) | U(b << rest) for b, k, _ in rows]) if rows else np.zeros(0, np.uint64)
         many = np.concatenate([np.frombuffer(m, np.int32) for _, _, m in rows]) if rows else np.zeros(0, np.int32)
-        docs = _once(docs)
+        del rows
+        docs = _representatives(docs, reps)
         ids, out = docs.column("doc_id").to_pylist(), []
         for doc, tok in _chunk_sets(docs, words) if len(known) else ():
             at = T.find(known, tok >> drop)
@@ -162,62 +223,56 @@ def _index_pass(words: int, similarity: int, bits: int, rare: int):
             first, size = T.run_lengths(doc)
             shared = np.add.reduceat((held > 1).astype(np.int64), first) if len(first) else first
             for f, n, s in zip(first.tolist(), size.tolist(), shared.tolist()):
-                p = prefix(n, similarity)
-                if n - s >= p:
+                if 100 * (n - s) > (100 - similarity) * n:
                     continue  # the prefix is full of tokens that no other class has
                 t, d = tok[f:f + n], held[f:f + n]
                 order = np.lexsort((t, d))
                 t, d = t[order], d[order]
-                r = int(np.searchsorted(d, rare, "right"))
-                one = t[:min(r, p)][d[:min(r, p)] > 1]
-                signs = [T.mix(one)]
-                if r < p:
-                    take = int(slack * n) - 2 * r + 2
-                    two = t[r:r + take]
-                    signs.append(T.mix(T.mix(two[:-1]) + two[1:] * U(0x9E3779B97F4A7C15)))
-                signs = np.concatenate(signs)
+                signs = signatures(t, d, similarity, rare, often) if n >= three else []
+                if similarity * n < 100 * three:
+                    signs = signs + signatures(t, d, similarity, rare, float("inf"))
+                signs = np.unique(np.concatenate(signs))
                 if len(signs):
-                    out.append((ids[doc[f]], n, signs.view(np.int64), np.sort(t).view(np.int64), bitmap(t).view(np.int64)))
+                    own, wide = map_words(n), map_words(100 * n // similarity)
+                    out.append((ids[doc[f]], n, signs.view(np.int64), np.sort(t).view(np.int64), bitmap(t, own),
+                                bitmap(t, wide) if wide > own else np.zeros(0, np.int64)))
         lists = lambda k: pa.ListArray.from_arrays(
             np.concatenate(([0], np.cumsum([len(x[k]) for x in out]))).astype(np.int32),
             pa.array(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64)))
         return pa.table({"cls": pa.array([x[0] for x in out], pa.int64()), "n": pa.array([x[1] for x in out], pa.int64()),
-                         "signs": lists(2), "tokens": lists(3), "bits": lists(4)})
+                         "signs": lists(2), "tokens": lists(3), "bits": lists(4), "wide": lists(5)})
 
     return run
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """A bit per token; maps differ in no more bits than sets do in tokens."""
-    spot = (T.mix(tokens) % U(64 * BITMAP)).astype(np.int64)
-    out = np.zeros(64 * BITMAP, np.uint8)
-    out[spot] = 1
-    return np.packbits(out).view(np.uint64)
-
-
 def classes(docs: DataFrame, words: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, cls): ``cls`` is the least id with an equal token set, null without tokens."""
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    """(doc_id, n_shingles, cls): ``cls`` is the least id with an equal token set, null without tokens or id."""
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     marks = X.cut(source.mapInArrow(_signatures(words), "doc_id bigint, n bigint, s1 bigint, s2 bigint"))
-    reps = marks.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cls"))
+    reps = marks.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cls"))
     same = [F.col(f"m.{c}") == F.col(f"r.{c}") for c in ("n", "s1", "s2")]
-    return marks.alias("m").join(reps.alias("r"), same, "left").select("m.doc_id", F.col("m.n").alias("n_shingles"), "r.cls")
+    return marks.alias("m").join(reps.alias("r"), same, "left").select(
+        "m.doc_id", F.col("m.n").alias("n_shingles"), F.when(F.col("m.doc_id").isNotNull(), F.col("r.cls")).alias("cls"))
 
 
 def candidates(docs: DataFrame, members: DataFrame, words: int = SHINGLE, similarity: int = SIMILARITY, rare: int = RARE,
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(cls, n, signs, tokens, bits) of the class representatives that could have a partner."""
-    reps = members.where("doc_id = cls").select(F.col("cls").alias("rep")).distinct()
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    source = source.join(reps, source["doc_id"] == reps["rep"], "left_semi")
+               often: int = OFTEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(cls, n, signs, tokens, bits, wide) of the class representatives that could have a partner.
+
+    Texts move once, to their chunks; each chunk is told its representatives.
+    """
     chunks = X.chunk_count(docs, text_col)
     bits = X.bucket_bits(chunks)
     kind = np.uint32 if min(48, 32 + bits) - bits <= 32 else np.uint64
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     texts = X.chunked(source, chunks).repartition(chunks, "chunk")
-    counts = (texts.groupBy("chunk").applyInArrow(_count_pass(words, bits), "bucket int, chunk int, keys binary, many binary")
+    reps = X.chunked(members.where("doc_id = cls").select("doc_id").distinct(), chunks, text="doc_id").select("chunk", F.col("doc_id").alias("rep"))
+    counts = (texts.groupBy("chunk").cogroup(reps.groupBy("chunk"))
+              .applyInArrow(_count_pass(words, bits), "bucket int, chunk int, keys binary, many binary")
               .groupBy("bucket").applyInArrow(_total(kind), "chunk int, bucket int, keys binary, many binary"))
     return texts.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(
-        _index_pass(words, similarity, bits, rare), "cls bigint, n bigint, signs array<bigint>, tokens array<bigint>, bits array<bigint>")
+        _index_pass(words, similarity, bits, rare, often),
+        "cls bigint, n bigint, signs array<bigint>, tokens array<bigint>, bits array<bigint>, wide array<bigint>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -234,12 +289,14 @@ def fits(na, nb, similarity: int):
     return 100 * F.least(na, nb) >= similarity * F.greatest(na, nb)
 
 
-def near(a, b, na, nb, similarity: int):
-    """Bitmaps whose difference allows the similarity."""
-    apart = F.lit(0)
-    for i in range(BITMAP):
-        apart = apart + F.bit_count(a[i].bitwiseXOR(b[i]))
-    return (100 + similarity) * apart <= (100 - similarity) * (na + nb)
+def near(pairs: DataFrame, maps: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose bitmaps, as wide as the larger set's, allow the similarity."""
+    side = lambda x: maps.select(F.col("cls").alias(x), *[F.col(c).alias(c + x) for c in ("n", "bits", "wide")])
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    width = F.when(F.col("na") > F.col("nb"), F.size("bitsa")).otherwise(F.size("bitsb"))
+    one, two = (F.when(F.size(f"bits{x}") == width, F.col(f"bits{x}")).otherwise(F.col(f"wide{x}")) for x in "ab")
+    apart = F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where((100 + similarity) * apart <= (100 - similarity) * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def grouped(found: DataFrame) -> DataFrame:
@@ -256,73 +313,72 @@ def grouped(found: DataFrame) -> DataFrame:
     return posts.join(kept, "sign")
 
 
-def link_components(found: DataFrame, similarity: int = SIMILARITY, small: int = SMALL, leaders: int = LEADERS) -> DataFrame:
+def link_components(found: DataFrame, similarity: int = SIMILARITY, leaders: int = LEADERS) -> DataFrame:
     """(node, component) over the candidates that link with any other."""
-    sets = found.select("cls", "n", "tokens")
+    sets, maps = found.select("cls", "n", "tokens"), found.select("cls", "n", "bits", "wide")
     posts = X.cut(grouped(found))
     ends = posts.groupBy("sign").agg(F.min(F.struct("cls", "n")).alias("lo"), F.max(F.struct("cls", "n")).alias("hi"))
     ends = ends.select("sign", F.explode(F.array("lo", "hi")).alias("e")).select("sign", F.col("e.cls").alias("a"), F.col("e.n").alias("na"))
     star = (posts.join(ends, "sign").where((F.col("cls") != F.col("a")) & fits(F.col("n"), F.col("na"), similarity))
             .select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct())
-    links = X.cut(verified(star, sets, similarity))
-    parts = X.cut(components(links))
+    parts = X.cut(components(verified(near(star, maps, similarity), sets, similarity)))
     groups = X.cut(_unfinished(posts, parts))
-    bits = found.select("cls", "bits")
     while not groups.isEmpty():
-        one = groups.where(F.col("c") <= small).withColumn("whole", F.lit(True)).drop("c")
-        large = groups.where(F.col("c") > small)
-        lead = None if large.isEmpty() else X.cut(_leading(large, leaders))
-        if lead is not None:
-            one = one.unionByName(lead.withColumn("whole", F.lit(False)))
-        one = one.join(bits, "cls").select("sign", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"),
-                                           F.col("bits").alias("ba"), "whole")
-        far = groups.join(bits, "cls")
-        met = one.join(far, (one["sign"] == far["sign"]) & (one["ca"] != far["component"]) & (~one["whole"] | (one["a"] < far["cls"]))
-                       & fits(one["na"], far["n"], similarity) & near(one["ba"], far["bits"], one["na"], far["n"], similarity))
-        pairs = met.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
-        fresh = X.cut(verified(pairs, sets, similarity))
+        rows = X.cut(_ranked(groups))
+        lead = rows.where(F.col("rank") <= leaders)
+        fresh = X.cut(verified(near(_meetings(lead, rows, similarity), maps, similarity), sets, similarity))
         if not fresh.isEmpty():
-            links = X.cut(links.unionByName(fresh))
-            parts = X.cut(components(links))
-        if lead is None:
-            break
-        left = large.join(lead.select("sign", "cls", "n"), ["sign", "cls", "n"], "left_anti").select("cls", "n", "sign")
-        groups = X.cut(_unfinished(left, parts))
+            parts = X.cut(components(fresh.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+        groups = X.cut(_unfinished(rows.where(F.col("rank") > leaders).select("cls", "n", "sign"), parts))
+        leaders *= 4
     return parts
 
 
-def _leading(large: DataFrame, leaders: int) -> DataFrame:
-    """(sign, cls, n, component): the first members of each group, those outside its largest component in front."""
-    most = large.groupBy("sign", "component").count().groupBy("sign").agg(F.max_by("component", F.struct("count", "component")).alias("most"))
-    rank = F.row_number().over(Window.partitionBy("sign").orderBy(F.col("component") == F.col("most"), "cls"))
-    return large.join(most, "sign").withColumn("rank", rank).where(F.col("rank") <= leaders).select("sign", "cls", "n", "component")
+def _ranked(groups: DataFrame) -> DataFrame:
+    """Members with their rank in the group, those outside its largest component in front,
+    and with those of their ``FIRST`` least signatures that come before the group's."""
+    most = groups.groupBy("sign", "component").count().groupBy("sign").agg(F.max_by("component", F.struct("count", "component")).alias("most"))
+    firsts = groups.groupBy("cls").agg(F.slice(F.array_sort(F.collect_set("sign")), 1, FIRST).alias("firsts"))
+    rank = F.row_number().over(Window.partitionBy("sign").orderBy(F.col("component") == F.col("most"), "cls", "n"))
+    before = F.filter("firsts", lambda x: x < F.col("sign"))
+    return groups.join(firsts, "cls").join(most, "sign").select("sign", "cls", "n", "component", before.alias("before"), rank.alias("rank"))
+
+
+def _meetings(lead: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): leaders with the members behind them in other components, at the pair's least signature."""
+    x = lead.select("sign", *[F.col(c).alias(c + "_x") for c in ("cls", "n", "component", "before", "rank")])
+    met = x.join(rows, "sign").where(
+        (F.col("component_x") != F.col("component")) & (F.col("rank_x") < F.col("rank"))
+        & fits(F.col("n_x"), F.col("n"), similarity) & ~F.arrays_overlap("before_x", "before"))
+    return met.select(F.least("cls_x", "cls").alias("a"), F.greatest("cls_x", "cls").alias("b")).distinct()
 
 
 def _unfinished(posts: DataFrame, parts: DataFrame) -> DataFrame:
-    """(sign, cls, n, component, c): members of the groups that span two components, c in number."""
+    """(sign, cls, n, component): members of the groups that span two components."""
     named = posts.join(parts.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn(
         "component", F.coalesce("component", "cls"))
-    split = (named.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"))
-             .where("lo != hi").select("sign", "c"))
-    return named.join(split, "sign").select("sign", "cls", "n", "component", "c")
+    split = (named.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo != hi").select("sign"))
+    return named.join(split, "sign").select("sign", "cls", "n", "component")
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: int = SIMILARITY, rare: int = RARE,
-                    small: int = SMALL, leaders: int = LEADERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, cls, component_id) of each row with an id.
+def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: int = SIMILARITY, rare: int = RARE, often: int = OFTEN,
+                    leaders: int = LEADERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, cls, component_id) of each row.
 
     ``cls``: least id with the same token set; ``component_id``: least id reachable by
     links of at least ``similarity`` hundredths (50 to 100).  A null or empty text, or
     one of white space, has no tokens, no class (null) and is its own component; a text
-    of fewer words than a shingle has one token.  Rows without an id are left out; rows
-    that repeat an id are compared each with its own text.  An empty table gives an
-    empty result; extra columns are ignored.
+    of fewer words than a shingle has one token.  A row without an id is linked with
+    nothing: its class and component are null; rows that repeat an id are compared each
+    with its own text.  An empty table gives an empty result; extra columns are ignored.
     """
     if not 50 <= similarity <= 100:
         raise ValueError("similarity must lie between 50 and 100 hundredths")
     members = X.cut(classes(docs, words, id_col, text_col))
-    found = X.cut(candidates(docs, members, words, similarity, rare, id_col, text_col))
-    parts = link_components(found, similarity, small, leaders)
+    path = X.scratch(docs.sparkSession, "jaccard")
+    candidates(docs, members, words, similarity, rare, often, id_col, text_col).write.parquet(path)
+    parts = link_components(docs.sparkSession.read.parquet(path), similarity, leaders)
     top = parts.select(F.col("node").alias("cls"), "component")
     return members.join(top, "cls", "left").select(
         "doc_id", "n_shingles", "cls", F.coalesce("component", "cls", "doc_id").alias("component_id"))

@@ -245,8 +245,8 @@ def brute_components(texts):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("rare,small,leaders", [(16, 2048, 64), (2, 3, 2)])
-def test_jaccard(spark, rare, small, leaders):
+@pytest.mark.parametrize("rare,often,leaders", [(16, 256, 64), (2, 256, 2), (2, 4, 1), (1, 2, 64)])
+def test_jaccard(spark, rare, often, leaders):
     rng = np.random.default_rng(rare)
     base = [f"v{i}" for i in rng.integers(0, 500, 60)]
     texts = {}
@@ -257,7 +257,7 @@ def test_jaccard(spark, rare, small, leaders):
         texts[i] = " ".join(w)
     texts |= {100: "", 101: " \n", 102: "a b", 103: "A  b", 104: "a b c"}
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df, rare=rare, small=small, leaders=leaders).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df, rare=rare, often=often, leaders=leaders).collect()}
     assert got == brute_components(texts)
 
 
@@ -274,8 +274,8 @@ def test_jaccard_repeated_rows(spark, again):
     assert len({c for _, c in want.values()}) == 20
     rows = list(texts.items())
     df = spark.createDataFrame(rows + [rows[i] for i in again], "doc_id bigint, text string")
-    for small, leaders in ((2048, 64), (2, 2)):
-        got = jaccard.near_duplicates(df, small=small, leaders=leaders).collect()
+    for often, leaders in ((256, 64), (3, 1)):
+        got = jaccard.near_duplicates(df, often=often, leaders=leaders).collect()
         assert len(got) == 40 + len(again) and {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(i, *v) for i, v in want.items()}
 
 
@@ -288,7 +288,7 @@ def test_jaccard_member_sets(spark):
 def test_jaccard_edges(edge, empty):
     rows = jaccard.near_duplicates(edge).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows] == [
-        (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4), (6, 29996, 6), (7, 29997, 6), (8, 1, 8)]
+        (None, 1, None), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4), (6, 29996, 6), (7, 29997, 6), (8, 1, 8)]
     assert jaccard.near_duplicates(empty).count() == 0
 
 
