@@ -21,14 +21,16 @@ be that small index both ways.
 Verification and components.  A signature's members form a group; groups with the
 same members are one.  A group's members are first compared with its least and its
 greatest member only; links become components, and members of one component need no
-further comparison.  Groups that still span components go in rounds: leaders, members
-outside the group's largest component first, meet the members of other components and
-leave the group, until no group spans two.  Each round has four times the leaders of
-the one before, so rounds grow with the logarithm of the largest group, and members
-that a round has connected are not compared by the next.  A pair that many signatures
+further comparison.  Groups that still span components go in rounds: leaders meet the
+members of other components and leave the group, until no group spans two.  Members
+outside the group's largest component lead first, those of most groups in front, so
+that groups of one family have the same leaders.  Each round has four times the
+leaders of the one before, so rounds grow with the logarithm of the largest group, and
+members that a round has connected are not compared by the next.  A pair that many signatures
 share meets at the least of them, as far as the ``FIRST`` least signatures of both
-tell.  Bitmaps, whose width grows with the set, then bound the similarity from above;
-what passes is verified on the sets.  So every pair that could link is verified,
+tell.  A narrow bitmap bounds the similarity from above where members meet, bitmaps
+whose width grows with the set bound that of the distinct pairs; what passes is
+verified on the sets.  So every pair that could link is verified,
 bounded away or already connected, at every size of group alike.
 """
 
@@ -53,6 +55,8 @@ SHINGLE, SIMILARITY = 5, 75
 RARE, OFTEN = 16, 256
 #: members of a group that meet all others in the first round
 LEADERS = 64
+#: 64-bit words of the narrow bitmap
+NARROW = 16
 #: least signatures of a document that tell whether a pair has met before
 FIRST = 16
 
@@ -184,7 +188,7 @@ def signatures(t: np.ndarray, d: np.ndarray, similarity: int, rare: int, often:
 
 def map_words(n: int) -> int:
     """64-bit words of the bitmap of a set of ``n`` tokens: 8 to 32 bits a token."""
-    words = 16
+    words = NARROW
     while 8 * n > 64 * words:
         words *= 4
     return words
@@ -198,7 +202,7 @@ def bitmap(tokens: np.ndarray, words: int) -> np.ndarray:
 
 
 def _index_pass(words: int, similarity: int, bits: int, rare: int, often: int):
-    """Chunk and token counts -> (cls, n, signs, tokens, bits, wide) of texts with any signature.
+    """Chunk and token counts -> (cls, n, signs, tokens, narrow, bits, wide) of texts with any signature.
 
     ``wide``: the bitmap as wide as that of the largest partner, empty where ``bits`` is.
     """
@@ -234,13 +238,13 @@ def _index_pass(words: int, similarity: int, bits: int, rare: int, often: int):
                 signs = np.unique(np.concatenate(signs))
                 if len(signs):
                     own, wide = map_words(n), map_words(100 * n // similarity)
-                    out.append((ids[doc[f]], n, signs.view(np.int64), np.sort(t).view(np.int64), bitmap(t, own),
+                    out.append((ids[doc[f]], n, signs.view(np.int64), np.sort(t).view(np.int64), bitmap(t, NARROW), bitmap(t, own),
                                 bitmap(t, wide) if wide > own else np.zeros(0, np.int64)))
         lists = lambda k: pa.ListArray.from_arrays(
             np.concatenate(([0], np.cumsum([len(x[k]) for x in out]))).astype(np.int32),
             pa.array(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64)))
         return pa.table({"cls": pa.array([x[0] for x in out], pa.int64()), "n": pa.array([x[1] for x in out], pa.int64()),
-                         "signs": lists(2), "tokens": lists(3), "bits": lists(4), "wide": lists(5)})
+                         "signs": lists(2), "tokens": lists(3), "narrow": lists(4), "bits": lists(5), "wide": lists(6)})
 
     return run
 
@@ -257,7 +261,7 @@ def classes(docs: DataFrame, words: int = SHINGLE, id_col: str = "doc_id", text_
 
 def candidates(docs: DataFrame, members: DataFrame, words: int = SHINGLE, similarity: int = SIMILARITY, rare: int = RARE,
                often: int = OFTEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(cls, n, signs, tokens, bits, wide) of the class representatives that could have a partner.
+    """(cls, n, signs, tokens, narrow, bits, wide) of the class representatives that could have a partner.
 
     Texts move once, to their chunks; each chunk is told its representatives.
     """
@@ -272,7 +276,7 @@ def candidates(docs: DataFrame, members: DataFrame, words: int = SHINGLE, simila
               .groupBy("bucket").applyInArrow(_total(kind), "chunk int, bucket int, keys binary, many binary"))
     return texts.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(
         _index_pass(words, similarity, bits, rare, often),
-        "cls bigint, n bigint, signs array<bigint>, tokens array<bigint>, bits array<bigint>, wide array<bigint>")
+        "cls bigint, n bigint, signs array<bigint>, tokens array<bigint>, narrow array<bigint>, bits array<bigint>, wide array<bigint>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -289,6 +293,12 @@ def fits(na, nb, similarity: int):
     return 100 * F.least(na, nb) >= similarity * F.greatest(na, nb)
 
 
+def may_link(a, b, na, nb, similarity: int):
+    """Narrow bitmaps whose difference allows the similarity."""
+    apart = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(NARROW)), F.lit(0))
+    return (100 + similarity) * apart <= (100 - similarity) * (na + nb)
+
+
 def near(pairs: DataFrame, maps: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose bitmaps, as wide as the larger set's, allow the similarity."""
     side = lambda x: maps.select(F.col("cls").alias(x), *[F.col(c).alias(c + x) for c in ("n", "bits", "wide")])
@@ -316,6 +326,7 @@ def grouped(found: DataFrame) -> DataFrame:
 def link_components(found: DataFrame, similarity: int = SIMILARITY, leaders: int = LEADERS) -> DataFrame:
     """(node, component) over the candidates that link with any other."""
     sets, maps = found.select("cls", "n", "tokens"), found.select("cls", "n", "bits", "wide")
+    narrow = found.select("cls", "n", "narrow")
     posts = X.cut(grouped(found))
     ends = posts.groupBy("sign").agg(F.min(F.struct("cls", "n")).alias("lo"), F.max(F.struct("cls", "n")).alias("hi"))
     ends = ends.select("sign", F.explode(F.array("lo", "hi")).alias("e")).select("sign", F.col("e.cls").alias("a"), F.col("e.n").alias("na"))
@@ -324,7 +335,7 @@ def link_components(found: DataFrame, similarity: int = SIMILARITY, leaders: int
     parts = X.cut(components(verified(near(star, maps, similarity), sets, similarity)))
     groups = X.cut(_unfinished(posts, parts))
     while not groups.isEmpty():
-        rows = X.cut(_ranked(groups))
+        rows = X.cut(_ranked(groups).join(narrow, ["cls", "n"]))
         lead = rows.where(F.col("rank") <= leaders)
         fresh = X.cut(verified(near(_meetings(lead, rows, similarity), maps, similarity), sets, similarity))
         if not fresh.isEmpty():
@@ -335,21 +346,22 @@ def link_components(found: DataFrame, similarity: int = SIMILARITY, leaders: int
 
 
 def _ranked(groups: DataFrame) -> DataFrame:
-    """Members with their rank in the group, those outside its largest component in front,
-    and with those of their ``FIRST`` least signatures that come before the group's."""
+    """Members with their rank in the group, those outside its largest component and of them
+    those of most groups in front, and with those of their ``FIRST`` least signatures that come before the group's."""
     most = groups.groupBy("sign", "component").count().groupBy("sign").agg(F.max_by("component", F.struct("count", "component")).alias("most"))
-    firsts = groups.groupBy("cls").agg(F.slice(F.array_sort(F.collect_set("sign")), 1, FIRST).alias("firsts"))
-    rank = F.row_number().over(Window.partitionBy("sign").orderBy(F.col("component") == F.col("most"), "cls", "n"))
+    firsts = groups.groupBy("cls").agg(F.slice(F.array_sort(F.collect_set("sign")), 1, FIRST).alias("firsts"), F.count("*").alias("held"))
+    rank = F.row_number().over(Window.partitionBy("sign").orderBy(F.col("component") == F.col("most"), F.desc("held"), "cls", "n"))
     before = F.filter("firsts", lambda x: x < F.col("sign"))
     return groups.join(firsts, "cls").join(most, "sign").select("sign", "cls", "n", "component", before.alias("before"), rank.alias("rank"))
 
 
 def _meetings(lead: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
     """(a, b): leaders with the members behind them in other components, at the pair's least signature."""
-    x = lead.select("sign", *[F.col(c).alias(c + "_x") for c in ("cls", "n", "component", "before", "rank")])
+    x = lead.select("sign", *[F.col(c).alias(c + "_x") for c in ("cls", "n", "component", "before", "rank", "narrow")])
     met = x.join(rows, "sign").where(
         (F.col("component_x") != F.col("component")) & (F.col("rank_x") < F.col("rank"))
-        & fits(F.col("n_x"), F.col("n"), similarity) & ~F.arrays_overlap("before_x", "before"))
+        & fits(F.col("n_x"), F.col("n"), similarity) & ~F.arrays_overlap("before_x", "before")
+        & may_link(F.col("narrow_x"), F.col("narrow"), F.col("n_x"), F.col("n"), similarity))
     return met.select(F.least("cls_x", "cls").alias("a"), F.greatest("cls_x", "cls").alias("b")).distinct()
 
 
