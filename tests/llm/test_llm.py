@@ -58,6 +58,14 @@ def test_ctw_base_and_blocks(docs, texts):
         assert r["score"] < 0 and r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2)
 
 
+def test_ctw_query_without_ids(spark, tmp_path):
+    spark.createDataFrame([(None, "a b"), (1, "a c"), (2, None), (4, "b")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in queries.op1_context_tree(spark, str(tmp_path)).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in (1, 2, 4)}
+    assert {i: r["held_out"] for i, r in rows.items()} == {None: False, **held}
+    assert rows[None]["train_tokens"] == sum(n for i, n in ((1, 3), (2, 1), (4, 2)) if not held[i])
+
+
 def brute_ctw(train, text):
     """Trees as dictionaries, weighted and mixed as in the definition."""
     frame = lambda t: [0xFF] * 5 + list(t.translate(LOW).encode()) + [0xFF]
