@@ -18,6 +18,9 @@ with SQL.  The weights of depth 0 and 1 (at most 65,535 nodes) are broadcast, th
 depth 2 joined to the buckets that need them.  Buckets answer each chunk with the code
 lengths of its own strings, and chunks add them up per text.  Word counts for the base
 score travel along.  Nothing that grows with the corpus is broadcast or collected.
+A task holds a chunk (16 MB of text) with its distinct strings and their answers; strings
+are made and looked up a piece of 256 KB at a time, however long the text.  Rows are
+dealt to chunks by id and text, so rows without an id, or with one id, spread.
 
 Defined cases: a null text is an empty text (one end, coded); rows without an id take
 part like others; repeated rows count each; without training texts every decision costs
@@ -26,8 +29,11 @@ one bit; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +41,9 @@ from charlens.llm import exchange as X
 from charlens.llm import textops as T
 
 DEPTH = 5
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
+#: bytes of text whose words, and whose strings, are in memory at a time
+BLOCK, PIECE = 512 << 10, 256 << 10
 U = np.uint64
 _FRAME = 0xFF
 #: the end token among word hashes
@@ -43,35 +51,58 @@ _END = U(0xE17D0000E17D0001)
 _HALF = float(np.log(0.5))
 
 
-def framed(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def framed(data: np.ndarray, off: np.ndarray, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(string, text index) of every coded byte: five bytes of context, the latest in
-    front, and the byte itself, in 48 bits."""
-    docs = len(off) - 1
+    front, and the byte itself, in 48 bits; about ``piece`` bytes at a time."""
     size = np.diff(off)
-    text = np.full(len(data) + 6 * docs, _FRAME, np.uint64)
-    doc = np.repeat(np.arange(docs), size)
-    text[np.arange(len(data)) + 6 * doc + 5] = data
-    coded = np.ones(len(text), bool)
-    front = off[:-1] + 6 * np.arange(docs)
+    front = off[:-1] + 6 * np.arange(len(size))
+    coded = np.ones(len(data) + 6 * len(size), bool)
     for j in range(5):
         coded[front + j] = False
-    at = np.flatnonzero(coded)
-    key = text[at]
-    for j in range(1, 6):
-        key = key | (text[at - j] << U(8 * (6 - j)))
-    return key, np.repeat(np.arange(docs), size + 1)
+    body = coded.copy()
+    body[front + 5 + size] = False
+    text = np.full(len(coded), _FRAME, np.uint8)
+    text[body] = data
+    del body
+    for a in range(0, len(text), piece):
+        low = max(a - 5, 0)
+        near = text[low:a + piece].astype(np.uint64)
+        at = np.flatnonzero(coded[a:a + piece]) + (a - low)
+        key = near[at]
+        for j in range(1, 6):
+            key |= near[at - j] << U(8 * (6 - j))
+        yield key, np.searchsorted(front, at + low, "right") - 1
 
 
 def _bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (T.mix((keys >> U(24)) + U(0x9E3779B97F4A7C15)) >> U(64 - bits)).astype(np.int64)
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key)
-    key, n = key[order], n[order]
-    first, _ = T.run_lengths(key)
-    return key[first], (np.add.reduceat(n, first) if len(first) else n)
+class Counts:
+    """Sorted distinct keys with summed counts; what comes in is merged when it outgrows them."""
+
+    def __init__(self):
+        self.key, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, one: int) -> None:
+        keys = np.sort(keys)
+        first, n = T.run_lengths(keys)
+        self.keys.append(keys[first])
+        self.counts.append(n * one)
+        self.waiting += len(first)
+        if self.waiting > max(len(self.key), 1 << 18):
+            self.merge()
+
+    def merge(self) -> None:
+        key, n = np.concatenate([self.key, *self.keys]), np.concatenate([self.n, *self.counts])
+        self.keys, self.counts, self.waiting = [], [], 0
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        first, _ = T.run_lengths(key)
+        self.key, self.n = key[first], (np.add.reduceat(n, first) if len(first) else n)
 
 
 def _count_pass(bits: int):
@@ -80,21 +111,22 @@ def _count_pass(bits: int):
     def run(table: pa.Table) -> pa.Table:
         data, off = T.text_buffer(table.column("text"))
         train = table.column("train").to_numpy().astype(np.int64)
-        kinds: list[tuple[list, list]] = [([], []), ([], [])]
-        for i, j in T.sub_blocks(off):
+        kinds = (Counts(), Counts())
+        for i, j in T.sub_blocks(off, BLOCK):
             w = T.Words(data[off[i]:off[j]], off[i:j + 1] - off[i], T.NON_SPACE)
             learn = train[i:j]
-            key, doc = framed(w.data, w.off)
             word = np.concatenate([w.hash, np.full(j - i, _END)])
-            for (keys, counts), k, t in ((kinds[0], key, learn[doc]), (kinds[1], word, np.concatenate([learn[w.doc], learn]))):
-                for part, one in ((k[t > 0], 1), (k[t == 0], 0)):
-                    part = np.sort(part)
-                    first, n = T.run_lengths(part)
-                    keys.append(part[first])
-                    counts.append(n * one)
+            use = np.concatenate([learn[w.doc], learn]) > 0
+            kinds[1].add(word[use], 1)
+            kinds[1].add(word[~use], 0)
+            for key, doc in framed(w.data, w.off):
+                use = learn[doc] > 0
+                kinds[0].add(key[use], 1)
+                kinds[0].add(key[~use], 0)
         out = []
-        for kind, (keys, counts) in enumerate(kinds):
-            key, n = _summed(keys, counts)
+        for kind, all_of in enumerate(kinds):
+            all_of.merge()
+            key, n = all_of.key, all_of.n
             bucket = _bucket_of(key, bits) if kind == 0 else (key >> U(64 - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             key, n, bucket = key[order], n[order], bucket[order]
@@ -229,16 +261,16 @@ def _mixed(level: DataFrame, above: DataFrame | None) -> DataFrame:
 
 
 def _length_pass(shared, bits: int):
-    """Bucket and its depth-2 mixtures -> for each chunk the log10 probability of its strings,
-    or log10(count + 1) of its words."""
+    """Bucket and its depth-2 mixtures -> for each chunk the log10 probability of its strings
+    (4 bytes each), or the training counts of its words (8 bytes each)."""
 
     def run(key, table: pa.Table, tops: pa.Table) -> pa.Table:
         one, n, every, row, at = _bucket_counts(table)
         if key[0].as_py() >> bits:
-            value = np.log10(n + 1.0)
+            value = n.astype(np.float64)
         else:
-            value = _log_probability(one, n, shared.value, tops)
-        return X.answers(table, row, keys=every, value=value[at].astype(np.float32))
+            value = _log_probability(one, n, shared.value, tops).astype(np.float32)
+        return X.answers(table, row, keys=every, value=value[at])
 
     return run
 
@@ -280,34 +312,41 @@ def _log_probability(keys: np.ndarray, n: np.ndarray, top: tuple, tops: pa.Table
     return np.log10(np.where(bit, p1, 1.0 - p1)).sum(axis=0)
 
 
+def _answered(found: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of packed answers and their values."""
+    key = np.frombuffer(b"".join(found.column("keys").to_pylist()), np.uint64)
+    value = np.frombuffer(b"".join(found.column("value").to_pylist()), kind)
+    order = np.argsort(key)
+    return key[order], value[order]
+
+
 def _score_pass(bits: int):
     """Chunk and its answers -> per text the model's score and the parts of the base score."""
 
     def run(key, docs: pa.Table, found: pa.Table) -> pa.Table:
-        buckets = np.array(found.column("bucket").to_pylist(), np.int64)
-        keys, row = X.unpack(found, keys=np.uint64)
-        value, _ = X.unpack(found, value=np.float32)
-        tables = []
-        for kind in (0, 1):
-            mine = (buckets[row] >> bits) == kind if len(row) else np.zeros(0, bool)
-            order = np.argsort(keys[mine])
-            tables.append((keys[mine][order], value[mine][order].astype(np.float64)))
+        words = pc.greater_equal(found.column("bucket"), pa.scalar(1 << bits, pa.int32()))
+        counts = _answered(found.filter(words), np.float64)
+        lengths = _answered(found.filter(pc.invert(words)), np.float32)
+        del found
         data, off = T.text_buffer(docs.column("text"))
         out: list[list] = [[], [], [], [], []]
-        for i, j in T.sub_blocks(off):
+        for i, j in T.sub_blocks(off, BLOCK):
             w = T.Words(data[off[i]:off[j]], off[i:j + 1] - off[i], T.NON_SPACE)
-            key48, doc = framed(w.data, w.off)
-            v = np.sort((key48 << U(16)) | doc.astype(np.uint64))
-            first, n = T.run_lengths(v)
-            own = v[first]
-            length = tables[0][1][np.searchsorted(tables[0][0], own >> U(16))]
-            out[0].append(np.bincount((own & U(0xFFFF)).astype(np.int64), weights=length * n, minlength=j - i))
+            score = np.zeros(j - i)
+            for string, doc in framed(w.data, w.off):
+                own = (string << U(16)) | doc.astype(np.uint64)
+                own.sort()
+                first, n = T.run_lengths(own)
+                own = own[first]
+                length = lengths[1][np.searchsorted(lengths[0], own >> U(16))]
+                score += np.bincount((own & U(0xFFFF)).astype(np.int64), weights=length * n, minlength=j - i)
+            out[0].append(score)
             word = np.concatenate([w.hash, np.full(j - i, _END)])
             of = np.concatenate([w.doc, np.arange(j - i)])
-            logs = tables[1][1][np.searchsorted(tables[1][0], word)]
-            out[1].append(np.bincount(of, weights=logs, minlength=j - i))
+            c = counts[1][np.searchsorted(counts[0], word)]
+            out[1].append(np.bincount(of, weights=np.log10(c + 1.0), minlength=j - i))
             out[2].append(np.bincount(of, minlength=j - i))
-            out[3].append(np.bincount(of[logs > 0], minlength=j - i))
+            out[3].append(np.bincount(of[c > 0], minlength=j - i))
             out[4].append(np.diff(w.off) + 1)
         cat = lambda k, kind: np.concatenate(out[k]).astype(kind) if out[k] else np.zeros(0, kind)
         return pa.table({"doc_id": docs.column("doc_id"), "train": docs.column("train"), "score": cat(0, np.float64), "logs": cat(1, np.float64),
@@ -325,7 +364,7 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     chunks = X.chunk_count(docs, text_col, chunk_bytes, per_partition=1)
     bits = X.bucket_bits(chunks)
-    chunk = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(chunks)).cast("int")
+    chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).cast("int")
     texts = docs.select(chunk.alias("chunk"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"),
                         F.coalesce(train, F.lit(False)).alias("train")).repartition(chunks, "chunk")
     path = X.scratch(spark, "ctw")

@@ -54,7 +54,7 @@ def test_ctw_base_and_blocks(docs, texts):
     for i, ws in tokens.items():
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(counts[w] > 0 for w in ws), n)
-        assert r["base_score"] == pytest.approx(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in ws), rel=1e-5)
+        assert r["base_score"] == pytest.approx(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in ws), rel=1e-12)
         assert r["score"] < 0 and r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2)
 
 
@@ -116,6 +116,33 @@ def test_ctw_scores(spark, empty):
     assert ctw.scored(empty, F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 7, 64, 1 << 18])
+def test_ctw_framed(piece):
+    words = ["", "a", "the cat", "été", "x" * 200, ""]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(w.encode()) for w in words])])
+    got = [(int(k), int(d)) for keys, docs in ctw.framed(data, off, piece) for k, d in zip(keys, docs)]
+    want = []
+    for d, w in enumerate(words):
+        f = bytes([0xFF] * 5) + w.encode() + b"\xff"
+        want += [(int.from_bytes(f[i - 5:i][::-1] + f[i:i + 1], "big"), d) for i in range(5, len(f))]
+    assert got == want
+
+
+def test_ctw_rows(spark):
+    """Repeated rows, rows without ids, a very long text and columns with the operator's names."""
+    long = " ".join(f"w{i % 977} the" for i in range(60000))
+    rows = [(1, "a b c", 7, "x"), (1, "a b c", 8, "y"), (None, "a b d", 9, None), (None, None, 1, "z"), (2, long, 3, "w")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, score bigint, chunk string")
+    got = ctw.scored(df, F.lit(True)).collect()
+    words = collections.Counter(w for _, t, *_ in rows for w in SPACED.findall(t or "") + ["\0end"])
+    assert len(got) == 5 and {r["train_tokens"] for r in got} == {sum(words.values())}
+    assert sorted(r["n_tokens"] for r in got) == [1, 4, 4, 4, 120001]
+    one, two = [r["score"] for r in got if r["doc_id"] == 1]
+    assert one == two < 0
+    assert all(np.isfinite(r["score"]) for r in got)
+
+
 def test_log_gamma():
     import math
     x = np.array([0.5, 1, 1.5, 7.25, 1e3, 1e7])
