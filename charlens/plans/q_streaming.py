@@ -16,7 +16,34 @@ from charlens.plans.registry import register
 from charlens.session import scratch_path
 from charlens.sources.fixtures import VIEWS, table, with_clause
 from charlens.sources.io import read_predictions, write_csv
-from charlens.streaming.jobs import stream_dedup, stream_repair
+from charlens.streaming.jobs import stream_dedup, stream_latest, stream_repair
+
+
+#: rounds in which rows arrive, whatever the time they span
+ROUNDS = 4
+
+
+def _sent(rows, arrives, later=0):
+    return rows.withColumn("arrives", arrives).withColumn("later", F.lit(later))
+
+
+def _arriving(spark, sent, name, run):
+    """What ``run`` (input, output, checkpoint) has written after its input came in ``ROUNDS``
+    rounds, equal spans of ``arrives``, ``later`` rounds late; null for no rows.
+
+    Each round is a new run of the stream from its checkpoint, as after a restart."""
+    base = scratch_path(spark, name)
+    src, out, ckpt = (os.path.join(base, x) for x in ("sent", "out", "ckpt"))
+    at = F.unix_micros("arrives")
+    low, high = sent.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        return None
+    span = (high - low) // ROUNDS + 1
+    sent = sent.withColumn("round", F.floor((at - low) / span) + F.col("later")).drop("arrives", "later")
+    for n in range(ROUNDS):
+        sent.where(F.col("round") == n).drop("round").write.mode("append").parquet(src)
+        run(src, out, ckpt)
+    return spark.read.parquet(out)
 
 
 def _raw_from_documents(spark):
@@ -55,24 +82,41 @@ def q_stream_dedup(spark, sf):
     """Every event is sent twice, the copy up to half an hour later; copies inside
     the watermark's hour are dropped, over several micro-batches.
 
-    The re-sent identity is the event id.  Events arrive in parts of ten days, the copies of
-    a part's last half hour with the next part; each part is a micro-batch of its own.
+    The re-sent identity is the event id; the copies of a round's last half hour arrive
+    with the next round.
+    """
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    again = F.expr("ts + interval 30 minutes")
+    sent = _sent(events, F.col("ts")).unionByName(_sent(events, again))
+    out = _arriving(spark, sent, "stream-dedup", lambda src, out, ckpt: stream_dedup(
+        spark, src, out, ckpt, events.schema, ["event_id"], "ts", "1 hour"))
+    return (events if out is None else out).select("event_id", "user_id", "event_type")
+
+
+@register(
+    "stream_latest",
+    """select event_id, user_id, upper(event_type) event_type, value * 2 "value", cast(1 as bigint) version, cast(2 as bigint) copies
+from events where ts + interval 2 hour <= date_trunc('milliseconds', (select max(ts) from events))""",
+)
+def q_stream_latest(spark, sf):
+    """I2, best of what was re-sent: each event comes as a draft and as a revised row a
+    quarter of an hour apart, the revised one first for half of the users; the revised row
+    is kept.  A third row of yet higher version comes two rounds late, behind the
+    watermark, and changes nothing.  Sessions of the last hours are still open.
     """
-    base = scratch_path(spark, "stream-dedup")
-    sent, out, ckpt = (os.path.join(base, x) for x in ("sent", "out", "ckpt"))
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    seconds, part = F.unix_seconds("ts"), 10 * 86400
-    first = events.withColumn("part", F.floor(seconds / part))
-    again = events.withColumn("part", F.floor((seconds + 1800) / part))
-    files = first.unionByName(again)
-    numbers = files.agg(F.min("part"), F.max("part")).first()
-    if numbers[0] is None:
-        return events.select("event_id", "user_id", "event_type")
-    # part by part, as the files would arrive: each run of the stream takes what is new
-    for n in range(numbers[0], numbers[1] + 1):
-        files.where(F.col("part") == n).drop("part").write.mode("append").parquet(sent)
-        stream_dedup(spark, sent, out, ckpt, events.schema, ["event_id"], "ts", "1 hour")
-    return spark.read.parquet(out).select("event_id", "user_id", "event_type")
+    soon = F.expr("ts + interval 15 minutes")
+    early = F.coalesce(F.col("user_id") % 2 == 1, F.lit(False))
+    row = lambda version, ts, kind, value: events.select(
+        "event_id", "user_id", F.lit(version).cast("bigint").alias("version"), ts.alias("ts"), kind.alias("event_type"), value.alias("value"))
+    draft = row(0, F.when(early, soon).otherwise(F.col("ts")), F.col("event_type"), F.col("value"))
+    revised = row(1, F.when(early, F.col("ts")).otherwise(soon), F.upper("event_type"), F.col("value") * 2)
+    late = row(2, soon, F.lit("late"), F.lit(-1.0))
+    sent = _sent(draft, F.col("ts")).unionByName(_sent(revised, F.col("ts"))).unionByName(_sent(late, F.col("ts"), later=2))
+    out = _arriving(spark, sent, "stream-latest", lambda src, out, ckpt: stream_latest(
+        spark, src, out, ckpt, draft.schema, ["event_id"], "ts", "version"))
+    found = draft.withColumn("copies", F.lit(0).cast("bigint")).limit(0) if out is None else out
+    return found.select("event_id", "user_id", "event_type", "value", "version", "copies")
 
 
 @register(
