@@ -74,11 +74,16 @@ def _labels(gold, pred, kind: str) -> tuple[Column, Column]:
     return F.lower(_c(gold).cast("string")), F.lower(_c(pred).cast("string"))
 
 
-def label_counts(aligned: DataFrame, gold="gold", pred="pred", kind: str = "string") -> DataFrame:
-    """Per-label (support, predicted, tp) in one pass: each row emits a gold
-    and a pred entry; one grouped sum with map-side combine."""
+def labelled(aligned: DataFrame, gold="gold", pred="pred", kind: str = "string", keep: Sequence[str] = ()) -> DataFrame:
+    """(*keep, g, p): the labels of each row, null where it has none."""
     g, p = _labels(gold, pred, kind)
-    rows = aligned.where(both_present(gold, pred)).select(g.alias("g"), p.alias("p"))
+    return aligned.select(*keep, g.alias("g"), p.alias("p"))
+
+
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """Per-label (support, predicted, tp) of labels ``g`` and ``p`` in one pass: each row
+    emits a gold and a pred entry; one grouped sum with map-side combine.  Counts of
+    disjoint sets of rows add up.  Rows without one of the labels do not count."""
     rows = rows.where(F.col("g").isNotNull() & F.col("p").isNotNull())
     ent = F.explode(
         F.array(
@@ -99,10 +104,19 @@ def label_counts(aligned: DataFrame, gold="gold", pred="pred", kind: str = "stri
     )
 
 
+def label_counts(aligned: DataFrame, gold="gold", pred="pred", kind: str = "string") -> DataFrame:
+    """Per-label (support, predicted, tp) of aligned rows."""
+    return pair_counts(labelled(aligned.where(both_present(gold, pred)), gold, pred, kind))
+
+
 def classification_report(aligned: DataFrame, gold="gold", pred="pred", kind: str = "string") -> DataFrame:
     """Per-label precision/recall/F1/support plus accuracy, macro and
     weighted averages; zero division gives 0; no aligned rows -> no rows."""
-    lc = label_counts(aligned, gold, pred, kind)
+    return report_of(label_counts(aligned, gold, pred, kind))
+
+
+def report_of(lc: DataFrame) -> DataFrame:
+    """The report of per-label counts."""
     prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     f1 = F.when(F.col("support") + F.col("predicted") > 0,
