@@ -154,11 +154,16 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, mode: str = "
     ``mode="documents"``: rows with a hit go.  ``mode="spans"``: the covered words
     go, the others stay joined by one space; untouched texts stay as they are.
     """
-    text = names.get("text_col", "text")
-    found = scan(docs, items, window, keep=tuple(docs.columns), **names)
+    id_col, text_col = names.pop("id_col", "doc_id"), names.pop("text_col", "text")
+    # the scan's own columns and the input's may have the same names
+    inner = {c: "doc_id" if c == id_col else "text" if c == text_col else f"kept_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in inner.items()])
+    found = scan(rows, items, window, keep=tuple(n for n in inner.values() if n.startswith("kept_")), **names)
     if mode == "documents":
-        return found.where(F.size("spans") == 0).select(*docs.columns)
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), 1)
-    inside = lambda i: F.exists("spans", lambda s: (i >= s["first"]) & (i < s["end"]))
-    cut = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.array_join(F.filter(words, lambda w, i: ~inside(i)), " "))
-    return found.withColumn("text", cut).select(*[F.col("text").alias(text) if c == text else F.col(c) for c in docs.columns])
+        found = found.where(F.size("spans") == 0)
+    else:
+        words = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), 1)
+        inside = lambda i: F.exists("spans", lambda s: (i >= s["first"]) & (i < s["end"]))
+        cut = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.array_join(F.filter(words, lambda w, i: ~inside(i)), " "))
+        found = found.withColumn("text", cut)
+    return found.select(*[F.col(name).alias(c) for c, name in inner.items()])

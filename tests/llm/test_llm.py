@@ -351,6 +351,19 @@ def test_decontamination(spark, docs, texts, slices):
         assert (r["n_words"], sum(s["end"] - s["first"] for s in r["spans"]), r["items"]) == brute_leaks(texts[r["doc_id"]], windows)
 
 
+@pytest.mark.parametrize("mode", ["documents", "spans"])
+def test_decontamination_clashing_names(spark, mode):
+    """Columns named like the operator's own come back as they were."""
+    leak = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"before {leak} after", 77, "keep", 5, None, "d"), (2, "clean words", 78, "this", 6, "x", None), (None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "key bigint, body string, n_words bigint, items string, spans bigint, `a.b` string, doc_id string")
+    items = spark.createDataFrame([("i1", leak)], "item_id string, text string")
+    got = decontam.clean(df, items, mode=mode, id_col="key", text_col="body")
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    want = rows[1:] if mode == "documents" else [(1, "before after", *rows[0][2:]), *rows[1:]]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_decontamination_edges(spark, edge, empty):
     items = spark.createDataFrame([(1, "Two, THREE"), (2, None), (3, "..."), (None, "one two")], "item_id bigint, text string")
     got = decontam.scan(edge, items, keep=("lang",)).collect()
