@@ -23,6 +23,14 @@ S = WS_CLASS  # Python's \s
 # and ": " (the last one by ":" alone), in this order:
 LOCATION_KEYS = ["continent", "country", "state", "city"]
 LOCATION_CATCH_ALL = "any other available location information"
+# What counts as noise around an object (H1): reasoning blocks, the head of a code
+# fence, a null written as in Python.
+THINK_BLOCK = r"(?s)<think>.*?</think>"
+FENCE_HEAD = r"```json" + S + "*"
+PYTHON_NULL = ":" + S + r"*None\b"
+# A list value in text that does not parse (H8): to the first bracket that a comma or a
+# line feed follows; the attribute's name stands for %s.
+LIST_VALUE = '(?s)"%s"' + S + "*:" + S + r"*\[(.*?)\](,|\n)"
 # ---------------------------------------------------------------------------
 
 STATUS_OK = "ok"
@@ -37,10 +45,10 @@ def _c(x) -> Column:
 
 def strip_noise(t: Column) -> Column:
     """H1: think blocks, code fences, ``: None`` -> ``: null``, outer blanks."""
-    t = F.regexp_replace(t, r"(?s)<think>.*?</think>", "")
-    t = F.regexp_replace(t, r"```json" + S + "*", "")
+    t = F.regexp_replace(t, THINK_BLOCK, "")
+    t = F.regexp_replace(t, FENCE_HEAD, "")
     t = F.replace(t, F.lit("```"), F.lit(""))
-    t = F.regexp_replace(t, ":" + S + r"*None\b", ": null")
+    t = F.regexp_replace(t, PYTHON_NULL, ": null")
     return py_strip(t)
 
 
@@ -183,7 +191,7 @@ def with_object(df: DataFrame, j: str, out: str) -> DataFrame:
 
 def _fallback_list(j: Column, attr: str) -> Column:
     """H8: rebuild the ``attr`` list from its key/value items."""
-    pat = f'(?s)"{attr}"' + S + "*:" + S + r"*\[(.*?)\](,|\n)"
+    pat = LIST_VALUE % attr
     whole = F.regexp_extract(j, pat, 0)
     raw = F.regexp_extract(j, pat, 1)
     vals = F.regexp_extract_all(
