@@ -66,8 +66,9 @@ def q_stream_repair(spark, sf):
     schema = table(spark, sf, "documents").schema
     base = scratch_path(spark, "stream-repair")
     out, ckpt = os.path.join(base, "out"), os.path.join(base, "ckpt")
-    stream_repair(spark, sf, out, ckpt, schema, ATTRS, to_raw=_raw_from_documents(spark),
-                  glob="documents.parquet")
+    # the table itself, one file or a folder of files: a filter on names sees only the files' own,
+    # and a stream takes a single file only by a pattern
+    stream_repair(spark, f"{sf}/documents.parque[t]", out, ckpt, schema, ATTRS, to_raw=_raw_from_documents(spark))
     r = spark.read.parquet(out)
     return r.select("doc_id", "status", "lang", F.array_join("tags", "|").alias("tags"),
                     F.col("type.is_human").alias("is_human"),

@@ -15,6 +15,13 @@ def test_stream_repair_equals_batch(spark):
     assert s == b
 
 
+def test_stream_repair_reads_a_table_of_several_files(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    rows.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = E.queries()["stream_repair"](spark, str(tmp_path))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in rows.collect())
+
+
 def test_stream_dedup_one_row_per_key(spark):
     df = E.queries()["stream_dedup"](spark, SF)
     ids = [r[0] for r in df.select("event_id").collect()]
