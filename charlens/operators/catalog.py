@@ -2,17 +2,20 @@
 title (case-insensitive substring) and list an author containing the wanted
 author's last name?
 
-The substring theta-join is blocked on character n-grams: each wanted title
-joins only the catalogue titles that share its *rarest* n-gram (frequencies
-from one aggregate over the catalogue), then the exact predicate is checked.
-Titles shorter than n use their whole text as the gram; an empty title is
-matched on authors alone.  No nested-loop or cartesian join is planned.
-
-Grams such as "the" stand in a large part of all titles.  A gram with more than
-1/``HEAVY`` of all postings is heavy, so there are fewer than ``HEAVY`` of them
-whatever the catalogue: only these are broadcast, their postings are dealt over
-as many salts as keep each share below that part, and the few wanted titles that
-have nothing rarer visit every share.
+The substring theta-join is an equi-join on starts of the wanted texts: the key of
+a wanted text is the text itself up to 16 code points, of a longer one its start of
+at least four fifths.  An entry sends a 64-bit hash of a substring only where some wanted
+text may begin: the first code points of all wanted texts, dealt to a fixed number of
+buckets, are broadcast with the key lengths that follow them.  Pairs that meet are few
+more than those that match, and the exact predicate is checked on them.  An empty
+title is matched on authors alone, last names against authors in the same way.  No
+nested-loop or cartesian join is planned.
+
+Texts such as "the" stand in a large part of all titles.  Keys are counted by length
+and a bucket of their hashes; a bucket with more than 1/``HEAVY`` of all postings is
+heavy, so there are fewer than ``HEAVY`` of them whatever the catalogue: only these are
+broadcast, their postings are dealt over as many salts as keep each share below that
+part, and the few wanted texts in them visit every share.
 """
 
 from __future__ import annotations
@@ -21,9 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from charlens.functions.text import last_token_lower, py_strip
-from charlens.session import checkpoint_root
-
-N = 3
+from charlens.session import checkpoint_root, scratch_path
+
+#: first code points of a key by which substrings are told apart before they move
+LEAD = 6
+#: buckets of such first code points: the rows of what is broadcast
+STARTS = 1 << 18
+#: buckets of the keys of a length whose postings are counted
+PARTS = 1 << 12
 #: a gram is heavy beyond this part of all postings
 HEAVY = 1024
 
@@ -43,7 +51,7 @@ def _grams(text: Column, n: Column | int) -> Column:
 def heavy_grams(freq: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """(k, g, cnt, salts) of the grams of ``freq`` (k, g, cnt) with more than 1/``heavy`` of all postings: fewer than ``heavy`` rows."""
     total = freq.agg(F.sum("cnt")).first()[0] or 1
-    share = total / heavy
+    share = max(1.0, total / heavy)
     return freq.where(F.col("cnt") > share).withColumn("salts", F.ceil(F.col("cnt") / share).cast("int"))
 
 
@@ -54,74 +62,87 @@ def salted(postings: DataFrame, heavy: DataFrame) -> DataFrame:
     return dealt.withColumn("salt", salt).drop("salts")
 
 
+def _key_length(n: Column) -> Column:
+    """Code points of a text of ``n`` that are its key: all of 16, else a multiple of a quarter of the power of two below."""
+    step = F.pow(F.lit(2), F.floor(F.log2(n)) - 2).cast("int")
+    return F.when(n <= 16, n).otherwise(n - n % step)
+
+
+def _part(k: Column, h: Column) -> list[Column]:
+    return [k.alias("k"), F.pmod(h, F.lit(PARTS)).alias("g")]
+
+
+def _postings(texts: DataFrame, starts: DataFrame, leads: list[int]) -> DataFrame:
+    """(cid, k, g, h): a hash ``h`` of each substring of ``texts`` (cid, x) of length ``k`` with which a wanted text may begin."""
+    ln = F.length("x")
+    at = texts.where(ln > 0).select("cid", "x", F.explode(F.sequence(F.lit(1), ln)).alias("i"))
+    at = at.select("cid", "x", "i", F.explode(F.array(*map(F.lit, leads))).alias("m")).where(F.col("i") + F.col("m") <= ln + 1)
+    at = at.withColumn("b", _start(F.substring("x", F.col("i"), F.col("m")))).join(F.broadcast(starts), "b")
+    at = at.select("cid", "x", "i", "m", F.explode("lens").alias("k"))
+    at = at.where((F.least("k", F.lit(LEAD)) == F.col("m")) & (F.col("i") + F.col("k") <= ln + 1))
+    at = at.select("cid", "k", F.xxhash64(F.substring("x", F.col("i"), F.col("k"))).alias("h"))
+    return at.select("cid", *_part(F.col("k"), F.col("h")), "h")
+
+
+def _start(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(STARTS))
+
+
+def occurrences(want: DataFrame, texts: DataFrame, w: str) -> DataFrame:
+    """Rows of ``want`` with the ``cid`` of every row of ``texts`` (cid, x) that contains the
+    text ``w`` of at least one code point, and of few that do not: the caller checks."""
+    keyed = want.withColumn("k", _key_length(F.length(w))).withColumn("h", F.xxhash64(F.substring(w, F.lit(1), F.col("k"))))
+    lead = F.least("k", F.lit(LEAD))
+    starts = keyed.groupBy(_start(F.substring(w, F.lit(1), lead)).alias("b")).agg(F.collect_set("k").alias("lens")).checkpoint()
+    # the lengths that the first code points of a key have: LEAD numbers at most
+    leads = sorted(r[0] for r in keyed.select(lead).distinct().collect())
+    if not leads:
+        return want.withColumn("cid", F.lit(None).cast("bigint")).limit(0)
+    postings = _postings(texts, starts, leads)
+    heavy = heavy_grams(postings.groupBy("k", "g").agg(F.count("*").alias("cnt")).checkpoint())
+    probes = keyed.withColumn("g", _part(F.col("k"), F.col("h"))[1]).join(F.broadcast(heavy.select("k", "g", "salts")), ["k", "g"], "left")
+    probes = probes.select(*want.columns, "h", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    return probes.join(salted(postings, heavy).select("cid", "h", "salt"), ["h", "salt"]).select(*want.columns, "cid")
+
+
 def flag_in_catalog(books: DataFrame, catalog: DataFrame, title: str = "title", author: str = "author",
-                    cat_title: str = "title", cat_authors: str = "authors", n: int = N) -> DataFrame:
+                    cat_title: str = "title", cat_authors: str = "authors") -> DataFrame:
     """Add ``found`` to ``books`` (null title -> false)."""
-    checkpoint_root(books.sparkSession)
+    spark = books.sparkSession
+    checkpoint_root(spark)
     want = books.select(title, author).distinct().select(
-        F.col(title).alias("w_title"), F.col(author).alias("w_author"),
         F.lower(py_strip(F.col(title))).alias("t"), last_token_lower(F.col(author)).alias("ln"),
-    ).where(F.col("t").isNotNull()).checkpoint()  # read by several branches below, the books' own plan once
-    cat = catalog.select(
+    ).where(F.col("t").isNotNull()).distinct().checkpoint()  # read by several branches below, the books' own plan once
+    # read by several branches too: a table, so that each reads its columns only
+    path = scratch_path(spark, "catalog")
+    authors = F.transform(F.coalesce(F.col(cat_authors), F.array().cast("array<string>")), lambda a: F.lower(a))
+    catalog.select(
         F.lower(py_strip(F.coalesce(F.col(cat_title), F.lit("")))).alias("ct"),
-        F.transform(F.coalesce(F.col(cat_authors), F.array().cast("array<string>")), lambda a: F.lower(a))
-        .alias("ca"),
-    ).withColumn("cid", F.xxhash64("ct", "ca")).withColumn(
         # authors joined by a line feed: a last name has no whitespace, so it
         # is contained in the joined text iff it is contained in one author
-        "ca_text", F.array_join("ca", "\n")).repartition("cid")
-    # gram index of the catalogue: all n-grams, plus the shorter grams equal
-    # to some wanted title shorter than n (a set bounded by construction --
-    # strings of fewer than n characters -- so it is broadcast and filters
-    # the short grams in the same stage, before any shuffle)
-    cg = cat.select("cid", F.explode(_grams(F.col("ct"), n)).alias("g")).withColumn("k", F.lit(n))
-    if n > 1:
-        short = want.where((F.length("t") > 0) & (F.length("t") < n)).select(
-            F.length("t").alias("k"), F.col("t").alias("g")).distinct()
-        cs = cat.select("cid", F.explode(F.array(*[
-            F.struct(F.lit(k).alias("k"), _grams(F.col("ct"), k).alias("gs")) for k in range(1, n)
-        ])).alias("x")).select("cid", F.col("x.k").alias("k"), F.explode("x.gs").alias("g"))
-        cg = cg.unionByName(cs.join(short, ["k", "g"], "left_semi"))
-    freq = cg.groupBy("k", "g").agg(F.count("*").alias("cnt")).checkpoint()
-    heavy = heavy_grams(freq)
-    wk = F.least(F.length("t"), F.lit(n))
-    wg = want.where(F.length("t") > 0).select("t", "ln", wk.alias("k"), F.explode(_grams(F.col("t"), n)).alias("g"))
-    # heavy grams, frequent among the wanted titles too, get their count without a shuffle by gram
-    known = wg.join(F.broadcast(heavy), ["k", "g"], "left")
-    some = known.where(F.col("cnt").isNull()).select("t", "ln", "k", "g").join(freq, ["k", "g"]).withColumn("salts", F.lit(1))
-    counted = some.unionByName(known.where(F.col("cnt").isNotNull()))
-    rare = counted.groupBy("t", "ln").agg(F.min_by(F.struct("k", "g", "salts"), F.struct("cnt", "k", "g")).alias("r"))
-    probes = rare.select("t", "ln", "r.k", "r.g", F.explode(F.sequence(F.lit(0), F.col("r.salts") - 1)).alias("salt"))
-    cand = probes.join(salted(cg, heavy), ["k", "g", "salt"])
-    cand = cand.join(cat, "cid")
-    hit_author = (F.size("ca") > 0) & F.contains(F.col("ca_text"), F.col("ln"))
-    hits = cand.where(F.contains(F.col("ct"), F.col("t")) & hit_author).select("t", "ln").distinct()
-    # empty title: contained in every catalogue title, so only authors decide
-    any_author = cat.select(F.explode("ca").alias("a"))
-    empty = want.where(F.length("t") == 0).select("t", "ln").distinct()
-    e_hits = _empty_title_hits(empty, any_author)
-    found = hits.unionByName(e_hits).distinct().withColumn("_found", F.lit(True))
+        F.array_join(authors, "\n").alias("ca"), (F.size(authors) > 0).alias("by"),
+    ).where("by").select("ct", "ca", F.xxhash64("ct", "ca").alias("cid")).write.parquet(path)
+    cat = spark.read.parquet(path)
+    titled = want.where(F.length("t") > 0)
+    cand = occurrences(titled, cat.select("cid", F.col("ct").alias("x")), "t")
+    hits = cand.join(cat, "cid").where(F.contains("ct", "t") & F.contains("ca", "ln")).select("t", "ln").distinct()
+    empty = want.where(F.length("t") == 0)
+    if not empty.isEmpty():  # an empty title is contained in every one, so only authors decide
+        hits = hits.unionByName(_empty_title_hits(empty, cat.select("cid", F.col("ca").alias("x"))))
+    found = hits.withColumn("_found", F.lit(True))
     keyed = books.withColumn("t", F.lower(py_strip(F.col(title)))).withColumn("ln", last_token_lower(F.col(author)))
     out = keyed.join(found, ["t", "ln"], "left")
     return out.withColumn("found", F.coalesce("_found", F.lit(False))).drop("t", "ln", "_found")
 
 
 def _empty_title_hits(empty: DataFrame, authors: DataFrame) -> DataFrame:
-    """Empty wanted title: found iff some catalogue author contains the last
-    name; blocked on the last name's rarest n-gram like titles."""
+    """Empty wanted title: found iff the last name is part of an author of ``authors`` (cid, x)."""
     # last name '' is contained in any author: found iff any author exists
     # (an uncorrelated EXISTS subquery, planned as a filter, not a join)
-    e_blank = empty.where((F.col("ln") == "") & authors.exists())
-    # otherwise block on every gram length a last name may use
-    ag = authors.select("a", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), _grams(F.col("a"), k).alias("gs")) for k in range(1, N + 1)
-    ])).alias("x")).select("a", F.col("x.k").alias("k"), F.explode("x.gs").alias("g")).distinct()
-    nonblank = empty.where(F.col("ln") != "")
-    lk = F.least(F.length("ln"), F.lit(N))
-    lg = nonblank.select("t", "ln", lk.alias("k"), F.explode(_grams(F.col("ln"), lk)).alias("g"))
-    cand = lg.join(ag, ["k", "g"])
-    e_named = cand.where(F.contains(F.col("a"), F.col("ln"))).select("t", "ln").distinct()
-    return e_blank.select("t", "ln").unionByName(e_named)
+    blank = empty.where((F.col("ln") == "") & authors.exists())
+    authors = authors.select(F.explode(F.split("x", "\n")).alias("x")).distinct().select(F.xxhash64("x").alias("cid"), "x")
+    named = occurrences(empty.where(F.col("ln") != ""), authors, "ln").join(authors, "cid")
+    return blank.unionByName(named.where(F.contains("x", "ln")).select("t", "ln").distinct())
 
 
 def found_share(flagged: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from charlens.operators import graph as G
 from charlens.operators.relational import dedup_first, top_n
 from charlens.plans.dataset_job import build_dataset
 from charlens.plans.registry import register
-from charlens.session import scratch_path
+from charlens.session import checkpoint_root, scratch_path
 from charlens.sources import io
 from charlens.sources.fixtures import VIEWS, view, with_clause
 
@@ -207,10 +207,11 @@ def dataset_found_books(spark, sf):
     """C3 -> E1 -> C7 -> B7: books without catalogue id found in the catalogue."""
     from charlens.operators.catalog import flag_in_catalog
 
+    checkpoint_root(spark)
     st, lb = _st(spark, sf)
     cat = view(spark, sf, "book_catalog").select("title", F.array("author").alias("authors"))
     bn = dedup_first(G.match_books(st, lb, CUTOFF, GENRE, has_catalog_id=False).select("title", "author", "book"),
-                     ["title", "author"], ["book"])
+                     ["title", "author"], ["book"]).checkpoint()  # read twice by the match
     return flag_in_catalog(bn, cat).where(F.col("found")).select("title", "author", "book")
 
 

@@ -62,3 +62,24 @@ def test_heavy_gram_is_dealt_over_tasks(spark):
     got = {(r["title"], r["author"]): r["found"] for r in flag_in_catalog(books, catalog).collect()}
     assert got == {(t, a): any(t.lower().strip() in c and a.lower().split()[-1] in "a. writer" for c in titles) for t, a in got}
     assert got["the", "B Writer"] and not got["the ", "nobody"]
+
+
+def test_numbered_titles_meet_few_entries(spark):
+    """Titles that share all their short grams: pairs that meet stay near those that match, no text is lost."""
+    from charlens.operators.catalog import occurrences
+
+    rnd = random.Random(7)
+    numbers = rnd.sample(range(100_000), 800)
+    entries = [f"the complete title {n}" for n in numbers] + [f"of the collected letters and papers, volume {n}" for n in numbers[:300]] + ["", "\u00e9t\u00e9 \u5c71"]
+    wanted = [f"title {n}" for n in numbers[:500]] + [str(n) for n in numbers[::9]] + [f"collected letters and papers, volume {n}" for n in numbers[200:400]] + ["e", "t\u00e9 \u5c71", "the", "zzz"]
+    texts = spark.createDataFrame(list(enumerate(entries)), "cid bigint, x string")
+    met = {(r["t"], r["cid"]) for r in occurrences(spark.createDataFrame([(w,) for w in wanted], "t string"), texts, "t").collect()}
+    match = {(w, i) for w in wanted for i, e in enumerate(entries) if w in e}
+    assert match <= met and len(met) < 1.5 * len(match) + 10 * len(wanted)
+
+
+def test_empty_titles_match_on_authors(spark):
+    books = spark.createDataFrame([("", "A B Carpenter"), (" ", "x Nobody"), ("", "enter"), ("Lost", "x Smith")], "title string, author string")
+    catalog = spark.createDataFrame([("Any", ["Carpenter, A.", "Smith"]), (None, [None]), ("Other", None)], "title string, authors array<string>")
+    got = {(r["title"], r["author"]): r["found"] for r in flag_in_catalog(books, catalog).collect()}
+    assert got == {("", "A B Carpenter"): True, (" ", "x Nobody"): False, ("", "enter"): True, ("Lost", "x Smith"): False}
