@@ -93,7 +93,8 @@ def infer(prompts: DataFrame, model_fn: Callable[[list[str]], list[str]], prompt
     return out.select(
         *[F.col(c) for c in prompts.columns],
         F.col("out").alias(output_col),
-        F.when(F.col(prompt_col).isNull(), F.lit("skipped")).otherwise(F.col("status")).alias("status"),
+        # by the key, so that a prompt the caller drops does not move in the join
+        F.when(F.col("_pkey").isNull(), F.lit("skipped")).otherwise(F.col("status")).alias("status"),
     )
 
 
@@ -110,6 +111,12 @@ def embed_distinct(texts: DataFrame, embed: Callable[[pd.Series], pd.Series], te
     not run the plug-in again."""
     checkpoint_root(texts.sparkSession)
     each = texts.where(F.col(text_col).isNotNull()).groupBy(text_key(text_col).alias("key")).agg(F.first(text_col).alias("text"))
+    return embed_keyed(each, embed)
+
+
+def embed_keyed(each: DataFrame, embed: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """(key, vec) of ``each`` (key, text), whose texts are distinct; checkpointed."""
+    checkpoint_root(each.sparkSession)
     udf = F.pandas_udf(embed, "array<float>")
     return each.select("key", udf("text").alias("vec")).checkpoint()
 

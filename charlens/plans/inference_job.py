@@ -18,38 +18,48 @@ from pyspark.sql import functions as F
 from charlens.functions.text import py_strip
 from charlens.operators import mentions as MN
 from charlens.operators import retrieval as R
-from charlens.operators.inference import embed_distinct, infer, text_key
+from charlens.operators.inference import embed_distinct, embed_keyed, infer, text_key
 from charlens.session import checkpoint_root
 
 STRATEGIES = ("all_mentions", "embedding")
 
 
-def select_passages(spark: SparkSession, mentions: DataFrame, characters: DataFrame, attrs: Sequence[str],
+def select_passages(spark: SparkSession, blocks: DataFrame, places: DataFrame, characters: DataFrame, attrs: Sequence[str],
                     strategy: str, embed: Callable[[pd.Series], pd.Series] | None = None,
-                    k: int = 10) -> DataFrame:
-    """(url, character, passages) for every character that has mentions."""
+                    window: int = 200, k: int = 10) -> DataFrame:
+    """(url, character, passages) for every character that has mentions, from ``place_mentions``.
+
+    Passages overlap and are many times the books: they are cut where they are used and
+    never stored before the choice."""
     if strategy == "all_mentions":
-        return R.all_passages(mentions)
+        return R.all_passages(MN.cut_passages(blocks, places, window))
     if strategy != "embedding":
         raise ValueError(f"unknown strategy {strategy!r}; expected one of {STRATEGIES}")
     if embed is None:
         raise ValueError("the embedding strategy needs an embed plug-in")
+    checkpoint_root(spark)
     keys = ["url", "character"]
-    # every distinct passage text and query text is embedded once
+    row = [*keys, "mention_no"]
+    # every distinct passage text and query text is embedded once: passages meet by their
+    # keys alone, and the first of equal ones is cut again for the plug-in
+    places = places.where(F.col("character").isNotNull())  # no query asks for others
+    keyed = MN.cut_passages(blocks, places, window).select(*row, text_key("passage").alias("key")).checkpoint()
+    first = keyed.groupBy("key").agg(F.min(F.struct(*row)).alias("f")).select("f.*")
+    texts = MN.cut_passages(blocks, places.join(first, row, "left_semi"), window)
+    vecs = embed_keyed(texts.select(text_key("passage").alias("key"), F.col("passage").alias("text")), embed)
+    vecs = vecs.groupBy("key").agg(F.first("vec").alias("vec"))  # a book listed twice gives its passages twice
     queries = R.attribute_queries(spark, characters.select(F.col("url"), F.col("name").alias("character")).distinct(),
                                   attrs)
-    texts = mentions.select(F.col("passage").alias("text")).union(queries.select(F.col("query").alias("text")))
-    vecs = embed_distinct(texts, embed)  # both sides below read it: the plug-in runs once
-    pv = mentions.select(*keys, F.col("mention_no").alias("passage_no"), text_key("passage").alias("key")).join(vecs, "key").select(
-        *keys, "passage_no", F.col("vec").alias("embedding"))
-    qv = queries.select(*keys, "attr_no", text_key("query").alias("key")).join(vecs, "key").select(
+    pv = keyed.join(vecs, "key").select(*keys, F.col("mention_no").alias("passage_no"), F.col("vec").alias("embedding"))
+    qv = queries.select(*keys, "attr_no", text_key("query").alias("key")).join(embed_distinct(queries, embed, "query"), "key").select(
         *keys, "attr_no", F.col("vec").alias("embedding"))
     top = R.top_passages(pv, qv, keys, k)
-    order = R.ordered_union(top, keys)
-    sel = order.join(mentions.select(*keys, F.col("mention_no").alias("passage_no"), "passage"),
-                     keys + ["passage_no"])
+    order = R.ordered_union(top, keys).withColumnRenamed("passage_no", "mention_no")
+    # only what was chosen is cut; its place in the choice stands for its number
+    chosen = places.join(order, row).drop("mention_no").withColumnRenamed("sel_order", "mention_no")
+    sel = MN.cut_passages(blocks, chosen, window)
     return sel.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("sel_order", "passage"))),
+        F.transform(F.array_sort(F.collect_list(F.struct("mention_no", "passage"))),
                     lambda s: s["passage"]).alias("passages"))
 
 
@@ -59,22 +69,26 @@ def run_inference(spark: SparkSession, books: DataFrame, characters: DataFrame,
                   k: int = 10) -> DataFrame:
     """Predictions ``(book, character, output, status, mentions_counter,
     selected_passages)``; ``characters(url, name, aliases array)``."""
-    # mentions feed several branches (counts, selection, excerpts): written
+    # the places of the mentions feed several branches (counts, selection): written
     # once to the shared checkpoint folder instead of being recomputed, and a
-    # lost executor does not send the job back to the books
+    # lost executor does not send the search back to the books
     checkpoint_root(spark)  # the session's shared folder (set only when unset)
-    mentions = MN.extract_mentions(books, characters, window).checkpoint()
-    counts = MN.mention_counts(characters.join(books.select("url"), "url", "left_semi"), mentions)
-    sel = select_passages(spark, mentions, characters, attrs, strategy, embed, k).select(
+    blocks, places = MN.place_mentions(books, characters, window)
+    places = places.checkpoint()
+    # as many as passages: those of a book listed twice count twice
+    counts = MN.mention_counts(characters.join(books.select("url"), "url", "left_semi"), blocks.select("url", "block").join(places, ["url", "block"]))
+    sel = select_passages(spark, blocks, places, characters, attrs, strategy, embed, window, k).select(
         "url", "character", "passages")
+    # checkpointed before the (expensive, retried) model calls
     rows = counts.join(sel, ["url", "character"], "left").withColumn(
-        "passages", F.coalesce("passages", F.array().cast("array<string>")))
+        "passages", F.coalesce("passages", F.array().cast("array<string>"))).checkpoint()
     exc = R.excerpts(F.col("passages"))
-    rows = rows.withColumn(
-        "prompt", F.when(py_strip(exc) != "", R.build_prompt(F.col("character"), exc, attrs)))
-    # prompts are checkpointed before the (expensive, retried) model calls
-    out = infer(rows.checkpoint(), model_fn)
+    prompts = rows.select("url", "character", F.when(py_strip(exc) != "", R.build_prompt(F.col("character"), exc, attrs)).alias("prompt"))
+    # the passages stay where they are: answers come to them by the character
+    out = rows.join(infer(prompts, model_fn).drop("prompt"), ["url", "character"], "left")
     return out.select(
-        F.col("url").alias("book"), "character", "output", "status",
+        F.col("url").alias("book"), "character", "output",
+        # no mention has a null book or name, so what meets no answer had no prompt
+        F.coalesce("status", F.lit("skipped")).alias("status"),
         "mentions_counter", F.col("passages").alias("selected_passages"),
     )
