@@ -7,6 +7,7 @@ doing whole-document string operations (no per-token Python loop).
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -47,17 +48,22 @@ def tokens(x) -> Column:
 
 
 # ---- S1 accent folding -------------------------------------------------------
-_MN_TABLE: dict[int, None] | None = None
+_MARKS: re.Pattern | None = None
 
 
-def _mn_table() -> dict[int, None]:
-    """Deletion table of all non-spacing marks (Unicode category Mn), built by rule."""
-    global _MN_TABLE
-    if _MN_TABLE is None:
-        _MN_TABLE = {
-            cp: None for cp in range(0x110000) if unicodedata.category(chr(cp)) == "Mn"
-        }
-    return _MN_TABLE
+def _marks() -> re.Pattern:
+    """Runs of non-spacing marks (Unicode category Mn), ranges built by rule."""
+    global _MARKS
+    if _MARKS is None:
+        runs: list[list[int]] = []
+        for cp in range(0x110000):
+            if unicodedata.category(chr(cp)) == "Mn":
+                if runs and runs[-1][1] == cp - 1:
+                    runs[-1][1] = cp
+                else:
+                    runs.append([cp, cp])
+        _MARKS = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]+")
+    return _MARKS
 
 
 def fold_str(s: str) -> str:
@@ -65,7 +71,7 @@ def fold_str(s: str) -> str:
     low = s.lower()
     if low.isascii():
         return low
-    return unicodedata.normalize("NFD", low).translate(_mn_table())
+    return _marks().sub("", unicodedata.normalize("NFD", low))
 
 
 def _fold_joined_batch(text: pd.Series) -> pd.Series:
@@ -89,13 +95,14 @@ def _fold_plain_batch(text: pd.Series) -> pd.Series:
 _UDFS: dict = {}
 
 
-def arrow_udf(fn, rtype=T.StringType()):
-    """Arrow pandas UDFs are built on first use (no session needed at import).
+def arrow_udf(fn, rtype=T.StringType(), kind=F.pandas_udf):
+    """Arrow UDFs, on pandas Series or (``F.arrow_udf``) on Arrow arrays, are built on first
+    use (no session needed at import).
 
     They are pure, but flagged non-deterministic so the optimizer never
     copies the Python call into an inferred filter (it would run twice)."""
     if fn not in _UDFS:
-        _UDFS[fn] = F.pandas_udf(fn, rtype).asNondeterministic()
+        _UDFS[fn] = kind(fn, rtype).asNondeterministic()
     return _UDFS[fn]
 
 

@@ -18,12 +18,16 @@ A book is never one task.  Plan:
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from charlens.functions.text import arrow_udf, fold, fold_str, py_strip, tokens
-from charlens.session import checkpoint_root
+from charlens.session import checkpoint_root, scratch_path
 
 #: tokens per block of a book
 BLOCK = 1 << 17
@@ -74,14 +78,15 @@ def token_blocks(books: DataFrame, before: int, after: int, block: int | None =
     without tokens has no block.  No row is larger than a chunk or a block."""
     block = block or BLOCK
     chunked = "chunk_no" in books.columns
-    rows = books.select("url", *(["chunk_no"] if chunked else []), tokens(F.col("text")).alias("toks"))
     if chunked:
         # only token counts meet in a book's window, never its text
         by = Window.partitionBy("url")
-        sizes = rows.select("url", "chunk_no", F.size("toks").cast("bigint").alias("n"))
+        sizes = books.select("url", "chunk_no", F.col("n") if "n" in books.columns else _count(F.col("text")).alias("n"))
         places = sizes.select("url", "chunk_no", (F.sum("n").over(by.orderBy("chunk_no")) - F.col("n")).alias("start"), F.sum("n").over(by).alias("total"))
-        rows = rows.join(places, ["url", "chunk_no"])
+        # the text moves, its tokens, far larger as an array, are made behind the join
+        rows = books.select("url", "chunk_no", "text").join(places, ["url", "chunk_no"]).withColumn("toks", tokens(F.col("text")))
     else:
+        rows = books.select("url", tokens(F.col("text")).alias("toks"))
         rows = rows.withColumn("start", F.lit(0).cast("bigint")).withColumn("total", F.size("toks").cast("bigint"))
     end = F.col("start") + F.size("toks")
     number = lambda place: F.floor(place / block)
@@ -106,6 +111,18 @@ def token_blocks(books: DataFrame, before: int, after: int, block: int | None =
                          F.array_join(F.transform("parts", lambda x: x["text"]), " ").alias("text"))
 
 
+def _count(text: Column) -> Column:
+    return F.size(tokens(text)).cast("bigint")
+
+
+def _gathered(books: DataFrame) -> DataFrame:
+    """The chunks as a table of the shared folder with their token counts ``n``: several
+    branches read it, and each would gather the chunks in Python again."""
+    path = scratch_path(books.sparkSession, "chunks")
+    books.select("url", "chunk_no", "text", _count(F.col("text")).alias("n")).write.parquet(path)
+    return books.sparkSession.read.parquet(path)
+
+
 def _most_blocks(books: DataFrame, block: int) -> DataFrame:
     """(url, most): a bound on the blocks' numbers of a book by its characters (two make a token at least)."""
     size = books.groupBy("url").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("rows"))
@@ -181,21 +198,27 @@ class PhraseBook:
         return which, where
 
 
-def _find_batch(text: pd.Series, cast: pd.Series) -> pd.DataFrame:
+def _find_batch(text: pa.Array, cast: pa.Array) -> pa.Array:
+    # one text at a time is a Python string; the finds are numbers in flat buffers
     book, of = None, None
-    found = []
+    which, place, ends = array("i"), array("i"), array("i", [0])
     for t, c in zip(text, cast):
+        c = c.as_py()
         if c != of:
             book, of = PhraseBook([line.split(" ") for line in c.split("\n")]), c
-        found.append(book.find(fold_str(t).split(" ")))
-    return pd.DataFrame({"which": [f[0] for f in found], "place": [f[1] for f in found]})
+        found = book.find(fold_str(t.as_py()).split(" "))
+        which.extend(found[0])
+        place.extend(found[1])
+        ends.append(len(which))
+    lists = [pa.ListArray.from_arrays(pa.array(np.asarray(ends)), pa.array(np.asarray(x))) for x in (which, place)]
+    return pa.StructArray.from_arrays(lists, ["which", "place"])
 
 
 def candidates_in(blocks: DataFrame, books: DataFrame, aliases: DataFrame, block: int, single: bool) -> DataFrame:
     """C13 over ``token_blocks``: (url, block, character, pos, alias_no, alias_len) of
     every place where an alias's folded token sequence occurs, told by the block that
     owns its first token."""
-    find = arrow_udf(_find_batch, "which array<int>, place array<int>")
+    find = arrow_udf(_find_batch, "which array<int>, place array<int>", F.arrow_udf)
     hit = blocks.join(_casts(books, aliases, block, single).hint("shuffle_hash"), ["url", "block"]).withColumn("f", find("text", "cast"))
     hit = hit.where(F.size("f.which") > 0).select("url", "block", "names", F.explode(F.transform(
         F.arrays_zip("f.which", "f.place"), lambda x: F.struct(x["which"].alias("which"), (F.col("first") + x["place"]).alias("pos")))).alias("h"))
@@ -308,19 +331,28 @@ def cut_passages(blocks: DataFrame, mentions: DataFrame, window: int = 200) -> D
     return rows.select("url", F.explode(F.transform("ms", cut)).alias("m")).select("url", "m.*")
 
 
+def place_mentions(books: DataFrame, characters: DataFrame, window: int = 200,
+                   url="url", name="name", aliases="aliases", block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(token blocks, mentions as places in them): what ``cut_passages`` takes.  A job that
+    reads the mentions several times keeps the places, short rows, and cuts texts when needed."""
+    al = alias_table(characters, url, name, aliases)
+    if "chunk_no" in books.columns:
+        books = _gathered(books)
+    max_len, half, block = longest(al), max(1, window // 2), block or BLOCK
+    # one shuffle of the text by (url, block); both readers of the blocks reuse it
+    blocks = token_blocks(books, half, half + max_len, block)
+    single = one_block_each(books, block)
+    found = candidates_in(blocks, books, al, block, single)
+    return blocks, select_mentions(found, max_len, block, single)
+
+
 def extract_mentions(books: DataFrame, characters: DataFrame, window: int = 200,
                      url="url", name="name", aliases="aliases", block: int | None = None) -> DataFrame:
     """G1: all mentions of every character in its book with the token window
     around each.  ``books(url, text)`` or ``(url, chunk_no, text)``,
     ``characters(url, name, aliases)``; a character whose book is missing gets
     no rows (inner join)."""
-    al = alias_table(characters, url, name, aliases)
-    max_len, half, block = longest(al), max(1, window // 2), block or BLOCK
-    # one shuffle of the text by (url, block); both readers below reuse it
-    blocks = token_blocks(books, half, half + max_len, block)
-    single = one_block_each(books, block)
-    found = candidates_in(blocks, books, al, block, single)
-    return cut_passages(blocks, select_mentions(found, max_len, block, single), window)
+    return cut_passages(*place_mentions(books, characters, window, url, name, aliases, block), window)
 
 
 def mention_counts(characters: DataFrame, mentions: DataFrame, url="url", name="name") -> DataFrame:

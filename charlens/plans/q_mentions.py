@@ -78,7 +78,8 @@ def _mentions_out(m):
     return m.select(
         "url", "character", F.col("mention_no").cast("bigint").alias("mention_no"),
         F.col("pos").cast("bigint").alias("pos"), F.col("len").cast("bigint").alias("len"),
-        F.size(F.split("passage", " ", -1)).cast("bigint").alias("passage_tokens"),
+        # tokens of a passage are joined by one blank
+        (F.length("passage") - F.length(F.replace("passage", F.lit(" "), F.lit(""))) + 1).cast("bigint").alias("passage_tokens"),
         F.md5("passage").alias("passage_md5"),
     )
 

@@ -143,3 +143,45 @@ def test_phrase_book_steps_do_not_grow_with_the_cast():
         book._step = counted
         book.find(toks)
         assert falls[0] <= len(toks)
+
+
+def test_places_are_found_in_flat_lists():
+    """The search keeps no pandas strings: Arrow in, 32-bit lists out."""
+    import pyarrow as pa
+
+    from charlens.operators.mentions import _find_batch
+
+    got = _find_batch(pa.array(["a B a b", "x", "Éa b"]), pa.array(["a b\nb", "a b\nb", "ea"]))
+    assert got.type == pa.struct([("which", pa.list_(pa.int32())), ("place", pa.list_(pa.int32()))])
+    assert got.to_pylist() == [{"which": [0, 1, 0, 1], "place": [0, 1, 2, 3]}, {"which": [], "place": []}, {"which": [0], "place": [0]}]
+
+
+def test_chunks_are_gathered_once(spark, tmp_path):
+    """The branches read a table of the chunks, not the Python step that gathers them."""
+    from charlens.sources.io import read_book_chunks
+
+    (tmp_path / "a.txt").write_text("Anna saw\nBo and Anna\n" * 50)
+    books = read_book_chunks(spark, str(tmp_path), chunk_chars=100)
+    cast = books.select("url").distinct().selectExpr("url", "'Anna' name", "array('Bo') aliases")
+    df = extract_mentions(books, cast, 4, block=64)
+    assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 150
+
+
+def test_inference_stores_no_passage_before_the_choice(spark, monkeypatch):
+    """Checkpoints hold places, keys and chosen passages; equal passages and books listed twice are right."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from charlens.operators.inference import letter_embed, mock_model
+    from charlens.plans.inference_job import run_inference
+
+    seen, plain = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a, **k: (seen.append(set(self.columns)), plain(self, *a, **k))[1])
+    books = spark.createDataFrame([("u", "Al x Al x Bo"), ("v", "Al x Al x Bo"), ("w", "Bo"), ("w", "Bo")], "url string, text string")
+    cast = spark.createDataFrame([(u, n, ["Bo"] if n is None else []) for u in "uvw" for n in ("Al", "Bo", None)], "url string, name string, aliases array<string>")
+    for strategy, most in (("all_mentions", 2), ("embedding", 1)):
+        out = run_inference(spark, books, cast, ["age"], strategy, mock_model(["age"]), letter_embed("ax"), window=2, k=1)
+        got = {(r["book"], r["character"]): (r["status"], r["mentions_counter"], len(r["selected_passages"])) for r in out.collect()}
+        assert got == {(u, n): ("ok", 2, most) if n == "Al" else ("ok", 1, 1) for u in "uv" for n in ("Al", "Bo")} | {
+            ("w", "Al"): ("skipped", 0, 0), ("w", "Bo"): ("ok", 2, 2)} | {(u, None): ("skipped", 0, 0) for u in "uvw"}
+    assert seen and not any({"passage", "prompt"} & c for c in seen)
