@@ -13,20 +13,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round hangs every node's larger neighbours, then its smaller ones, onto
     its least neighbour; rounds end when nothing changes, their number grows with
-    the logarithm of the longest path.  Each round is a checkpoint.
+    the logarithm of the longest path.  Each round is written and read again; as long
+    as the edges fit one partition, a round has no exchange.
     """
-    edges = X.cut(links.where(F.col(a) != F.col(b))
-                  .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    edges = X.gathered(links.where(F.col(a) != F.col(b))
+                       .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u != v").distinct())
+        # v < u in each edge, so a node's larger neighbours are those it is the v of
+        least = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = edges.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = (small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        small = X.cut(small)
+        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = X.gathered(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         if same(edges, small):
             return small.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 small.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

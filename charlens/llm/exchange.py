@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: bytes of text per chunk, at most and at least
 CHUNK_BYTES, LEAST_BYTES = 16 << 20, 2 << 20
+#: rows of a few numbers that a partition holds before a second one is used
+ROWS = 1 << 17
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +46,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def gathered(df: DataFrame, name: str, rows: int = ROWS) -> DataFrame:
+    """Short rows, written once as Parquet and read again in as few partitions as hold ``rows`` each.
+
+    Up to ``rows`` there is one partition, and as Spark knows the size of the files, it
+    groups and joins such results among themselves without an exchange; a larger result
+    keeps several, never more than its files give.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    done = df.sparkSession.read.schema(df.schema).parquet(path)
+    return done.coalesce(max(1, -(-done.count() // rows)))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -332,27 +332,28 @@ def link_components(found: DataFrame, similarity: int = SIMILARITY, leaders: int
     ends = ends.select("sign", F.explode(F.array("lo", "hi")).alias("e")).select("sign", F.col("e.cls").alias("a"), F.col("e.n").alias("na"))
     star = (posts.join(ends, "sign").where((F.col("cls") != F.col("a")) & fits(F.col("n"), F.col("na"), similarity))
             .select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct())
-    parts = X.cut(components(verified(near(star, maps, similarity), sets, similarity)))
+    parts = X.gathered(components(verified(near(star, maps, similarity), sets, similarity)), "parts")
     groups = X.cut(_unfinished(posts, parts))
     while not groups.isEmpty():
-        rows = X.cut(_ranked(groups).join(narrow, ["cls", "n"]))
+        rows = X.cut(_ranked(groups, narrow))
         lead = rows.where(F.col("rank") <= leaders)
-        fresh = X.cut(verified(near(_meetings(lead, rows, similarity), maps, similarity), sets, similarity))
+        fresh = X.gathered(verified(near(_meetings(lead, rows, similarity), maps, similarity), sets, similarity), "links")
         if not fresh.isEmpty():
-            parts = X.cut(components(fresh.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+            parts = X.gathered(components(fresh.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))), "parts")
         groups = X.cut(_unfinished(rows.where(F.col("rank") > leaders).select("cls", "n", "sign"), parts))
         leaders *= 4
     return parts
 
 
-def _ranked(groups: DataFrame) -> DataFrame:
+def _ranked(groups: DataFrame, narrow: DataFrame) -> DataFrame:
     """Members with their rank in the group, those outside its largest component and of them
-    those of most groups in front, and with those of their ``FIRST`` least signatures that come before the group's."""
-    most = groups.groupBy("sign", "component").count().groupBy("sign").agg(F.max_by("component", F.struct("count", "component")).alias("most"))
-    firsts = groups.groupBy("cls").agg(F.slice(F.array_sort(F.collect_set("sign")), 1, FIRST).alias("firsts"), F.count("*").alias("held"))
-    rank = F.row_number().over(Window.partitionBy("sign").orderBy(F.col("component") == F.col("most"), F.desc("held"), "cls", "n"))
+    those of most groups in front, with those of their ``FIRST`` least signatures that come before
+    the group's, and with their narrow bitmaps."""
+    firsts = groups.groupBy("cls", "n").agg(F.slice(F.array_sort(F.collect_set("sign")), 1, FIRST).alias("firsts"), F.count("*").alias("held"))
+    rank = F.row_number().over(Window.partitionBy("sign").orderBy("most", F.desc("held"), "cls", "n"))
     before = F.filter("firsts", lambda x: x < F.col("sign"))
-    return groups.join(firsts, "cls").join(most, "sign").select("sign", "cls", "n", "component", before.alias("before"), rank.alias("rank"))
+    return groups.join(firsts, ["cls", "n"]).join(narrow, ["cls", "n"]).select(
+        "sign", "cls", "n", "component", "narrow", before.alias("before"), rank.alias("rank"))
 
 
 def _meetings(lead: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
@@ -366,12 +367,16 @@ def _meetings(lead: DataFrame, rows: DataFrame, similarity: int) -> DataFrame:
 
 
 def _unfinished(posts: DataFrame, parts: DataFrame) -> DataFrame:
-    """(sign, cls, n, component): members of the groups that span two components."""
+    """(sign, cls, n, component, most): members of the groups that span two components, and
+    whether theirs is the group's largest one; a member once, however many of its rows have been met."""
+    group = Window.partitionBy("sign")
     named = posts.join(parts.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn(
         "component", F.coalesce("component", "cls"))
-    split = (named.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo != hi").select("sign"))
-    return named.join(split, "sign").select("sign", "cls", "n", "component")
+    split = (named.withColumn("lo", F.min("component").over(group)).withColumn("hi", F.max("component").over(group))
+             .where("lo != hi").select("sign", "cls", "n", "component").distinct()
+             .withColumn("size", F.count("*").over(Window.partitionBy("sign", "component"))))
+    most = F.max(F.struct("size", "component")).over(group)["component"]
+    return split.select("sign", "cls", "n", "component", (F.col("component") == most).alias("most"))
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: int = SIMILARITY, rare: int = RARE, often: int = OFTEN,

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from charlens.llm import ctw, decontam, hilbert, jaccard, langid, quality, queries, substring, toolcalls, unigram, vptree
+from charlens.llm import components, ctw, decontam, exchange, hilbert, jaccard, langid, quality, queries, substring, toolcalls, unigram, vptree
 
 SF = "/root/testdata/sf0.001"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -320,6 +320,47 @@ def test_jaccard_member_sets(spark):
     assert {r["sign"] for r in jaccard.grouped(found).collect()} == {1, 2, 4}
 
 
+def wide_stages(spark, group, work):
+    """Stages of ``work`` with a task for each of 53 shuffle partitions, and its result."""
+    tracker, before = spark.sparkContext.statusTracker(), {}
+    for k, v in (("spark.sql.shuffle.partitions", "53"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        before[k] = spark.conf.get(k)
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(getattr(tracker.getStageInfo(s), "numTasks", 0) == 53 for s in stages), got
+
+
+@pytest.mark.parametrize("rows", [exchange.ROWS, 40])
+def test_components_of_few_links(spark, monkeypatch, rows):
+    rng = np.random.default_rng(3)
+    links = [(i, i + 1) for i in range(100, 140)] + [tuple(map(int, x)) for x in rng.integers(0, 100, (50, 2))] + [(200, 150 + i) for i in range(45)]
+    up = {x: x for link in links for x in link}
+    for _ in up:
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    whole = exchange.gathered
+    monkeypatch.setattr(exchange, "gathered", lambda df, name: whole(df, name, rows))
+    wide, got = wide_stages(spark, f"links-{rows}", lambda: components.components(df).collect())
+    assert {(r["node"], r["component"]) for r in got} == {(x, c) for x, c in up.items() if any(x in p and p[0] != p[1] for p in links)}
+    if rows == exchange.ROWS:  # few links: only the first grouping deals its rows out
+        assert wide <= 1
+
+
+def test_jaccard_members_once(spark):
+    posts = spark.createDataFrame([(1, 9, 7)] * 4 + [(2, 9, 7), (3, 9, 8), (4, 9, 8)], "cls bigint, n bigint, sign bigint")
+    parts = spark.createDataFrame([(3, 3), (4, 3)], "node bigint, component bigint")
+    got = [tuple(r) for r in jaccard._unfinished(posts, parts).collect()]
+    assert sorted(got) == [(7, 1, 9, 1, False), (7, 2, 9, 2, True)]
+
+
 def test_jaccard_edges(edge, empty):
     rows = jaccard.near_duplicates(edge).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows] == [
