@@ -2,7 +2,7 @@
 
 Only the model call itself leaves the JVM: distinct prompts are handed in
 Arrow batches to a user ``model_fn(list[str]) -> list[str]`` inside
-``mapInPandas`` (the model is loaded once per Python worker by the plug-in),
+``mapInArrow`` (the model is loaded once per Python worker by the plug-in),
 and the results are joined back by a prompt hash -- never by the prompt text.
 """
 
@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,9 @@ MOCK_VALUES: dict[str, object] = {
 }
 # ---------------------------------------------------------------------------
 
+#: bytes of prompts that are Python strings at once: a batch of long ones goes to the model in parts
+PART = 1 << 23
+
 STATUS_OK = "ok"
 STATUS_ERROR = "error"
 
@@ -56,17 +61,27 @@ def prompt_key(prompt: Column) -> Column:
 
 
 def infer(prompts: DataFrame, model_fn: Callable[[list[str]], list[str]], prompt_col: str = "prompt",
-          output_col: str = "output") -> DataFrame:
+          output_col: str = "output", make: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One output per input row; rows with a null prompt get a null output
     and no model call; every distinct prompt is sent once.  A failing batch
     is halved down to single prompts; one that still fails yields an ``Error: ...``
-    string with status ``error`` (the row is kept)."""
+    string with status ``error`` (the row is kept).
+
+    With ``make`` the rows hold the keys of their prompts (``prompt_key``) as ``prompt_col``,
+    and ``make`` gives (pkey, prompt) for the one row of each key that asks: texts many
+    times what they are made from are made where they are sent and never move."""
 
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["prompt"].tolist()
-            answers = attempt(texts)
-            yield pd.DataFrame({"pkey": pdf["pkey"], "out": [o for o, _ in answers], "status": [s for _, s in answers]})
+    part = PART  # as set where the plan is made
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.binary_length(batch.column("prompt")).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(size) // part, prepend=0)).tolist()
+            for a, z in zip([0, *cuts], [*cuts, len(size)]):
+                answers = attempt(batch.column("prompt").slice(a, z - a).to_pylist())
+                outs, states = [[x[i] for x in answers] for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column("pkey").slice(a, z - a), pa.array(outs, pa.string(), from_pandas=True),
+                                                  pa.array(states, pa.string())], ["pkey", "out", "status"])
 
     def attempt(texts: list[str]) -> list[tuple[str, str]]:
         if not texts:
@@ -82,14 +97,20 @@ def infer(prompts: DataFrame, model_fn: Callable[[list[str]], list[str]], prompt
             half = len(texts) // 2
             return attempt(texts[:half]) + attempt(texts[half:])
 
-    keyed = prompts.withColumn("_pkey", prompt_key(F.col(prompt_col)))
-    distinct = (
-        keyed.where(F.col(prompt_col).isNotNull())
-        .groupBy(F.col("_pkey").alias("pkey"))
-        .agg(F.first(prompt_col).alias("prompt"))
-    )
-    answers = distinct.mapInPandas(call, "pkey string, out string, status string")
-    out = keyed.join(answers, keyed["_pkey"] == answers["pkey"], "left")
+    if make is None:
+        keyed = prompts.withColumn("_pkey", prompt_key(F.col(prompt_col)))
+        distinct = (
+            keyed.where(F.col(prompt_col).isNotNull())
+            .groupBy(F.col("_pkey").alias("pkey"))
+            .agg(F.first(prompt_col).alias("prompt"))
+        )
+    else:
+        keyed = prompts.withColumn("_pkey", F.col(prompt_col))
+        asks = keyed.where(F.col(prompt_col).isNotNull()).groupBy(F.col("_pkey").alias("pkey")).agg(
+            F.min(F.struct(*[c for c in prompts.columns if c != prompt_col])).alias("f"))
+        distinct = make(asks.select("pkey", "f.*"))
+    answers = distinct.select("pkey", "prompt").mapInArrow(call, "pkey string, out string, status string").withColumnRenamed("pkey", "_asked")
+    out = keyed.join(answers, keyed["_pkey"] == answers["_asked"], "left")
     return out.select(
         *[F.col(c) for c in prompts.columns],
         F.col("out").alias(output_col),

@@ -13,7 +13,8 @@ A book is never one task.  Plan:
      border is a *carry*, the number of tokens at the next block's start that are
      taken.  Only blocks whose candidates reach over their border have one;
   4. mentions are numbered by a running sum of the blocks' counts and cut out of
-     the block's own tokens, all of a block in its one row.
+     the block's own tokens, all of a block in its one row; a job that wants all
+     passages of a character in one row has them cut there too (``cut_pieces``).
 """
 
 from __future__ import annotations
@@ -279,9 +280,9 @@ def _carries(found: DataFrame, max_len: int, block: int) -> DataFrame:
     return state.select("url", "character", (F.col("block") + 1).alias("block"), F.col("out").alias("carry"))
 
 
-def select_mentions(cands: DataFrame, max_len: int, block: int, single: bool) -> DataFrame:
-    """(url, block, character, pos, len, mention_no): the first listed alias per position,
-    then greedy non-overlap over the whole book, numbered by position.
+def choose_places(cands: DataFrame, max_len: int, block: int, single: bool) -> DataFrame:
+    """(url, block, character, place, size): the first listed alias per position, then greedy
+    non-overlap over the whole book, as two arrays a block and character, in order.
 
     The candidates of a block and character are one short row; rows are matched with
     their neighbours' carries, so no task holds more of a book than a block.
@@ -305,6 +306,11 @@ def select_mentions(cands: DataFrame, max_len: int, block: int, single: bool) ->
         found = found.withColumn("kept", chosen)
         pick = lambda c: F.when(F.col("kept").isNull(), F.col(c)).otherwise(F.transform("kept", lambda i: F.col(c)[i]))
         found = found.select("url", "block", "character", pick("place").alias("place"), pick("size").alias("size"))
+    return found
+
+
+def number_mentions(found: DataFrame, single: bool) -> DataFrame:
+    """(url, block, character, pos, len, mention_no) of ``choose_places``, numbered by position in the book."""
     earlier = Window.partitionBy("url", "character").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = F.lit(0) if single else F.coalesce(F.sum(F.size("place").cast("bigint")).over(earlier), F.lit(0))
     found = found.withColumn("before", before)
@@ -331,10 +337,74 @@ def cut_passages(blocks: DataFrame, mentions: DataFrame, window: int = 200) -> D
     return rows.select("url", F.explode(F.transform("ms", cut)).alias("m")).select("url", "m.*")
 
 
-def place_mentions(books: DataFrame, characters: DataFrame, window: int = 200,
-                   url="url", name="name", aliases="aliases", block: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(token blocks, mentions as places in them): what ``cut_passages`` takes.  A job that
-    reads the mentions several times keeps the places, short rows, and cuts texts when needed."""
+def _spans_batch(text: pa.Array, first: pa.Array, place: pa.Array, size: pa.Array, half: pa.Array, whole: pa.Array) -> pa.Array:
+    """Where the passages of a row lie (bytes): in its text if ``whole``, else in what they cover of it, each token once."""
+    ends, place, size = place.offsets.to_numpy(), place.values.to_numpy(), size.values.to_numpy()
+    low, high = (np.zeros(len(place), dtype=np.int32) for _ in range(2))
+    spans = []
+    for i, (t, f, h, all_of_it) in enumerate(zip(text, first.to_numpy(), half.to_numpy(), whole.to_pylist())):
+        raw, own = t.as_buffer().to_pybytes(), slice(ends[i], ends[i + 1])
+        blank = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 32)
+        begin, stop = np.append(0, blank + 1), np.append(blank, len(raw))
+        # texts of a book listed twice may differ: a passage behind the end of one is empty there
+        start = np.minimum(np.maximum(place[own] - h, 0) - f, len(begin))
+        end = np.maximum(np.minimum(place[own] + size[own] + h - f, len(begin)), start)
+        begin, stop = np.append(begin, len(raw)), np.append(0, stop)
+        low[own], high[own] = begin[start], np.maximum(stop[end], begin[start])
+        if all_of_it:
+            spans.append(None)
+            continue
+        fresh = np.flatnonzero(np.append(True, low[own][1:] > np.maximum.accumulate(high[own])[:-1]))
+        a, z = low[own][fresh], np.maximum.reduceat(high[own], fresh)
+        spans.append(b"".join(raw[x:y] for x, y in zip(a, z)))
+        moved = np.repeat(a - np.append(0, np.cumsum(z - a)[:-1]), np.diff(np.append(fresh, len(start)))).astype(np.int32)
+        low[own] -= moved
+        high[own] -= moved
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (low, high)]
+    return pa.StructArray.from_arrays([pa.array(spans, pa.binary()), *lists], ["text", "low", "high"])
+
+
+def cut_pieces(blocks: DataFrame, found: DataFrame, window: int = 200, mixed: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(url, character, ``keep``, at, pieces): E4 with all passages of a character in one row.
+
+    ``found`` is ``choose_places`` with a column ``several``: whether a character has several
+    pieces, as its mentions lie in several blocks or its book is listed twice (``mixed``: some
+    may).  ``pieces`` (text, place, low, high) are a block's text, or what the passages cover of
+    it, and the bytes of each passage in that.  ``at`` (block, place, size, low, high) serves to
+    cut again, as rows of ``found``: where low and high are known nothing is searched.
+
+    Passages overlap and are many times the books, so none of them moves: a sole piece stays
+    at its block, several come together with each token once."""
+    half, keep = F.lit(max(1, window // 2)), ("url", "character", *keep)
+    spans = arrow_udf(_spans_batch, "struct<text binary, low array<int>, high array<int>>", F.arrow_udf)
+    known = "low" in found.columns
+
+    def rows(here: DataFrame, sole: bool) -> DataFrame:
+        # hint: the text stays where it is, small sides come to it
+        here = blocks.join(here.hint("shuffle_hash"), ["url", "block"])
+        if sole and known:
+            return here.select(*keep, "block", "low", "high", F.col("text").cast("binary").alias("text"))
+        here = here.withColumn("s", spans("text", "first", "place", "size", half, F.lit(sole)))
+        return here.select(*keep, "block", "place", "size", "s.low", "s.high", (F.col("text").cast("binary") if sole else F.col("s.text")).alias("text"))
+
+    def at(place: str | None, low: str | None) -> Column:
+        names = {"place": place, "size": place and "size", "low": low, "high": low and "high"}
+        types = {"place": "array<bigint>", "size": "array<int>", "low": "array<int>", "high": "array<int>"}
+        return F.struct("block", *[(F.col(c) if c else F.lit(None)).cast(types[n]).alias(n) for n, c in names.items()])
+
+    piece = lambda place: F.struct("text", F.col(place).cast("array<bigint>").alias("place"), "low", "high")
+    # a sole piece has its passages in the order of its bytes
+    sole = rows(found.where("not several") if mixed else found, True).select(
+        *keep, F.array(at(None, "low")).alias("at"), F.array(piece("low")).alias("pieces"))
+    if not mixed:
+        return sole
+    return sole.union(rows(found.where("several"), False).groupBy(*keep).agg(
+        F.collect_set(at("place", None)).alias("at"), F.collect_list(piece("place")).alias("pieces")))
+
+
+def find_mentions(books: DataFrame, characters: DataFrame, window: int = 200, url="url", name="name",
+                  aliases="aliases", block: int | None = None) -> tuple[DataFrame, DataFrame, bool]:
+    """(token blocks, ``choose_places`` of them, whether no book has a second block)."""
     al = alias_table(characters, url, name, aliases)
     if "chunk_no" in books.columns:
         books = _gathered(books)
@@ -342,8 +412,15 @@ def place_mentions(books: DataFrame, characters: DataFrame, window: int = 200,
     # one shuffle of the text by (url, block); both readers of the blocks reuse it
     blocks = token_blocks(books, half, half + max_len, block)
     single = one_block_each(books, block)
-    found = candidates_in(blocks, books, al, block, single)
-    return blocks, select_mentions(found, max_len, block, single)
+    return blocks, choose_places(candidates_in(blocks, books, al, block, single), max_len, block, single), single
+
+
+def place_mentions(books: DataFrame, characters: DataFrame, window: int = 200,
+                   url="url", name="name", aliases="aliases", block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(token blocks, mentions as places in them): what ``cut_passages`` takes.  A job that
+    reads the mentions several times keeps the places, short rows, and cuts texts when needed."""
+    blocks, found, single = find_mentions(books, characters, window, url, name, aliases, block)
+    return blocks, number_mentions(found, single)
 
 
 def extract_mentions(books: DataFrame, characters: DataFrame, window: int = 200,

@@ -36,7 +36,11 @@ ATTRIBUTES: dict[str, tuple[str, str]] = {
 
 def all_passages(mentions: DataFrame, keys: Sequence[str] = ("url", "character")) -> DataFrame:
     """G3 (+ G8 in the same aggregation): every passage of an entity in text
-    order and the number of mentions."""
+    order and the number of mentions; from rows of mentions, or of entities with
+    ``pieces`` (``mentions.cut_pieces``), which keep their columns."""
+    if "pieces" in mentions.columns:
+        rows = mentions.withColumn("passages", _from_pieces(F.col("pieces"))).drop("pieces")
+        return rows.withColumn("mentions_counter", F.size("passages").cast("bigint"))
     return mentions.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "passage"))), lambda s: s["passage"]).alias(
             "passages"
@@ -45,6 +49,16 @@ def all_passages(mentions: DataFrame, keys: Sequence[str] = ("url", "character")
     )
 
 
+def _from_pieces(pieces: Column) -> Column:
+    def cut(p: Column) -> Column:
+        # the text is bound once a piece: as a field it would be copied for each passage
+        each = lambda text: F.transform(F.arrays_zip(p["place"], p["low"], p["high"]), lambda m: F.struct(
+            m["place"].alias("pos"), F.substring(text, m["low"] + 1, m["high"] - m["low"]).cast("string").alias("passage")))
+        return F.flatten(F.transform(F.array(p["text"]), each))
+
+    return F.transform(F.array_sort(F.flatten(F.transform(pieces, cut))), lambda m: m["passage"])
+
+
 def attribute_queries(spark: SparkSession, entities: DataFrame, attrs: Sequence[str],
                       questions: Mapping[str, str] | None = None, name_col: str = "character") -> DataFrame:
     """One query text per (entity, known attribute); unknown attributes are

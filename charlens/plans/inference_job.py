@@ -12,13 +12,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from charlens.functions.text import py_strip
+from charlens.functions.text import WS_CLASS, py_strip
 from charlens.operators import mentions as MN
 from charlens.operators import retrieval as R
-from charlens.operators.inference import embed_distinct, embed_keyed, infer, text_key
+from charlens.operators.inference import embed_distinct, embed_keyed, infer, prompt_key, text_key
 from charlens.session import checkpoint_root
 
 STRATEGIES = ("all_mentions", "embedding")
@@ -63,6 +63,51 @@ def select_passages(spark: SparkSession, blocks: DataFrame, places: DataFrame, c
                     lambda s: s["passage"]).alias("passages"))
 
 
+def _with_all_mentions(books: DataFrame, characters: DataFrame, attrs: Sequence[str],
+                       model_fn: Callable[[list[str]], list[str]], window: int) -> DataFrame:
+    """``run_inference`` with every passage.
+
+    The passages of a character overlap and are many times its book: neither they nor the
+    prompts made of them are ever dealt or stored.  Places and prompt keys are checkpointed
+    before the model calls; prompts and passages are cut at the blocks, the answers come there."""
+    keys = ["url", "character"]
+    blocks, found, single = MN.find_mentions(books, characters, window)
+    # no row asks for mentions without a name; a block's places may all be taken by its carry
+    found = found.where(F.col("character").isNotNull() & (F.size("place") > 0))
+    # chunks of one block are one row however often they are listed
+    listed = books.where("url is not null").groupBy("url").agg((F.count("*") > 1).alias("copied")).where("copied")
+    once = "chunk_no" in books.columns or listed.isEmpty()
+    mixed = not (single and once)
+    found = found.withColumn("several", F.lit(False) if single else F.count("*").over(Window.partitionBy(*keys)) > 1)
+    if not once:
+        found = found.join(listed, "url", "left").withColumn("several", F.col("several") | F.coalesce("copied", F.lit(False))).drop("copied")
+    if mixed:
+        found = found.checkpoint()  # read twice below
+
+    def read(places: DataFrame, *keep: str) -> DataFrame:
+        return R.all_passages(MN.cut_pieces(blocks, places, window, mixed, keep))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        each = rows.select("*", F.explode("at").alias("a")).select("*", "a.*")
+        return each.withColumn("several", F.col("low").isNull()).drop("a", "at")
+
+    def prompt(rows: DataFrame) -> DataFrame:
+        said = F.exists("passages", lambda p: p.rlike("[^" + WS_CLASS[1:]))  # blank is what py_strip would empty
+        return rows.withColumn("prompt", F.when(said, R.build_prompt(F.col("character"), R.excerpts(F.col("passages")), attrs)))
+
+    asked = prompt(read(found)).select(*keys, "at", prompt_key(F.col("prompt")).alias("pkey")).checkpoint()
+    answered = infer(asked, model_fn, "pkey", make=lambda rows: prompt(read(placed(rows), "pkey"))).drop("pkey")
+    if mixed:
+        answered = answered.checkpoint()  # read twice below
+    told = read(placed(answered), "output", "status").select(*keys, "output", "status", "mentions_counter", "passages")
+    none = characters.join(books.select("url"), "url", "left_semi").select("url", F.col("name").alias("character")).distinct()
+    none = none.join(asked.select(*keys), keys, "left_anti").select(
+        *keys, F.lit(None).cast("string").alias("output"), F.lit("skipped").alias("status"),
+        F.lit(0).cast("bigint").alias("mentions_counter"), F.array().cast("array<string>").alias("passages"))
+    return told.union(none).select(F.col("url").alias("book"), "character", "output", "status", "mentions_counter",
+                                   F.col("passages").alias("selected_passages"))
+
+
 def run_inference(spark: SparkSession, books: DataFrame, characters: DataFrame, attrs: Sequence[str],
                   strategy: str, model_fn: Callable[[list[str]], list[str]],
                   embed: Callable[[pd.Series], pd.Series] | None = None, window: int = 200,
@@ -73,6 +118,8 @@ def run_inference(spark: SparkSession, books: DataFrame, characters: DataFrame,
     # once to the shared checkpoint folder instead of being recomputed, and a
     # lost executor does not send the search back to the books
     checkpoint_root(spark)  # the session's shared folder (set only when unset)
+    if strategy == "all_mentions":
+        return _with_all_mentions(books, characters, attrs, model_fn, window)
     blocks, places = MN.place_mentions(books, characters, window)
     places = places.checkpoint()
     # as many as passages: those of a book listed twice count twice

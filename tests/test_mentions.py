@@ -1,6 +1,7 @@
 """Hand cases and properties of mention extraction (FIXTURES.md section 4)."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,3 +186,90 @@ def test_inference_stores_no_passage_before_the_choice(spark, monkeypatch):
         assert got == {(u, n): ("ok", 2, most) if n == "Al" else ("ok", 1, 1) for u in "uv" for n in ("Al", "Bo")} | {
             ("w", "Al"): ("skipped", 0, 0), ("w", "Bo"): ("ok", 2, 2)} | {(u, None): ("skipped", 0, 0) for u in "uvw"}
     assert seen and not any({"passage", "prompt"} & c for c in seen)
+
+
+def test_all_mentions_move_no_passage(spark):
+    """Neither an exchange nor a checkpoint holds the overlapping passages or the prompts made of them."""
+    from charlens.operators.inference import mock_model
+    from charlens.plans.inference_job import run_inference
+
+    books = spark.createDataFrame([(f"u{i}", "Al saw Bo and " * 50) for i in range(4)], "url string, text string")
+    cast = spark.createDataFrame([(f"u{i}", n, []) for i in range(4) for n in ("Al", "Bo")], "url string, name string, aliases array<string>")
+    out = run_inference(spark, books, cast, ["age"], "all_mentions", mock_model(["age"]))
+    plan = out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    nodes = {m[1]: m[2] for m in re.finditer(r"\(\d+\) ([^\n]+)\n((?:[^\n]+\n)+)", plan) if "Exchange" in m[1] or "Scan" in m[1]}
+    assert nodes and not [n for n, text in nodes.items() if re.search(r"\b(passages?|prompt|selected_passages|exc)#", text)]
+    rows = out.collect()
+    assert len(rows) == 8 and all(r["status"] == "ok" and r["mentions_counter"] == len(r["selected_passages"]) == 50 for r in rows)
+
+
+@pytest.mark.parametrize("block", [7, 1 << 13])
+@pytest.mark.parametrize("form", ["once", "twice", "chunked"])
+def test_all_mentions_in_blocks_and_copies(spark, tmp_path, monkeypatch, block, form):
+    """Characters of one block, of several and of books listed twice have the passages of the
+    mention rows; every distinct prompt is sent once."""
+    from charlens.operators import mentions as MN
+    from charlens.operators.retrieval import all_passages
+    from charlens.plans.inference_job import run_inference
+
+    monkeypatch.setattr(MN, "BLOCK", block)
+    rnd = random.Random(block)
+    texts = [(f"b{i}", " ".join(rnd.choices(["a", "b", "É", "dé"] if i % 3 else ["a", "C", "x"], k=rnd.randint(20, 60)))) for i in range(8)]
+    texts += [("same1", "a x b"), ("same2", "a x b"), ("none", "x y"), ("empty", " "), (None, "a b")]
+    if form == "twice":
+        texts += [(u, t[::-1]) for u, t in texts[:4]] + texts[4:6]
+    names = [*CAST, ("e", ["De"]), ("lost", []), (None, ["b"])]
+    cast = spark.createDataFrame([(u, n, a) for u in dict.fromkeys(u for u, _ in texts) for n, a in names] + [("away", "a", [])],
+                                 "url string, name string, aliases array<string>")
+    if form == "chunked":
+        books = spark.createDataFrame([(u, k, t[i:j]) for u, t in texts for k, (i, j) in enumerate([(0, 20), (20, 30), (30, len(t))])], "url string, chunk_no int, text string")
+    else:
+        books = spark.createDataFrame(texts, "url string, text string")
+    log = str(tmp_path / "asked")
+
+    def model(prompts):
+        with open(log, "a") as f:
+            f.writelines(f"{hash(p)}\n" for p in prompts)
+        return [p[:20] for p in prompts]
+
+    out = run_inference(spark, books, cast, ["age"], "all_mentions", model, window=6).collect()
+    asked = open(log).read().split()
+    want = {(r["url"], r["character"]): r["passages"] for r in all_passages(extract_mentions(books, cast, 6)).collect() if r["character"]}
+    pairs = {(u, n) for u, _ in texts if u for n, _ in names}
+    assert len(out) == len(pairs) and {(r["book"], r["character"]) for r in out} == pairs
+    for r in out:
+        passages = want.get((r["book"], r["character"]), [])
+        assert (r["selected_passages"], r["mentions_counter"], r["status"]) == (passages, len(passages), "ok" if passages else "skipped")
+        assert r["output"] == (f"Character: {r['character']}\nWanted: age"[:20] if passages else None)
+    assert len(asked) == len({(n, tuple(p)) for (_, n), p in want.items()})
+
+
+def test_passages_in_pieces_of_a_text():
+    """Bytes of passages in the whole text and in what they cover; behind a text's end they are empty."""
+    import pyarrow as pa
+
+    from charlens.operators.mentions import _spans_batch
+
+    text, place = "é b c d e f g h i j", [0, 1, 6, 30]
+    rows = [pa.array([text] * 2), pa.array([0, 0]), pa.array([place] * 2), pa.array([[1, 2, 1, 1]] * 2, pa.list_(pa.int32())), pa.array([1, 1]), pa.array([True, False])]
+    for r, whole in zip(_spans_batch(*rows).to_pylist(), (text.encode(), "é b c df g h".encode())):
+        assert (r["text"] or text.encode()) == whole
+        assert [whole[a:z].decode() for a, z in zip(r["low"], r["high"])] == ["é b", "é b c d", "f g h", ""]
+
+
+def test_long_prompts_go_to_the_model_in_parts(spark, tmp_path, monkeypatch):
+    from charlens.operators import inference
+
+    monkeypatch.setattr(inference, "PART", 1000)
+    log = str(tmp_path / "sizes")
+
+    def model(prompts):
+        with open(log, "a") as f:
+            f.write(f"{len(prompts)} {sum(map(len, prompts))}\n")
+        return [p[-3:] for p in prompts]
+
+    df = spark.createDataFrame([(i, "x" * 300 + f"{i:03d}") for i in range(40)] + [(40, "y" * 5000 + "040")], "i int, prompt string").coalesce(1)
+    got = {r["i"]: (r["output"], r["status"]) for r in inference.infer(df, model).collect()}
+    assert got == {i: (f"{i:03d}", "ok") for i in range(41)}
+    calls = [tuple(map(int, line.split())) for line in open(log)]
+    assert sum(n for n, _ in calls) == 41 and max(size for _, size in calls) <= 6400
